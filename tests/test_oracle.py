@@ -1,0 +1,59 @@
+"""Every registered query against the same result from SQL."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF_DIR}/{table}.parquet')")
+    return con
+
+
+def normal(rows, names):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(repr(row[i]) for i in order) for row in rows))
+
+
+SPARK_TO_SQL = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_same_as_sql(spark, oracle, name):
+    frame = entry.queries()[name](spark, SF_DIR)
+    expected = oracle.sql(entry.oracle_sql()[name])
+    kinds = {c: SPARK_TO_SQL[t] for c, t in frame.dtypes}
+    assert kinds == {c: str(t) for c, t in zip(expected.columns, expected.types)}
+    found, wanted = normal(frame.collect(), frame.columns), normal(expected.fetchall(), expected.columns)
+    assert len(found) == len(wanted)
+    assert found == wanted
+    assert found, "a query without rows checks nothing"
+
+
+def test_queries_without_sql_return_rows(spark):
+    for name in sorted(set(entry.queries()) - set(entry.oracle_sql())):
+        assert entry.queries()[name](spark, SF_DIR).count() > 0, name
+
+
+def test_entry(spark):
+    frame = entry.entry(spark)
+    assert frame.count() > 0
+    assert frame.columns == ["instrument", "timeframe", "timestamp", "open", "high", "low", "close", "source"]
