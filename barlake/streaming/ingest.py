@@ -21,8 +21,10 @@ TICK_TEXT = "timestamp string, price string, volume string, bid string, ask stri
 BAR_TEXT = "timestamp string, open string, high string, low string, close string"
 
 
-def landed_parquet(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def landed_parquet(spark: SparkSession, folder: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Parquet files as they land; `max_files` bounds one micro-batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(folder)
 
 
 def landed_csv(spark: SparkSession, folder: str, columns: str) -> DataFrame:
