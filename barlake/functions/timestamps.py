@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted date spellings and their ISO order; a zone at the end of the text.
@@ -13,29 +13,40 @@ YEAR_FIRST = (r"^(\d{4})[./](\d{1,2})[./](\d{1,2})", "$1-$2-$3")
 COMPACT = (r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])", "$1-$2-$3")
 DAY_FIRST = (r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})", "$3-$2-$1")
 MONTH_FIRST = (r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})", "$3-$1-$2")
-ZONE = r"\s*(Z|z|UTC|GMT|([+-])(\d{2}):?(\d{2})?)$"
+ZONE = r"\s*(Z|z|UTC|GMT|(?<=:[0-9.]{2,12}\s{0,3})[+-]\d{2}:?(?:\d{2})?)$"
 FULL_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
+PLAIN = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T][0-9:.]+)?$"
 
 
-def parse_utc(text: Column | str, day_first: bool = False) -> Column:
-    """Naive UTC timestamp of a text; null where it is not a date and time.
+def parse_utc(df: DataFrame, name: str = "timestamp", day_first: bool = False) -> DataFrame:
+    """Turn a text column into naive UTC timestamps; null where it is not a date and time.
 
     A text with an offset is converted to UTC, one without is taken as UTC. Nothing depends on the session zone.
+    Each step is a column of its own, so it is computed once, and plain ISO text takes none of the rewriting steps.
     """
-    s = F.trim(F.col(text) if isinstance(text, str) else text)
-    iso = s
+    kept = df.columns
+    plain, text, iso, zone = (F.col(f"_{part}") for part in ("plain", "text", "iso", "zone"))
+    rewritten = text
     for pattern, order in (YEAR_FIRST, COMPACT, DAY_FIRST if day_first else MONTH_FIRST):
-        iso = F.regexp_replace(iso, pattern, order)
-    # Rewriting costs several regular expressions per row, so ISO text goes around it.
-    iso = F.when(s.rlike(FULL_DATE), s).otherwise(iso)
-    wall = F.when(iso.rlike(FULL_DATE), F.regexp_replace(iso, ZONE, "").try_cast("timestamp_ntz"))
-    sign = F.when(F.regexp_extract(s, ZONE, 2) == "-", F.lit(-1)).otherwise(F.lit(1))
-    hours = F.coalesce(F.regexp_extract(s, ZONE, 3).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.regexp_extract(s, ZONE, 4).try_cast("int"), F.lit(0))
-    shifted = F.timestamp_add("MINUTE", -sign * (hours * 60 + minutes), wall)
-    plain = F.when(iso.rlike(FULL_DATE), iso.try_cast("timestamp_ntz"))
-    # A zone can only start after the date, at position 11 or later.
-    return F.when(F.substring(s, 11, 40).rlike(r"[Zz+\-CMc]"), shifted).otherwise(plain)
+        rewritten = F.regexp_replace(rewritten, pattern, order)
+    digits = F.translate(zone, ":", "")
+    minutes = F.substring(digits, 2, 2).try_cast("int") * 60 + F.coalesce(
+        F.substring(digits, 4, 2).try_cast("int"), F.lit(0)
+    )
+    return (
+        df.withColumn("_text", F.trim(F.col(name).cast("string")))
+        .withColumn("_plain", F.coalesce(text.rlike(PLAIN), F.lit(False)))
+        .withColumn("_zone", F.when(~plain, F.regexp_extract(text, ZONE, 1)))
+        .withColumn("_iso", F.when(plain, text).otherwise(F.regexp_replace(rewritten, ZONE, "")))
+        .withColumn("_wall", F.when(plain | F.col("_iso").rlike(FULL_DATE), iso.try_cast("timestamp_ntz")))
+        .withColumn(
+            name,
+            F.when(zone.startswith("+"), F.timestamp_add("MINUTE", -minutes, F.col("_wall")))
+            .when(zone.startswith("-"), F.timestamp_add("MINUTE", minutes, F.col("_wall")))
+            .otherwise(F.col("_wall")),
+        )
+        .select(*kept)
+    )
 
 
 def parse_terminal(date: Column, time: Column | None = None) -> Column:

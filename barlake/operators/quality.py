@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake.functions.timeframe import valid_instrument, valid_timeframe
 from barlake.functions.timestamps import parse_utc
 from barlake.schema import PRICES
 
-# Required columns, and vendor columns that bars never keep.
+# Required columns, vendor columns that bars never keep, spellings of infinity.
 BAR_COLUMNS = ["timestamp", *PRICES]
 TICK_COLUMNS = ["timestamp", "price"]
 VENDOR_COLUMNS = ["tickvol", "vol", "spread", "volume"]
+INFINITE = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
 BAD_TIMESTAMP = "invalid timestamp"
 BAD_PRICE = "invalid price"
+BAD_NAME = "invalid instrument or timeframe"
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -43,20 +46,24 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 def number(df: DataFrame, name: str) -> Column:
     """The column as DOUBLE, null where it is not a number (NaN counts as null)."""
     col = F.col(name)
-    if dict(df.dtypes)[name] == "string":
-        # The JVM reads a trailing type letter ("1.5d") as part of a number; price files do not.
-        col = F.when(~F.trim(col).rlike(r"[0-9.][dDfF]$"), col)
-    value = col.try_cast("double")
-    return F.when(~F.isnan(value), value)
-
-
-def utc_timestamp(df: DataFrame, day_first: bool = False, name: str = "timestamp") -> Column:
-    kind = dict(df.dtypes)[name]
+    if dict(df.dtypes)[name] != "string":
+        value = col.cast("double")
+        return F.when(~F.isnan(value), value)
+    # A number ends in a digit or a point. The JVM would also read NaN and a trailing type letter ("1.5d").
+    last = F.substring(F.rtrim(col), -1, 1)
+    infinite = F.lower(F.trim(col)).isin(*INFINITE)
+    return F.when(last.between(".", "9") | infinite, col.try_cast("double"))
+
+
+def with_utc(df: DataFrame, day_first: bool = False) -> DataFrame:
+    """The `timestamp` column as naive UTC, whichever type it came in."""
+    kind = dict(df.dtypes)["timestamp"]
     if kind == "timestamp_ntz":
-        return F.col(name)
+        return df
     if kind == "timestamp":
-        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(name).cast("timestamp_ntz"))
-    return parse_utc(F.col(name).cast("string"), day_first)
+        wall = F.col("timestamp").cast("timestamp_ntz")
+        return df.withColumn("timestamp", F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall))
+    return parse_utc(df, "timestamp", day_first)
 
 
 def with_mid_price(df: DataFrame) -> DataFrame:
@@ -71,9 +78,7 @@ def with_mid_price(df: DataFrame) -> DataFrame:
 def judged_bars(df: DataFrame, column_map: dict[str, str] | None = None, day_first: bool = False) -> DataFrame:
     df = drop_vendor_columns(map_columns(normalise_names(df), column_map))
     require(df, BAR_COLUMNS)
-    cleaned = df.withColumns(
-        {"timestamp": utc_timestamp(df, day_first), **{c: number(df, c) for c in PRICES}}
-    )
+    cleaned = with_utc(df, day_first).withColumns({c: number(df, c) for c in PRICES})
     no_price = F.greatest(*[F.col(c).isNull() for c in PRICES])
     reason = F.when(F.col("timestamp").isNull(), BAD_TIMESTAMP).when(no_price, BAD_PRICE)
     return cleaned.withColumn("reason", reason)
@@ -83,7 +88,7 @@ def judged_ticks(df: DataFrame, day_first: bool = False) -> DataFrame:
     df = with_mid_price(normalise_names(df))
     require(df, TICK_COLUMNS)
     numbers = {c: number(df, c) for c in ("price", "volume", "bid", "ask") if c in df.columns}
-    cleaned = df.withColumns({"timestamp": utc_timestamp(df, day_first), **numbers})
+    cleaned = with_utc(df, day_first).withColumns(numbers)
     no_price = F.col("price").isNull() | (F.col("price") <= 0)
     reason = F.when(F.col("timestamp").isNull(), BAD_TIMESTAMP).when(no_price, BAD_PRICE)
     return cleaned.withColumn("reason", reason)
@@ -105,24 +110,28 @@ def reject_counts(judged: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def strict(judged: DataFrame, fatal: tuple[str, ...]) -> DataFrame:
+def judge_names(judged: DataFrame) -> DataFrame:
+    named = valid_instrument("instrument") & valid_timeframe("timeframe")
+    return judged.withColumn("reason", F.when(~named, BAD_NAME).otherwise(F.col("reason")))
+
+
+def strict(judged: DataFrame, *fatal: str) -> DataFrame:
     """The good rows, or ValueError with the counts if any row has a fatal reason (one aggregation job)."""
-    counts = reject_counts(judged).first()
-    found = {BAD_TIMESTAMP: counts["bad_timestamps"], BAD_PRICE: counts["bad_prices"]}
-    problems = [f"{found[reason]} rows with {reason}" for reason in fatal if found[reason]]
+    counts = judged.agg(*[F.count_if(F.col("reason") == reason).alias(reason) for reason in fatal]).first()
+    problems = [f"{counts[reason]} rows with {reason}" for reason in fatal if counts[reason]]
     if problems:
         raise ValueError("; ".join(problems))
     return accepted(judged)
 
 
 def strict_bars(judged: DataFrame) -> DataFrame:
-    """A bad timestamp rejects the batch; a row with a bad price is left out."""
-    return strict(judged, (BAD_TIMESTAMP,))
+    """A bad timestamp or name rejects the batch; a row with a bad price is left out."""
+    return strict(judged, BAD_NAME, BAD_TIMESTAMP)
 
 
 def strict_ticks(judged: DataFrame) -> DataFrame:
-    """A bad timestamp or a bad price rejects the batch."""
-    return strict(judged, (BAD_TIMESTAMP, BAD_PRICE))
+    """A bad timestamp, name or price rejects the batch."""
+    return strict(judged, BAD_NAME, BAD_TIMESTAMP, BAD_PRICE)
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

@@ -13,12 +13,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.timeframe import SECONDS, check_timeframe, derivation_targets, valid_instrument, valid_timeframe
+from barlake.functions.timeframe import SECONDS, check_timeframe, derivation_targets
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.operators import dedupe, ladder, merge, quality
 from barlake.schema import BAR_KEY, DERIVED, RAW, TICK_KEY
 from barlake.sources import files
-from barlake.sources.store import Store
+from barlake.sources.store import Days, Store
 
 REFRESH_DAYS = (1, 365)
 
@@ -45,7 +45,7 @@ def ingest_bars(
     """Bars of a frame. A bad timestamp rejects all, rows with a bad price are left out."""
     with store.workspace() as stage:
         judged = stage(_named(quality.judged_bars(bars, column_map), instrument, timeframe), "judged")
-        return _merge_bars(store, stage, _checked(quality.strict_bars(judged)), derive, scope)
+        return _merge_bars(store, stage, quality.strict_bars(judged), derive, scope)
 
 
 def ingest_ticks(
@@ -59,7 +59,7 @@ def ingest_ticks(
     """Ticks of a frame. A bad timestamp or price rejects all; of one key the last by `order` counts."""
     with store.workspace() as stage:
         judged = stage(_named(quality.judged_ticks(ticks), instrument, "TICK"), "judged")
-        return _merge_ticks(store, stage, _checked(quality.strict_ticks(judged)), derive, order, scope)
+        return _merge_ticks(store, stage, quality.strict_ticks(judged), derive, order, scope)
 
 
 def ingest_bar_files(store: Store, folder: str, derive: bool = True, **given) -> Report:
@@ -150,18 +150,19 @@ def _merge_bars(store: Store, stage, rows: DataFrame, derive: bool, scope: str,
     incoming = stage(dedupe.latest_bars(rows, RAW, order), "bars")
     by = ["instrument", "timeframe"]
     read = rows.groupBy(*by).agg(F.count("*").alias("rows_in_file"))
-    counts = merge.upsert_counts(store.touched("bars", incoming), incoming, BAR_KEY, by)
+    names = store.partitions("bars", incoming)
+    counts = merge.upsert_counts(store.touched("bars", incoming, names), incoming, BAR_KEY, by)
     series = store.stage(counts.join(read, by), "report")
     if not derive:
-        store.merge_bars(incoming)
+        store.merge_bars(incoming, names)
         return Report(series, None)
     sources = [tf for tf in SECONDS if derivation_targets(tf)]
-    days = stage(_days(incoming.where(F.col("timeframe").isin(*sources)), by, scope), "days")
-    base = merge.upsert_bars(store.on_days("bars", days), incoming.where(F.col("timeframe").isin(*sources)))
+    ladder_rows = incoming.where(F.col("timeframe").isin(*sources))
+    days = Days.of(_days(ladder_rows, by, scope), by, stage)
+    base = merge.upsert_bars(store.on_days("bars", days), ladder_rows)
     present = [r[0] for r in series.select("timeframe").distinct().collect() if r[0] in sources]
     fresh = ladder.ladder_from_bars(base, present[0]) if len(present) == 1 else ladder.ladder_mixed(base)
-    all_days = days.select("instrument", "date").distinct()
-    derived = stage(ladder.protect_raw(fresh, store.on_days("bars", all_days), incoming), "derived")
+    derived = stage(ladder.protect_raw(fresh, store.on_days("bars", days.per_instrument()), incoming), "derived")
     store.merge_bars(incoming.unionByName(derived))
     return Report(series, _derived_now(store, series))
 
@@ -170,16 +171,17 @@ def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list
     incoming = stage(dedupe.latest_ticks(rows, order), "ticks")
     read = quality.distinct_rows(rows.select("instrument", "timestamp", *_values(rows)))
     read = read.groupBy("instrument").agg(F.count("*").alias("rows_in_file"))
-    counts = merge.upsert_counts(store.touched("ticks", incoming), incoming, TICK_KEY, ["instrument"])
+    names = store.partitions("ticks", incoming)
+    counts = merge.upsert_counts(store.touched("ticks", incoming, names), incoming, TICK_KEY, ["instrument"])
     series = store.stage(counts.join(read, "instrument"), "report")
     if not derive:
-        store.merge_ticks(incoming)
+        store.merge_ticks(incoming, names)
         return Report(series, None)
-    days = stage(_days(incoming, ["instrument"], scope), "days")
+    days = Days.of(_days(incoming, ["instrument"], scope), ["instrument"], stage)
     base = merge.upsert_ticks(store.on_days("ticks", days), incoming)
     fresh = ladder.ladder_from_ticks(base)
     derived = stage(ladder.protect_raw(fresh, store.on_days("bars", days)), "derived")
-    store.merge_ticks(incoming)
+    store.merge_ticks(incoming, names)
     store.merge_bars(derived)
     return Report(series, _derived_now(store, series))
 
@@ -235,20 +237,7 @@ def _good_files(store: Store, stage, batch: files.FileBatch, fatal: tuple[str, .
 def _named(rows: DataFrame, instrument: str | None, timeframe: str | None) -> DataFrame:
     given = {"instrument": instrument, "timeframe": timeframe}
     rows = rows.withColumns({name: F.lit(value) for name, value in given.items() if value})
-    return quality.require(rows, list(given))
-
-
-def _checked(rows: DataFrame) -> DataFrame:
-    """The rows, or ValueError if a name among them is not valid (one aggregation job)."""
-    bad = rows.agg(
-        F.count_if(~valid_instrument("instrument")).alias("instruments"),
-        F.count_if(~valid_timeframe("timeframe")).alias("timeframes"),
-    ).first()
-    if bad["instruments"] or bad["timeframes"]:
-        raise ValueError(
-            f"{bad['instruments']} rows with invalid instrument, {bad['timeframes']} rows with invalid timeframe"
-        )
-    return rows
+    return quality.judge_names(quality.require(rows, list(given)))
 
 
 def _values(rows: DataFrame) -> list[str]:

@@ -464,7 +464,7 @@ def _(spark, sf):
       WHEN 4 THEN concat(substring(CAST(ts AS STRING), 1, 16), '-0530')
       WHEN 5 THEN replace(substring(CAST(ts AS STRING), 1, 10), '-', '') ELSE event_type END AS text"""
     rows = views.table(spark, sf, "events").selectExpr("event_id", text)
-    parsed = rows.select("event_id", parse_utc("text").alias("timestamp"))
+    parsed = parse_utc(rows, "text").withColumnRenamed("text", "timestamp")
     return parsed.withColumn("reason", F.when(F.col("timestamp").isNull(), quality.BAD_TIMESTAMP))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.timestamps import iso_text
 from barlake.schema import BARS, RAW, TICKS
+from barlake.sources import hadoop
 from barlake.sources.store import Store
 
 # Manifest version and names, folder names and partitioning of a snapshot.
@@ -45,18 +45,15 @@ def export_snapshot(store: Store, folder: str) -> dict:
             "row_count": _snapshot_rows(store, path, table).count(),
             "partition_by": parts,
         }
-    _write_manifest(store, folder, manifest)
+    hadoop.write_text(store.spark, f"{folder}/{MANIFEST}", json.dumps(manifest, indent=2))
     return manifest
 
 
 def read_manifest(store: Store, folder: str) -> dict:
-    try:
-        text = store.spark.read.text(f"{folder}/{MANIFEST}", wholetext=True).first()
-    except AnalysisException as error:
-        raise FileNotFoundError(f"no manifest in {folder}") from error
+    text = hadoop.read_text(store.spark, f"{folder}/{MANIFEST}")
     if text is None:
         raise FileNotFoundError(f"no manifest in {folder}")
-    manifest = json.loads(text[0])
+    manifest = json.loads(text)
     if manifest.get("schema_version") != SCHEMA_VERSION:
         raise ValueError(f"unsupported schema_version {manifest.get('schema_version')}; expected {SCHEMA_VERSION}")
     return manifest
@@ -86,16 +83,6 @@ def _snapshot_rows(store: Store, path: str, table: str) -> DataFrame:
     return store.spark.read.schema(schema).parquet(path)
 
 
-def _write_manifest(store: Store, folder: str, manifest: dict) -> None:
-    """One small JSON file through the file system of the cluster."""
-    jvm = store.spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")
-    system = path.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration())
-    out = system.create(path, True)
-    out.write(bytearray(json.dumps(manifest, indent=2).encode()))
-    out.close()
-
-
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV files with a header, in order of timestamp: the files follow each other in time, none is one task's whole."""
     text = [iso_text(c, " ").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in rows.dtypes]

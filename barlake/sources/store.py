@@ -1,139 +1,188 @@
 """The two stored tables, as partitioned Parquet.
 
-bars/instrument=/timeframe=/year=/ and ticks/instrument=/date=/ . `year` and `date` come from the timestamp and are
-not part of a result; they bound how much an upsert rewrites and how much a range query reads.
+bars/instrument=/timeframe=/period=/ with the year as period for M1 and M5, and 0 (all time) for other timeframes, whose
+whole history is small; ticks/instrument=/date=/ with the first day of the tick period. Both come from the timestamp
+and are not part of a result; they bound how much an upsert rewrites and how much a range query reads. Files are
+sorted by time, so row groups outside a time range are skipped as well.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.schema import BAR_KEY, BARS, TICK_KEY, TICKS
 from barlake.session import stage, work_dir
+from barlake.sources import hadoop
 
-# Up to this many touched partitions are named in the scan filter; beyond it they are matched with a join.
-MAX_NAMED_PARTITIONS = 10_000
+# Up to this many touched partitions or days are named in the scan filter; beyond it they are matched with a join.
+MAX_NAMED = 10_000
 
-BAR_PARTS = ["instrument", "timeframe", "year"]
-TICK_PARTS = ["instrument", "date"]
+PARTS = {"bars": ["instrument", "timeframe", "period"], "ticks": ["instrument", "date"]}
+COLUMNS = {"bars": BARS.names, "ticks": TICKS.names}
+STORED = {
+    "bars": T.StructType([*BARS.fields, T.StructField("period", T.IntegerType())]),
+    "ticks": T.StructType([*TICKS.fields, T.StructField("date", T.DateType())]),
+}
+YEARLY = ("M1", "M5")
+TICK_PERIODS = {"day": None, "month": "MM", "year": "YY"}
+LAYOUT = "_layout.json"
+
+
+@dataclass
+class Days:
+    """Whole UTC days of instruments, or of (instrument, timeframe) series, to read again.
+
+    `frame` holds them all; `known` holds the same rows where they are few enough to be named.
+    """
+
+    frame: DataFrame
+    by: list[str]
+    known: list[Row] | None
+
+    @staticmethod
+    def of(frame: DataFrame, by: list[str], stage: Callable[[DataFrame, str], DataFrame]) -> Days:
+        few = frame.select(*by, "date").limit(MAX_NAMED + 1).collect()
+        if len(few) > MAX_NAMED:
+            return Days(stage(frame.select(*by, "date"), "days"), by, None)
+        return Days(frame.sparkSession.createDataFrame(few, frame.select(*by, "date").schema), by, few)
+
+    def per_instrument(self) -> Days:
+        known = None if self.known is None else [Row(instrument=d["instrument"], date=d["date"]) for d in self.known]
+        return Days(self.frame.select("instrument", "date").distinct(), ["instrument"], known)
 
 
 class Store:
     """Bars and ticks under one root folder that every executor can reach."""
 
-    def __init__(self, spark: SparkSession, root: str, tick_period: str = "day"):
-        """`tick_period` (day, month or year) sets the span of a tick partition; keep it the same for one root."""
+    def __init__(self, spark: SparkSession, root: str, tick_period: str = "month"):
+        """`tick_period` (day, month or year) sets the span of a tick partition: shorter for denser ticks.
+
+        It is fixed for a root with its first write.
+        """
+        if tick_period not in TICK_PERIODS:
+            raise ValueError(f"tick_period must be one of {list(TICK_PERIODS)}")
         self.spark = spark
         self.root = root.rstrip("/")
         self.tick_period = tick_period
         self.staging = work_dir(spark, fallback=f"{self.root}/_staging")
+        self._fix_layout({"tick_period": tick_period})
+
+    def _fix_layout(self, layout: dict) -> None:
+        """Rows in a partition of another span would not be found by an upsert, so a root keeps its layout."""
+        known = hadoop.read_text(self.spark, f"{self.root}/{LAYOUT}")
+        if known is None:
+            hadoop.write_text(self.spark, f"{self.root}/{LAYOUT}", json.dumps(layout))
+        elif json.loads(known) != layout:
+            raise ValueError(f"store at {self.root} has layout {known}")
 
     # -- reading -----------------------------------------------------------------------------------------------
 
     def bars(self, start: datetime | str | None = None, end: datetime | str | None = None) -> DataFrame:
         """Stored bars, optionally from `start` to `end` inclusive; add equality filters on instrument and timeframe."""
-        return self._scan("bars", start, end).select(*BARS.names)
+        rows = self._table("bars")
+        if start is not None:
+            year = naive_utc(start).year
+            rows = rows.where(F.col("period").isin(0) | (F.col("period") >= year)).where(F.col("timestamp") >= ntz(start))
+        if end is not None:
+            rows = rows.where((F.col("period") <= naive_utc(end).year) & (F.col("timestamp") <= ntz(end)))
+        return rows.select(*BARS.names)
 
     def ticks(self, start: datetime | str | None = None, end: datetime | str | None = None) -> DataFrame:
-        return self._scan("ticks", start, end).select(*TICKS.names)
-
-    def _scan(self, table: str, start=None, end=None) -> DataFrame:
-        rows = self._table(table)
+        rows = self._table("ticks")
         if start is not None:
-            rows = rows.where((F.col(_period(table)) >= self._period_of(table, start)) & (F.col("timestamp") >= ntz(start)))
+            rows = rows.where((F.col("date") >= self._tick_period_start(ntz(start))) & (F.col("timestamp") >= ntz(start)))
         if end is not None:
-            rows = rows.where((F.col(_period(table)) <= self._period_of(table, end)) & (F.col("timestamp") <= ntz(end)))
-        return rows
+            rows = rows.where((F.col("date") <= self._tick_period_start(ntz(end))) & (F.col("timestamp") <= ntz(end)))
+        return rows.select(*TICKS.names)
+
+    def partitions(self, table: str, changes: DataFrame) -> list[str] | None:
+        """Names of the partitions that `changes` falls into, or None where there are too many to name."""
+        wanted = self._with_period(table, changes).select(*PARTS[table]).distinct()
+        few = wanted.limit(MAX_NAMED + 1).collect()
+        return None if len(few) > MAX_NAMED else ["/".join(str(value) for value in row) for row in few]
+
+    def touched(self, table: str, changes: DataFrame, names: list[str] | None) -> DataFrame:
+        """Stored rows of those partitions; beyond the names, of the partitions matched with a join."""
+        return self._in_partitions(table, changes, names).select(*COLUMNS[table])
+
+    def on_days(self, table: str, days: Days) -> DataFrame:
+        """Stored rows of the given days."""
+        rows = self._table(table)
+        if days.known is not None:
+            if not days.known:
+                return rows.select(*COLUMNS[table]).limit(0)
+            # Literals over partition columns and time prune the scan; the join then keeps exactly the given days.
+            first, last = min(d["date"] for d in days.known), max(d["date"] for d in days.known)
+            rows = rows.where(F.col("instrument").isin(*{d["instrument"] for d in days.known}))
+            rows = _between(rows, ntz(str(first)), ntz(f"{last} 23:59:59.999999"))
+            if table == "bars":
+                rows = rows.where(F.col("period").isin(0) | F.col("period").between(first.year, last.year))
+            else:
+                periods = [self._tick_period_start(ntz(str(day))) for day in (first, last)]
+                rows = rows.where(F.col("date").between(*periods))
+        rows = rows.select(*COLUMNS[table]).withColumn("date", F.col("timestamp").cast("date"))
+        return rows.join(days.frame, [*days.by, "date"], "left_semi").drop("date")
 
     def _table(self, table: str) -> DataFrame:
         """All stored rows with their partition columns; the fixed schema keeps a name like 600519 a string."""
-        schema = _stored_schema(table)
         try:
-            return self.spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(f"{self.root}/{table}")
+            return self.spark.read.schema(STORED[table]).parquet(f"{self.root}/{table}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], STORED[table])
+
+    def _in_partitions(self, table: str, changes: DataFrame, names: list[str] | None) -> DataFrame:
+        stored, parts = self._table(table), PARTS[table]
+        if names is None:
+            wanted = self._with_period(table, changes).select(*parts).distinct()
+            return stored.join(wanted, parts, "left_semi")
+        # Only partition columns, so this is settled on the file listing: other partitions are not opened.
+        return stored.where(F.concat_ws("/", *[F.col(p).cast("string") for p in parts]).isin(names))
 
     # -- writing -----------------------------------------------------------------------------------------------
 
-    def merge_bars(self, changes: DataFrame) -> None:
-        self._merge("bars", changes.select(*BARS.names), BAR_KEY, BAR_PARTS)
+    def merge_bars(self, changes: DataFrame, names: list[str] | None = None) -> None:
+        self._merge("bars", changes, BAR_KEY, names)
 
-    def merge_ticks(self, changes: DataFrame) -> None:
-        self._merge("ticks", changes.select(*TICKS.names), TICK_KEY, TICK_PARTS)
+    def merge_ticks(self, changes: DataFrame, names: list[str] | None = None) -> None:
+        self._merge("ticks", changes, TICK_KEY, names)
 
-    def _merge(self, table: str, changes: DataFrame, keys: list[str], parts: list[str]) -> None:
+    def _merge(self, table: str, changes: DataFrame, keys: list[str], names: list[str] | None) -> None:
         """Replace or add the changed rows: the touched partitions are rewritten by one job with one commit.
 
-        `changes` holds a key at most once and should be a staged frame, as it is read more than once here.
+        `changes` holds a key at most once and should be a staged frame, as it is read more than once here. `names`
+        are its partitions, where the caller has them.
         """
+        changes = changes.select(*COLUMNS[table])
+        names = names if names is not None else self.partitions(table, changes)
+        existing = self._in_partitions(table, changes, names)
         changes = self._with_period(table, changes)
-        existing = self._partitions(table, changes, parts)
-        on = list(dict.fromkeys([*parts, *keys]))
+        on = list(dict.fromkeys([*PARTS[table], *keys]))
         kept = existing.join(changes.select(*on), on, "left_anti")
-        self._write(table, changes.unionByName(kept), parts)
+        self._write(table, changes.unionByName(kept))
 
     def replace(self, table: str, rows: DataFrame) -> None:
         """Replace the whole table by `rows`, which may have been computed from it."""
-        parts = BAR_PARTS if table == "bars" else TICK_PARTS
-        columns = BARS.names if table == "bars" else TICKS.names
-        staged = self.stage(self._with_period(table, rows.select(*columns)), table)
-        self._write(table, staged, parts, mode="static")
-
-    def stage(self, df: DataFrame, label: str) -> DataFrame:
-        return stage(df, self.staging, label)
-
-    @contextmanager
-    def workspace(self) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-        """A stage function whose files are removed when the block ends; results read from them must not leave it."""
-        folder = f"{self.staging}/work-{uuid.uuid4().hex}"
-        try:
-            yield lambda df, label: stage(df, folder, label)
-        finally:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    # -- parts of a table ----------------------------------------------------------------------------------------
-
-    def touched(self, table: str, changes: DataFrame) -> DataFrame:
-        """Stored rows of the partitions that `changes` falls into."""
-        parts = BAR_PARTS if table == "bars" else TICK_PARTS
-        return self._partitions(table, self._with_period(table, changes), parts)
-
-    def on_days(self, table: str, days: DataFrame) -> DataFrame:
-        """Stored rows of the given days: `days` holds instrument, date and, for one bar series, timeframe."""
-        by = [c for c in ("instrument", "timeframe") if c in days.columns]
-        period = _period(table)
-        periods = self._with_period(table, days, "date")
-        rows = self._partitions(table, periods, [*by, period]).drop(period)
-        rows = rows.withColumn("date", F.col("timestamp").cast("date"))
-        return rows.join(days, [*by, "date"], "left_semi").drop("date")
-
-    def _partitions(self, table: str, rows: DataFrame, parts: list[str]) -> DataFrame:
-        stored = self._table(table)
-        wanted = rows.select(*parts).distinct()
-        few = wanted.limit(MAX_NAMED_PARTITIONS + 1).collect()
-        if len(few) > MAX_NAMED_PARTITIONS:
-            return stored.join(wanted, parts, "left_semi")
-        names = ["/".join(str(value) for value in row) for row in few]
-        # Only partition columns, so this is settled on the file listing: other partitions are not opened.
-        return stored.where(F.concat_ws("/", *[F.col(p).cast("string") for p in parts]).isin(names))
+        staged = self.stage(self._with_period(table, rows.select(*COLUMNS[table])), table)
+        self._write(table, staged, mode="static")
 
-    def _write(self, table: str, rows: DataFrame, parts: list[str], mode: str = "dynamic") -> None:
+    def _write(self, table: str, rows: DataFrame, mode: str = "dynamic") -> None:
         """`rebalance` splits a partition too large for one task and joins small ones; files are sorted by time."""
-        columns = _stored_schema(table).names
+        parts = PARTS[table]
         (
-            rows.select(*columns)
+            rows.select(*STORED[table].names)
             .hint("rebalance", *parts)
             .sortWithinPartitions(*parts, "timestamp")
             .write.mode("overwrite")
@@ -142,26 +191,31 @@ class Store:
             .parquet(f"{self.root}/{table}")
         )
 
-    def _with_period(self, table: str, rows: DataFrame, moment: str = "timestamp") -> DataFrame:
-        day = F.col(moment).cast("date")
-        if table == "bars":
-            return rows.withColumn("year", F.year(day))
-        units = {"day": day, "month": F.trunc(day, "MM"), "year": F.trunc(day, "YY")}
-        return rows.withColumn("date", units[self.tick_period])
+    def _with_period(self, table: str, rows: DataFrame) -> DataFrame:
+        if table == "ticks":
+            return rows.withColumn("date", self._tick_period_start(F.col("timestamp")))
+        return rows.withColumn(
+            "period", F.when(F.col("timeframe").isin(*YEARLY), F.year("timestamp")).otherwise(F.lit(0))
+        )
+
+    def _tick_period_start(self, moment):
+        day, unit = moment.cast("date"), TICK_PERIODS[self.tick_period]
+        return F.trunc(day, unit) if unit else day
 
-    def _period_of(self, table: str, moment: datetime | str):
-        t = naive_utc(moment)
-        if table == "bars":
-            return F.lit(t.year)
-        first = {"day": t, "month": t.replace(day=1), "year": t.replace(month=1, day=1)}[self.tick_period]
-        return F.lit(first.date())
+    # -- staged results ----------------------------------------------------------------------------------------
 
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        return stage(df, self.staging, label)
 
-def _period(table: str) -> str:
-    return "year" if table == "bars" else "date"
+    @contextmanager
+    def workspace(self) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+        """A stage function whose files are removed when the block ends; results read from them must not leave it."""
+        folder = f"{self.staging}/work-{uuid.uuid4().hex}"
+        try:
+            yield lambda df, label: stage(df, folder, label)
+        finally:
+            hadoop.remove(self.spark, folder)
 
 
-def _stored_schema(table: str) -> T.StructType:
-    base = BARS if table == "bars" else TICKS
-    kind = T.IntegerType() if table == "bars" else T.DateType()
-    return T.StructType([*base.fields, T.StructField(_period(table), kind)])
+def _between(rows: DataFrame, first, last) -> DataFrame:
+    return rows.where((F.col("timestamp") >= first) & (F.col("timestamp") <= last))
