@@ -109,9 +109,11 @@ def derived_counts(bars: DataFrame, start: datetime, end: datetime) -> DataFrame
 
 
 def _fan_out(bars: DataFrame, targets: list[str], keep: list[str]) -> DataFrame:
+    """One row per bar and target, with the bucket it belongs to. `inline` leaves the partitioning as it is."""
     for target in targets:
         bars = with_bucket(bars, target, target)
-    return bars.unpivot(["instrument", *keep, "timestamp", *PRICES], targets, "timeframe", "bucket")
+    levels = F.array(*[F.struct(F.lit(t).alias("timeframe"), F.col(t).alias("bucket")) for t in targets])
+    return bars.select("instrument", *keep, "timestamp", *PRICES, F.inline(levels))
 
 
 def _fold_levels(bars: DataFrame, targets: list[str], by: list[str] | None = None) -> DataFrame:

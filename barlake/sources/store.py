@@ -174,9 +174,14 @@ class Store:
         self._write(table, changes.unionByName(kept))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Replace the whole table by `rows`, which may have been computed from it."""
-        staged = self.stage(self._with_period(table, rows.select(*COLUMNS[table])), table)
+        """Replace the whole table by `rows`, which may have been computed from it.
+
+        The new table is staged first. If the write itself fails, the staged copy is kept and is the table.
+        """
+        folder = f"{self.staging}/replace-{uuid.uuid4().hex}"
+        staged = stage(self._with_period(table, rows.select(*COLUMNS[table])), folder, table)
         self._write(table, staged, mode="static")
+        hadoop.remove(self.spark, folder)
 
     def _write(self, table: str, rows: DataFrame, mode: str = "dynamic") -> None:
         """`rebalance` splits a partition too large for one task and joins small ones; files are sorted by time."""
