@@ -43,10 +43,10 @@ def latest_bars(df: DataFrame, source: str = "raw", order: list[str] | None = No
 
 def latest_ticks(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One tick per key: the last by `order`, else the greatest by (price, volume, bid, ask)."""
-    values = ["price", "volume", "bid", "ask"]
-    ticks = as_ticks(df) if not order else df.select(*as_ticks(df).columns, *order)
+    ticks = as_ticks(df, *(order or []))
     if order:
         return last_per_key(ticks, TICK_KEY, order)
+    values = ["price", "volume", "bid", "ask"]
     return ticks.groupBy(*TICK_KEY).agg(F.max(F.struct(*values)).alias("tick")).select(*TICK_KEY, "tick.*")
 
 

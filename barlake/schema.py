@@ -43,11 +43,11 @@ def as_bars(df: DataFrame, source: str = RAW) -> DataFrame:
     return df.select(*BAR_KEY, *PRICES, src.alias("source"))
 
 
-def as_ticks(df: DataFrame) -> DataFrame:
-    """Ticks in schema order; absent volume becomes 0.0, absent bid and ask become null."""
+def as_ticks(df: DataFrame, *keep: str) -> DataFrame:
+    """Ticks in schema order, then `keep`; absent volume becomes 0.0, absent bid and ask become null."""
     fill = {"volume": F.lit(0.0), "bid": F.lit(None).cast("double"), "ask": F.lit(None).cast("double")}
     optional = [F.col(c) if c in df.columns else fill[c].alias(c) for c in fill]
-    return df.select(*TICK_KEY, "price", *optional)
+    return df.select(*TICK_KEY, "price", *optional, *keep)
 
 
 def is_raw(source="source"):

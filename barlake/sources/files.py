@@ -10,6 +10,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,15 +43,19 @@ class FileBatch:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """CSV files of a folder; only names are read, as the content column is pruned."""
+    """CSV files of a folder; only names are read, as the content column is pruned.
+
+    `file` is the name that the scans report for their rows, in which special characters are escaped; `path` opens it.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
-    return found.select(F.col("path").alias("file"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    return found.select(F.col("_metadata.file_path").alias("file"), "path", name)
 
 
 def with_headers(files: DataFrame) -> DataFrame:
     """Add the first line and the text encoding of each file; tasks read only the start of their files."""
-    schema = "file string, name string, header string, encoding string"
-    return files.select("file", "name").mapInPandas(_read_headers, schema)
+    schema = "file string, path string, name string, header string, encoding string"
+    return files.select("file", "path", "name").mapInPandas(_read_headers, schema)
 
 
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,14 +63,19 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         found = []
-        for uri in batch["file"]:
-            # The file source writes file:/path, the standard form is file:///path.
-            system, path = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+        for uri in batch["path"]:
+            system, path = fs.FileSystem.from_uri(_standard_uri(uri))
             with system.open_input_stream(path) as stream:
                 found.append(_first_line(stream.read(HEADER_BYTES)))
         yield batch.assign(header=[h for h, _ in found], encoding=[e for _, e in found])
 
 
+def _standard_uri(name: str) -> str:
+    """The file source writes file:/some path, the standard form is file:///some%20path."""
+    scheme, host, path = re.match(r"^([A-Za-z0-9+.\-]+):(?://([^/]*))?(/.*)$", name).groups()
+    return f"{scheme}://{host or ''}{quote(path)}"
+
+
 def _first_line(start: bytes) -> tuple[str, str]:
     """First line and encoding: UTF-8 unless the bytes say otherwise."""
     line = start.split(b"\n", 1)[0]
@@ -140,7 +150,7 @@ def _read(spark: SparkSession, files: DataFrame, frame, values: list[str], colum
     scans = []
     for (layout, header, encoding), members in groups.items():
         try:
-            scans.append(frame(spark, layout, header, encoding, [m["file"] for m in members], column_map))
+            scans.append(frame(spark, layout, header, encoding, [m["path"] for m in members], column_map))
             described.extend(members)
         except ValueError as problem:
             described.extend(type(members[0])(**{**m.asDict(), "error": str(problem)}) for m in members)

@@ -36,7 +36,7 @@ STORED = {
 }
 YEARLY = ("M1", "M5")
 TICK_PERIODS = {"day": None, "month": "MM", "year": "YY"}
-LAYOUT = "_layout.json"
+LAYOUT = "layout.json"
 
 
 @dataclass
