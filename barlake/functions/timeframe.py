@@ -16,7 +16,9 @@ INSTRUMENT_PATTERN = r"^[A-Za-z0-9_\-&]+$"
 INSTRUMENT_MAX = 50
 TIMEFRAME_PATTERN = r"(?i)^((M|H|D|W|MN)\d+|\d+(m|h|d|w)|TICK)$"
 TIMEFRAME_MAX = 10
-SNAP_PATTERN = r"^(M|H|D|W|MN)(\d+)?$"
+SNAP_PATTERN = r"^(M|H|D)(\d+)?$"
+WEEK_PATTERN = r"^W\d*$"
+MONTH_PATTERN = r"^MN\d*$"
 UNIT_SECONDS = {"M": 60, "H": 3600, "D": 86400}
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -79,25 +81,35 @@ def with_bucket(df: DataFrame, timeframe: str, name: str, timestamp: str = "time
     return df.withColumn(name, F.window(timestamp, width(timeframe)).start)
 
 
-def bucket_start(timestamp: Column | str, timeframe: Column | str) -> Column:
-    """Canonical bucket start for a timeframe held in a column.
+def with_bucket_start(df: DataFrame, name: str, timestamp: str = "timestamp", timeframe: str = "timeframe") -> DataFrame:
+    """Add the canonical bucket start for a timeframe held in a column.
 
     Minutes, hours and days floor from the epoch with any multiple, weeks start on Monday, months on the first;
-    any other timeframe leaves the timestamp as it is.
+    any other timeframe leaves the timestamp as it is. The width is a column of its own, so it is computed once.
     """
-    ts = F.col(timestamp) if isinstance(timestamp, str) else timestamp
-    tf = F.upper(F.col(timeframe) if isinstance(timeframe, str) else timeframe)
-    unit = F.regexp_extract(tf, SNAP_PATTERN, 1)
-    digits = F.regexp_extract(tf, SNAP_PATTERN, 2)
-    n = F.when(digits == "", F.lit(1)).otherwise(digits.try_cast("bigint"))
-    unit_micros = F.lit(None).cast("bigint")
-    for name, seconds in UNIT_SECONDS.items():
-        unit_micros = F.when(unit == name, F.lit(seconds * 1_000_000).cast("bigint")).otherwise(unit_micros)
-    micros = F.try_multiply(n, unit_micros)
+    tf, ts, width_micros = F.upper(F.col(timeframe)), F.col(timestamp), F.col("_width")
+    known = F.create_map(*[F.lit(v) for tf_, s in SECONDS.items() for v in (tf_, s * 1_000_000)])
     since_epoch = F.call_function("div", ts - F.expr(EPOCH), F.expr("INTERVAL '0.000001' SECOND"))
-    rest = F.pmod(since_epoch, F.nullif(micros, F.lit(0).cast("bigint")))
-    floored = F.timestamp_add("MICROSECOND", -rest, ts)
     day = ts.cast("date")
     week = F.date_sub(day, F.weekday(day)).cast("timestamp_ntz")
     month = F.trunc(day, "MM").cast("timestamp_ntz")
-    return F.when(unit == "W", week).when(unit == "MN", month).otherwise(F.coalesce(floored, ts))
+    start = (
+        F.when(width_micros.isNotNull(), F.timestamp_add("MICROSECOND", -F.pmod(since_epoch, width_micros), ts))
+        .when(tf.rlike(WEEK_PATTERN), week)
+        .when(tf.rlike(MONTH_PATTERN), month)
+        .otherwise(ts)
+    )
+    # The usual timeframes are looked up; only others are taken apart.
+    found = F.coalesce(F.try_element_at(known, tf).cast("bigint"), _other_micros(tf))
+    columns = [c for c in df.columns if c != name]
+    return df.withColumn("_width", found).select(*columns, start.alias(name))
+
+
+def _other_micros(tf: Column) -> Column:
+    """Width of a bucket of any whole number of minutes, hours or days; null for other timeframes."""
+    unit, digits = F.regexp_extract(tf, SNAP_PATTERN, 1), F.regexp_extract(tf, SNAP_PATTERN, 2)
+    n = F.when(digits == "", F.lit(1)).otherwise(digits.try_cast("bigint"))
+    micros = F.lit(None).cast("bigint")
+    for name, seconds in UNIT_SECONDS.items():
+        micros = F.when(unit == name, F.lit(seconds * 1_000_000).cast("bigint")).otherwise(micros)
+    return F.nullif(F.try_multiply(n, micros), F.lit(0).cast("bigint"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.timeframe import bucket_start
+from barlake.functions.timeframe import with_bucket_start
 from barlake.schema import BARS, PRICES, TICK_KEY, as_bars, as_ticks, is_raw, source_name
 
 # Fixed value: the timeframes that vendors stamp at differing hours.
@@ -29,7 +29,7 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def snapped_bars(df: DataFrame) -> DataFrame:
     """Bars stamped with their canonical bucket; the original stamp stays as `stamp`."""
-    return df.withColumn("stamp", F.col("timestamp")).withColumn("timestamp", bucket_start("timestamp", "timeframe"))
+    return with_bucket_start(df.withColumnRenamed("timestamp", "stamp"), "timestamp", "stamp")
 
 
 def latest_bars(df: DataFrame, source: str = "raw", order: list[str] | None = None) -> DataFrame:
@@ -65,9 +65,7 @@ def collapse_offset_bars(bars: DataFrame, timeframes: tuple[str, ...] = OFFSET_T
 def collapse_report(bars: DataFrame, timeframes: tuple[str, ...] = OFFSET_TIMEFRAMES) -> DataFrame:
     """Rows before and after a collapse, per series: buckets are counted in two steps rather than distinct in one."""
     _check(timeframes)
-    chosen = bars.where(F.col("timeframe").isin(*timeframes)).select(
-        "instrument", "timeframe", bucket_start("timestamp", "timeframe").alias("bucket")
-    )
+    chosen = with_bucket_start(bars.where(F.col("timeframe").isin(*timeframes)), "bucket")
     per_bucket = chosen.groupBy("instrument", "timeframe", "bucket").agg(F.count("*").alias("n"))
     return per_bucket.groupBy("instrument", "timeframe").agg(
         F.sum("n").alias("rows_before"),

@@ -84,10 +84,11 @@ def ladder_mixed(bars: DataFrame) -> DataFrame:
     return _as_derived(finest, F.col("bucket"))
 
 
-def protect_raw(derived: DataFrame, *stored: DataFrame) -> DataFrame:
-    """Leave out derived bars whose key is held by a raw bar."""
+def protect_raw(derived: DataFrame, *stored: DataFrame, targets: list[str] | None = None) -> DataFrame:
+    """Leave out derived bars whose key is held by a raw bar; only raw bars of the target timeframes are read."""
     for bars in stored:
-        raw_keys = bars.where(F.col("source") == RAW).select(*BAR_KEY)
+        relevant = F.col("timeframe").isin(*(targets or tick_targets()))
+        raw_keys = bars.where(relevant & (F.col("source") == RAW)).select(*BAR_KEY)
         derived = derived.join(raw_keys, BAR_KEY, "left_anti")
     return derived
 

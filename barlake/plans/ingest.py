@@ -13,7 +13,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.timeframe import SECONDS, check_timeframe, derivation_targets
+from barlake.functions.timeframe import LADDER, SECONDS, check_timeframe, derivation_targets
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.operators import dedupe, ladder, merge, quality
 from barlake.schema import BAR_KEY, DERIVED, RAW, TICK_KEY
@@ -67,7 +67,7 @@ def ingest_bar_files(store: Store, folder: str, derive: bool = True, **given) ->
     batch = files.read_bar_files(store.spark, folder, **given)
     with store.workspace() as stage:
         rows, outcome = _good_files(store, stage, batch, (quality.BAD_TIMESTAMP,))
-        report = _merge_bars(store, stage, rows, derive, "window", ["file", "stamp"])
+        report = _merge_bars(store, stage, rows, derive, "window", ["place", "stamp"])
         return Report(report.series, report.derived, outcome)
 
 
@@ -76,8 +76,8 @@ def ingest_tick_files(store: Store, folder: str, derive: bool = True, **given) -
     batch = files.read_tick_files(store.spark, folder, **given)
     with store.workspace() as stage:
         rows, outcome = _good_files(store, stage, batch, (quality.BAD_TIMESTAMP, quality.BAD_PRICE))
-        rows = rows.withColumn("place", F.struct("price", "volume", "bid", "ask"))
-        report = _merge_ticks(store, stage, rows, derive, ["file", "place"], "window")
+        rows = rows.withColumn("values", F.struct("price", "volume", "bid", "ask"))
+        report = _merge_ticks(store, stage, rows, derive, ["place", "values"], "window")
         return Report(report.series, report.derived, outcome)
 
 
@@ -103,7 +103,7 @@ def refresh(
         recent = rows.where(
             (F.col("timestamp") >= ntz(end - timedelta(days=days))) & (F.col("timestamp") <= ntz(end))
         )
-        report = _merge_bars(store, stage, recent, True, "window", ["file", "stamp"])
+        report = _merge_bars(store, stage, recent, True, "window", ["place", "stamp"])
         return Report(report.series, report.derived, outcome)
 
 
@@ -124,7 +124,7 @@ def derive_stored_bars(
         fresh = ladder.ladder_from_bars(ladder.in_window(rows, first, last), source)
         stored = _of(store.bars(first, last), instruments).where(F.col("timeframe").isin(*targets))
         if targets:
-            store.merge_bars(stage(ladder.protect_raw(fresh, stored), "derived"))
+            store.merge_bars(stage(ladder.protect_raw(fresh, stored, targets=targets), "derived"))
     return ladder.derived_counts(_of(store.bars(first, last), instruments), start, end).where(
         F.col("timeframe").isin(*targets)
     )
@@ -162,7 +162,8 @@ def _merge_bars(store: Store, stage, rows: DataFrame, derive: bool, scope: str,
     base = merge.upsert_bars(store.on_days("bars", days), ladder_rows)
     present = [r[0] for r in series.select("timeframe").distinct().collect() if r[0] in sources]
     fresh = ladder.ladder_from_bars(base, present[0]) if len(present) == 1 else ladder.ladder_mixed(base)
-    derived = stage(ladder.protect_raw(fresh, store.on_days("bars", days.per_instrument()), incoming), "derived")
+    held = store.on_days("bars", days.per_instrument())
+    derived = stage(ladder.protect_raw(fresh, held, incoming, targets=list(LADDER)), "derived")
     store.merge_bars(incoming.unionByName(derived))
     return Report(series, _derived_now(store, series))
 

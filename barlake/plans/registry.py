@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from barlake.functions.timeframe import (
     LADDER,
     SECONDS,
-    bucket_start,
     display_rank,
     tick_targets,
     valid_instrument,
     valid_timeframe,
+    with_bucket_start,
 )
 from barlake.functions.timestamps import parse_utc
 from barlake.operators import dedupe, gaps, ladder, merge, profile, quality, query, repair
@@ -347,7 +347,7 @@ def _(spark, sf):
     rows = views.table(spark, sf, "events").selectExpr(
         "event_id", "ts", f"element_at({names}, CAST(1 + event_id % 8 AS INT)) AS timeframe"
     )
-    return rows.select("event_id", "timeframe", bucket_start("ts", "timeframe").alias("bucket"))
+    return with_bucket_start(rows, "bucket", "ts").select("event_id", "timeframe", "bucket")
 
 
 @register(

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +48,9 @@ def stage(df: DataFrame, folder: str, label: str) -> DataFrame:
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A frame without rows that the optimizer knows to be empty, so that joins with it vanish from the plan."""
+    fields = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields)
+    return spark.sql(f"SELECT {fields} WHERE false")

@@ -6,20 +6,19 @@ timeframe come from the file name (INSTRUMENT_TIMEFRAME_...csv) unless they are
 
 from __future__ import annotations
 
-import re
+import csv
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlake.functions.timeframe import valid_instrument, valid_timeframe
 from barlake.functions.timestamps import parse_terminal
 from barlake.operators import quality
 from barlake.schema import PRICES
+from barlake.session import empty
 
 # Header marks and column names of the vendor layouts.
 DATE, TIME = "<DATE>", "<TIME>"
@@ -31,12 +30,14 @@ TICK_FIELDS = ["timestamp", "price", "volume", "bid", "ask"]
 
 TERMINAL, GMT, PLAIN = "terminal", "gmt", "plain"
 HEADER_BYTES = 64 * 1024
+# Names of up to this many files are broadcast (about 20 MB); beyond it the join is a shuffle with skew splits.
+MAX_BROADCAST_FILES = 100_000
 
 
 @dataclass
 class FileBatch:
-    """`rows`: parsed rows of all readable files with `file`, `instrument`, `timeframe` and `reason` (null = good).
-    `files`: one row per file with `error` (null = readable)."""
+    """`rows`: parsed rows of all readable files with `file`, `instrument`, `timeframe`, `place` (of the file in order of
+    name) and `reason` (null = good). `files`: one row per file with `error` (null = readable)."""
 
     rows: DataFrame
     files: DataFrame
@@ -55,34 +56,40 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 def with_headers(files: DataFrame) -> DataFrame:
     """Add the first line and the text encoding of each file; tasks read only the start of their files."""
     schema = "file string, path string, name string, header string, encoding string"
-    return files.select("file", "path", "name").mapInPandas(_read_headers, schema)
+    return files.select("file", "path", "name").mapInPandas(_header_reader(HEADER_BYTES), schema)
 
 
-def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def _header_reader(size: int):
+    """The function that tasks run. It refers to nothing outside itself, so workers need not have this package."""
 
-    for batch in batches:
-        found = []
-        for uri in batch["path"]:
-            system, path = fs.FileSystem.from_uri(_standard_uri(uri))
-            with system.open_input_stream(path) as stream:
-                found.append(_first_line(stream.read(HEADER_BYTES)))
-        yield batch.assign(header=[h for h, _ in found], encoding=[e for _, e in found])
+    def read(batches):
+        import re
+        from urllib.parse import quote
 
+        from pyarrow import fs
 
-def _standard_uri(name: str) -> str:
-    """The file source writes file:/some path, the standard form is file:///some%20path."""
-    scheme, host, path = re.match(r"^([A-Za-z0-9+.\-]+):(?://([^/]*))?(/.*)$", name).groups()
-    return f"{scheme}://{host or ''}{quote(path)}"
+        def standard_uri(name):
+            # The file source writes file:/some path, the standard form is file:///some%20path.
+            scheme, host, path = re.match(r"^([A-Za-z0-9+.\-]+):(?://([^/]*))?(/.*)$", name).groups()
+            return f"{scheme}://{host or ''}{quote(path)}"
 
+        def first_line(start):
+            # UTF-8 unless the bytes say otherwise.
+            try:
+                return start.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"), "UTF-8"
+            except UnicodeDecodeError:
+                text = start[: len(start) // 2 * 2].decode("utf-16", "replace")
+                return text.split("\n", 1)[0].rstrip("\r"), "UTF-16"
 
-def _first_line(start: bytes) -> tuple[str, str]:
-    """First line and encoding: UTF-8 unless the bytes say otherwise."""
-    line = start.split(b"\n", 1)[0]
-    try:
-        return line.decode("utf-8-sig").rstrip("\r"), "UTF-8"
-    except UnicodeDecodeError:
-        return start[: len(start) // 2 * 2].decode("utf-16", "replace").split("\n", 1)[0].rstrip("\r"), "UTF-16"
+        for batch in batches:
+            lines = []
+            for name in batch["path"]:
+                system, path = fs.FileSystem.from_uri(standard_uri(name))
+                with system.open_input_stream(path) as stream:
+                    lines.append(first_line(stream.read(size)))
+            yield batch.assign(header=[line for line, _ in lines], encoding=[code for _, code in lines])
+
+    return read
 
 
 def bar_layout(header: Column) -> Column:
@@ -137,8 +144,8 @@ def _described(files: DataFrame, instrument: str | None, timeframe: str | None)
 
 def _read(spark: SparkSession, files: DataFrame, frame, values: list[str], column_map) -> FileBatch:
     """One scan per (layout, header, encoding); the driver sees one line per file, never its rows."""
-    known = files.collect()
-    schema = files.schema
+    known = sorted(files.collect(), key=lambda row: row["name"])
+    schema = T.StructType([*files.schema.fields, T.StructField("place", T.IntegerType())])
     groups = defaultdict(list)
     described = []
     for row in known:
@@ -154,21 +161,27 @@ def _read(spark: SparkSession, files: DataFrame, frame, values: list[str], colum
             described.extend(members)
         except ValueError as problem:
             described.extend(type(members[0])(**{**m.asDict(), "error": str(problem)}) for m in members)
-    listing = spark.createDataFrame([r.asDict() for r in described], schema)
+    places = {row["file"]: place for place, row in enumerate(known)}
+    listing = spark.createDataFrame([{**r.asDict(), "place": places[r["file"]]} for r in described], schema)
     columns = ["file", "timestamp", *values, "reason"]
-    kinds = ["string", "timestamp_ntz", *["double"] * len(values), "string"]
-    empty = spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))
-    rows = empty
+    fields = [T.StructField(c, T.DoubleType() if c in values else T.StringType()) for c in columns]
+    fields[1] = T.StructField("timestamp", T.TimestampNTZType())
+    rows = empty(spark, T.StructType(fields))
     for scan in scans:
-        rows = rows.unionByName(_conform(scan, columns, kinds))
-    named = rows.join(listing.select("file", "instrument", "timeframe"), "file")
+        rows = rows.unionByName(_conform(scan, rows.schema))
+    names = listing.select("file", "instrument", "timeframe", "place")
+    # The number of files is known here. A shuffle by file would bring a large file into one task.
+    named = rows.join(F.broadcast(names) if len(known) <= MAX_BROADCAST_FILES else names, "file")
     return FileBatch(named, listing.select("file", "name", "instrument", "timeframe", "layout", "error"))
 
 
-def _conform(df: DataFrame, columns: list[str], kinds: list[str]) -> DataFrame:
-    missing = {"volume": F.lit(0.0)}
+def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    absent = {"volume": F.lit(0.0)}
     return df.select(
-        *[F.col(c) if c in df.columns else missing.get(c, F.lit(None)).cast(k).alias(c) for c, k in zip(columns, kinds)]
+        *[
+            F.col(f.name) if f.name in df.columns else absent.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
     )
 
 
@@ -193,7 +206,7 @@ def _tick_frame(spark, layout, header, encoding, paths, _) -> DataFrame:
 def _comma(spark: SparkSession, header: str, encoding: str, paths: list[str]) -> DataFrame:
     """Comma-separated text with a header; every field stays text, named by the header in lower case."""
     names, seen = [], set()
-    for position, name in enumerate(next(_split_header(header))):
+    for position, name in enumerate(next(csv.reader([header]))):
         plain = name.strip().lower()
         names.append(plain if plain and plain not in seen else f"_field{position}")
         seen.add(plain)
@@ -206,24 +219,17 @@ def _comma(spark: SparkSession, header: str, encoding: str, paths: list[str]) ->
     return reader.schema(schema).csv(paths).withColumn("file", F.col("_metadata.file_path"))
 
 
-def _split_header(header: str):
-    import csv
-
-    return csv.reader([header])
-
-
 def _terminal(spark: SparkSession, header: str, paths: list[str], names: dict[str, str]) -> DataFrame:
     """Whitespace-separated text with <DATE>, optional <TIME> and bracketed value names."""
     fields = header.split()
-    parts = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(paths).withColumn("file", F.col("_metadata.file_path"))
     lines = lines.where((F.trim("value") != "") & ~F.col("value").contains(DATE))
-    time = F.get(parts, fields.index(TIME)) if TIME in fields else None
-    values = {new: F.get(parts, fields.index(old)) for old, new in names.items() if old in fields}
+    # The split is a column of its own, so that it is made once for all fields of a line.
+    lines = lines.select("file", F.split(F.trim("value"), r"\s+").alias("parts"))
+    time = F.get("parts", F.lit(fields.index(TIME))) if TIME in fields else None
+    values = {new: F.get("parts", F.lit(fields.index(old))) for old, new in names.items() if old in fields}
     return lines.select(
         "file",
-        parse_terminal(F.get(parts, fields.index(DATE)), time).alias("timestamp"),
+        parse_terminal(F.get("parts", F.lit(fields.index(DATE))), time).alias("timestamp"),
         *[col.alias(name) for name, col in values.items()],
     )
-
-

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.schema import BAR_KEY, BARS, TICK_KEY, TICKS
-from barlake.session import stage, work_dir
+from barlake.session import empty, stage, work_dir
 from barlake.sources import hadoop
 
 # Up to this many touched partitions or days are named in the scan filter; beyond it they are matched with a join.
@@ -132,7 +132,10 @@ class Store:
                 periods = [self._tick_period_start(ntz(str(day))) for day in (first, last)]
                 rows = rows.where(F.col("date").between(*periods))
         rows = rows.select(*COLUMNS[table]).withColumn("date", F.col("timestamp").cast("date"))
-        return rows.join(days.frame, [*days.by, "date"], "left_semi").drop("date")
+        # At most MAX_NAMED days are broadcast, so a day that holds much of the data is not sent to one task. More days
+        # are a staged table of known size, for which the optimizer chooses and splits skewed days.
+        wanted = days.frame if days.known is None else F.broadcast(days.frame)
+        return rows.join(wanted, [*days.by, "date"], "left_semi").drop("date")
 
     def _table(self, table: str) -> DataFrame:
         """All stored rows with their partition columns; the fixed schema keeps a name like 600519 a string."""
@@ -141,7 +144,7 @@ class Store:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], STORED[table])
+            return empty(self.spark, STORED[table])
 
     def _in_partitions(self, table: str, changes: DataFrame, names: list[str] | None) -> DataFrame:
         stored, parts = self._table(table), PARTS[table]

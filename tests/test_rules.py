@@ -69,7 +69,8 @@ SNAPS = [
 
 def test_buckets(spark):
     rows = spark.createDataFrame(SNAPS, "tf string, at string, want string")
-    found = rows.select("*", tf.bucket_start(F.col("at").cast("timestamp_ntz"), "tf").alias("got")).collect()
+    rows = rows.withColumn("ts", F.col("at").cast("timestamp_ntz"))
+    found = tf.with_bucket_start(rows, "got", "ts", "tf").collect()
     assert [(r.tf, r.at, str(r.got)) for r in found] == SNAPS
 
 
