@@ -8,7 +8,7 @@ tables; the ticks are committed first, and repeating the run after a failure bet
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +67,7 @@ def ingest_bar_files(store: Store, folder: str, derive: bool = True, **given) ->
     batch = files.read_bar_files(store.spark, folder, **given)
     with store.workspace() as stage:
         rows, outcome = _good_files(store, stage, batch, (quality.BAD_TIMESTAMP,))
-        report = _merge_bars(store, stage, rows, derive, "window", ["place", "stamp"])
+        report = _merge_bars(store, stage, rows, derive, "window", _file_order(outcome))
         return Report(report.series, report.derived, outcome)
 
 
@@ -82,7 +82,7 @@ def ingest_tick_files(store: Store, folder: str, derive: bool = True, **given) -
 
 
 def refresh(
-    store: Store, folder: str, days: int = 7, now: datetime | None = None, instruments: list[str] | None = None
+    store: Store, folder: str, days: int = 7, now: datetime | str | None = None, instruments: list[str] | None = None
 ) -> Report:
     """Landed M1 files of the last days: upsert and derive, for the instruments in the store unless some are given.
 
@@ -90,7 +90,7 @@ def refresh(
     """
     if not REFRESH_DAYS[0] <= days <= REFRESH_DAYS[1]:
         raise ValueError(f"days must be {REFRESH_DAYS[0]} to {REFRESH_DAYS[1]}")
-    end = naive_utc(now) if now else datetime.utcnow()
+    end = naive_utc(now or datetime.now(timezone.utc))
     batch = files.read_bar_files(store.spark, folder)
     scope = _listed(store, instruments) if instruments else store.bars().select("instrument").distinct()
     with store.workspace() as stage:
@@ -103,7 +103,7 @@ def refresh(
         recent = rows.where(
             (F.col("timestamp") >= ntz(end - timedelta(days=days))) & (F.col("timestamp") <= ntz(end))
         )
-        report = _merge_bars(store, stage, recent, True, "window", ["place", "stamp"])
+        report = _merge_bars(store, stage, recent, True, "window", _file_order(outcome))
         return Report(report.series, report.derived, outcome)
 
 
@@ -235,6 +235,12 @@ def _good_files(store: Store, stage, batch: files.FileBatch, fatal: tuple[str, .
     return quality.accepted(parsed).join(failed, "file", "left_anti"), outcome
 
 
+def _file_order(outcome: DataFrame) -> list[str]:
+    """Later files outrank earlier ones. Where no series has two files the time alone decides, in a hash aggregate."""
+    several = outcome.where("status = 'ok'").groupBy("instrument", "timeframe").count().where("count > 1")
+    return ["place", "stamp"] if several.limit(1).count() else ["stamp"]
+
+
 def _named(rows: DataFrame, instrument: str | None, timeframe: str | None) -> DataFrame:
     given = {"instrument": instrument, "timeframe": timeframe}
     rows = rows.withColumns({name: F.lit(value) for name, value in given.items() if value})

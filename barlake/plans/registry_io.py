@@ -361,8 +361,13 @@ def _(spark, sf):
 
 @register("stream_live_bars", with_(TICKS) + views.fold_ticks("M15"))
 def _(spark, sf):
-    stream = landed_parquet(spark, _landed(spark, sf), TICK_SCHEMA)
-    name = f"live_{uuid.uuid4().hex}"
-    writer = live_bars(stream, "M15").writeStream.format("memory").queryName(name).outputMode("complete")
-    writer.option("checkpointLocation", fresh(spark)).trigger(availableNow=True).start().awaitTermination()
+    landed, name = _landed(spark, sf), f"live_{uuid.uuid4().hex}"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        bars = live_bars(landed_parquet(spark, landed, TICK_SCHEMA), "M15")
+        writer = bars.writeStream.format("memory").queryName(name).outputMode("complete")
+        writer.option("checkpointLocation", fresh(spark)).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
     return spark.table(name)
