@@ -165,7 +165,7 @@ def _merge_bars(store: Store, stage, rows: DataFrame, derive: bool, scope: str,
     held = store.on_days("bars", days.per_instrument())
     derived = stage(ladder.protect_raw(fresh, held, incoming, targets=list(LADDER)), "derived")
     store.merge_bars(incoming.unionByName(derived))
-    return Report(series, _derived_now(store, series))
+    return Report(series, _derived_now(store, series, days.per_instrument()))
 
 
 def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list[str] | None, scope: str) -> Report:
@@ -184,7 +184,7 @@ def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list
     derived = stage(ladder.protect_raw(fresh, store.on_days("bars", days)), "derived")
     store.merge_ticks(incoming, names)
     store.merge_bars(derived)
-    return Report(series, _derived_now(store, series))
+    return Report(series, _derived_now(store, series, days))
 
 
 def _days(rows: DataFrame, by: list[str], scope: str) -> DataFrame:
@@ -198,15 +198,19 @@ def _days(rows: DataFrame, by: list[str], scope: str) -> DataFrame:
     return spans.select(*by, F.explode(F.sequence("first", "last")).alias("date"))
 
 
-def _derived_now(store: Store, series: DataFrame) -> DataFrame:
-    """Derived bars of each instrument between the first and the day after the last of its batch, as stored now."""
-    spans = series.groupBy("instrument").agg(
-        F.min(F.col("first_timestamp").cast("date")).alias("first"),
-        F.max(F.col("last_timestamp").cast("date")).alias("last"),
-    )
-    bars = store.bars().where(F.col("source") == DERIVED).join(spans, "instrument")
-    inside = bars.where(F.col("timestamp").cast("date").between(F.col("first"), F.col("last")))
-    return inside.groupBy("instrument", "timeframe").agg(F.count("*").alias("bars"))
+def _derived_now(store: Store, series: DataFrame, days: Days) -> DataFrame:
+    """Derived bars of the days that were derived again, as stored now, whichever run wrote them."""
+    if days.known is not None:
+        bars = store.on_days("bars", days)
+    else:
+        # The staged list of days goes with the run; the spans of the series stay.
+        spans = series.groupBy("instrument").agg(
+            F.min(F.col("first_timestamp").cast("date")).alias("first"),
+            F.max(F.col("last_timestamp").cast("date")).alias("last"),
+        )
+        inside = F.col("timestamp").cast("date").between(F.col("first"), F.col("last"))
+        bars = store.bars().join(spans, "instrument").where(inside)
+    return bars.where(F.col("source") == DERIVED).groupBy("instrument", "timeframe").agg(F.count("*").alias("bars"))
 
 
 def _good_files(store: Store, stage, batch: files.FileBatch, fatal: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

@@ -88,6 +88,28 @@ def test_bad_batches_leave_the_store_as_it_was(spark, store):
     assert sorted(map(repr, store.bars().collect() + store.ticks().collect())) == before
 
 
+def test_a_batch_without_good_rows_changes_nothing(spark, store):
+    fill(spark, store)
+    before = sorted(map(repr, store.bars().collect()))
+    none = bars(spark, minute_rows("2024-01-02 00:00:00", 5)).withColumn("close", F.lit(float("nan")))
+    report = ingest.ingest_bars(store, none)
+    assert report.series.count() == 0 and report.derived.count() == 0
+    ingest.ingest_ticks(store, ticks(spark, []))
+    assert sorted(map(repr, store.bars().collect())) == before
+
+
+def test_ladder_for_touched_days_only(spark, store):
+    """Two far-apart days in one batch: the days between are not derived again."""
+    ingest.ingest_bars(store, bars(spark, minute_rows("2024-01-03 00:00:00", 10)), derive=False)
+    data = bars(spark, minute_rows("2024-01-02 00:00:00", 10) + minute_rows("2024-01-05 00:00:00", 10))
+    ingest.ingest_bars(store, data, scope="days")
+    days = [r.timestamp.day for r in store.bars().where("timeframe = 'D1'").orderBy("timestamp").collect()]
+    assert days == [2, 5]
+    ingest.ingest_bars(store, data)
+    days = [r.timestamp.day for r in store.bars().where("timeframe = 'D1'").orderBy("timestamp").collect()]
+    assert days == [2, 3, 5]
+
+
 def test_a_failed_ladder_writes_nothing(spark, store, monkeypatch):
     def fail(*_):
         raise RuntimeError("lost")
