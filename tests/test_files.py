@@ -151,3 +151,13 @@ def test_refresh(spark, tmp_path):
     bad.mkdir()
     with pytest.raises(ValueError, match="every instrument failed"):
         ingest.refresh(store, folder(bad, EURUSD_M1_1=BARS + "nope,1,1,1,1,1\n"), now=now)
+
+
+def test_a_large_file_is_not_brought_into_one_task(spark, tmp_path, monkeypatch):
+    where = folder(tmp_path, A_M1_1=BARS, B_M1_1=TERMINAL)
+    found = good(files.read_bar_files(spark, where))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(files, "MAX_BROADCAST_FILES", 1)
+    joined = good(files.read_bar_files(spark, where))
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, found.collect()))

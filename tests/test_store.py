@@ -8,7 +8,7 @@ from barlake.operators import profile, query, repair
 from barlake.plans import ingest
 from barlake.plans import repair as repair_plans
 from barlake.sources import snapshot
-from barlake.sources.store import Store
+from barlake.sources.store import Days, Store
 from helpers import bars, minute_rows, same, second_ticks, ticks
 
 
@@ -266,3 +266,12 @@ def test_collapse_of_a_store(spark, store):
     assert [(r.timestamp, r.open) for r in kept] == [(datetime(2018, 1, 1), 100.0)]
     assert store.bars().where("timeframe = 'H1'").count() == 2
 
+
+
+def test_a_dense_day_is_not_brought_into_one_task(spark, store):
+    fill(spark, store)
+    wanted = store.ticks().select("instrument", F.col("timestamp").cast("date").alias("date")).distinct()
+    days = Days.of(wanted, ["instrument"], store.stage)
+    found = store.on_days("ticks", days)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30
