@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,15 @@ def build_session(app: str = "barlake", master: str | None = None, conf: dict[st
 
 
 def work_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder named by the cluster; `fallback` (or, in local mode only, a new folder) where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
+    """The shared folder named by the cluster; where none is named, `fallback` or a folder in the warehouse.
+
+    All of them are reached by every executor; no machine-local folder is used.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     if fallback:
         return fallback.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="barlake-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
 
 
 def stage(df: DataFrame, folder: str, label: str) -> DataFrame:
