@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import quality_rules, secrets, sharding
+from barlake.llm import near_dup, quality_rules, secrets, sharding
 from barlake.session import work_dir
 
 
@@ -25,6 +25,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), work_dir(spark))
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.shard_rows(docs, sharding.tree_of(8), sharding.tree_of(9), work_dir(spark))
@@ -36,6 +40,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_hash_tree_shards": op7_hash_tree_shards,
     "op9_quality_rules": op9_quality_rules,
 }
