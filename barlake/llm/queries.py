@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import near_dup, quality_rules, secrets, sharding
+from barlake.llm import near_dup, quality_rules, rule_ensemble, secrets, sharding, warc
 from barlake.session import work_dir
 
 
@@ -25,6 +25,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held, _ = warc.archive_pages(table(spark, sf_dir, "pages"), work_dir(spark))
+    return held.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), work_dir(spark))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), work_dir(spark))
 
@@ -40,11 +49,26 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_warc_archives": op3_warc_archives,
+    "op4_rule_ensemble": op4_rule_ensemble,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_hash_tree_shards": op7_hash_tree_shards,
     "op9_quality_rules": op9_quality_rules,
 }
 
 SQL = {
+    "op3_warc_archives": """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS digest FROM p),
+    t AS (
+        SELECT *, max(page_id) OVER (PARTITION BY digest) AS newest,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST(((CAST('0x' || substr(digest, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) + 1 AS BIGINT), 1)),
+                '') AS payload_digest
+        FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id < newest THEN newest END AS refers_to
+    FROM t""",
     "op9_quality_rules": quality_rules.quality_sql(),
 }
