@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import near_dup, quality_rules, rule_ensemble, secrets, sharding, warc
+from barlake.llm import decontaminate, near_dup, quality_rules, rule_ensemble, secrets, sharding, warc
 from barlake.session import work_dir
 
 
@@ -43,6 +43,11 @@ def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs, sharding.tree_of(8), sharding.tree_of(9), work_dir(spark))
 
 
+def op8_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.judge_leaks(docs, benchmark, work_dir(spark))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op4_rule_ensemble": op4_rule_ensemble,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_hash_tree_shards": op7_hash_tree_shards,
+    "op8_benchmark_templates": op8_benchmark_templates,
     "op9_quality_rules": op9_quality_rules,
 }
 
