@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import decontaminate, near_dup, quality_rules, rule_ensemble, secrets, sharding, warc
+from barlake.llm import decontaminate, near_dup, quality_rules, rule_ensemble, secrets, sentencepiece_model, sharding, warc
 from barlake.session import work_dir
 
 
+#: The model file of the SentencePiece query and stage; the driver reads it.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +38,13 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), work_dir(spark))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_model.tokenize(docs, MODEL).select(
+        "doc_id", "tokens.ids", F.size("tokens.ids").cast("long").alias("n_tokens"), "tokens.round_trip", "tokens.parity"
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), work_dir(spark))
 
@@ -56,6 +67,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_warc_archives": op3_warc_archives,
     "op4_rule_ensemble": op4_rule_ensemble,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_hash_tree_shards": op7_hash_tree_shards,
     "op8_benchmark_templates": op8_benchmark_templates,
