@@ -5,26 +5,52 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barlake.llm import secrets
+from barlake.llm import decontaminate, near_dup, queries, rule_ensemble, secrets, sentencepiece_model
 from barlake.session import work_dir
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rule ensemble accepts, fitted on `labels` of documents that are present."""
+    return rule_ensemble.of_quality(docs, queries.table(spark, sf_dir, "labels"), work_dir(spark))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id; shingles of five words, 0.8 or more."""
+    return near_dup.without_copies(docs, work_dir(spark), tables=near_dup.Tables(size=5))
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark passage."""
+    return decontaminate.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"), work_dir(spark))
+
+
 def clean_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in a text is replaced by the name of its kind; no document goes."""
-    return secrets.without_secrets(docs)
+    """Every secret in a text is replaced by the name of its kind, `n_chars` follows the text; no document goes."""
+    return secrets.without_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the ids of the whole text, with the outcome of the two checks."""
+    found = sentencepiece_model.tokenize(docs.select("doc_id", "text"), queries.MODEL, into="__tokens")
+    return found.select("doc_id", "__tokens.ids", F.size("__tokens.ids").cast("long").alias("n_tokens"), "__tokens.round_trip", "__tokens.parity")
 
 
 STAGES = [
+    ("quality classifier", good_quality),
+    ("MinHash near-dedup", one_of_each),
+    ("benchmark decontamination", no_benchmark),
     ("secret scans", clean_secrets),
+    ("SentencePiece encoding and decoding", tokens),
 ]
 
-#: SQL can't express the stages (trained rules, hashes, tokens); the tests hold them against brute force.
+#: SQL can't express the stages (trained rules, MinHash, tokens); the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage."""
+    """The result of the last stage over `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for place, (_, stage) in enumerate(STAGES):
