@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import decontaminate, near_dup, quality_rules, rule_ensemble, secrets, sentencepiece_model, sharding, warc
+from barlake.llm import decontaminate, near_dup, pseudonyms, quality_rules, rule_ensemble, secrets, sentencepiece_model, sharding, url_rules, warc
 from barlake.session import work_dir
 
 
@@ -29,6 +29,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), work_dir(spark))
+
+
 def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, _ = warc.archive_pages(table(spark, sf_dir, "pages"), work_dir(spark))
     return held.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,8 +67,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.barlake.pseudonym.key", "not a secret: set spark.barlake.pseudonym.key")
+    return pseudonyms.with_pseudonyms(table(spark, sf_dir, "documents"), key)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_url_rules": op2_url_rules,
     "op3_warc_archives": op3_warc_archives,
     "op4_rule_ensemble": op4_rule_ensemble,
     "op5_sentencepiece": op5_sentencepiece,
@@ -72,6 +82,7 @@ QUERIES = {
     "op7_hash_tree_shards": op7_hash_tree_shards,
     "op8_benchmark_templates": op8_benchmark_templates,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 SQL = {
