@@ -200,13 +200,14 @@ class Kind:
     replace: Callable[[Column, str], Column]
 
 
+CARD = "[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}"
 DIGIT_EDGE = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 KINDS = (
     Kind("email", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}", "@", _email),
     Kind("address", "(?<![0-9A-Za-z.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\\.[0-9])", "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$", _address),
     Kind("date", f"{DIGIT_EDGE[0]}(?:[0-9]{{4}}([-/.])[0-9]{{2}}\\1[0-9]{{2}}|[0-9]{{2}}([-/.])[0-9]{{2}}\\2[0-9]{{4}}){DIGIT_EDGE[1]}", "^[0-9]{4}([-/.])[0-9]{2}\\1[0-9]{2}$|^[0-9]{2}([-/.])[0-9]{2}\\2[0-9]{4}$", _date),
     Kind("social", f"{DIGIT_EDGE[0]}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{DIGIT_EDGE[1]}", "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", _social),
-    Kind("card", f"{DIGIT_EDGE[0]}[0-9](?:[ -]?[0-9]){{12,18}}{DIGIT_EDGE[1]}", "^[0-9]([ -]?[0-9]){12,18}$", _card),
+    Kind("card", f"{DIGIT_EDGE[0]}(?:{CARD}){DIGIT_EDGE[1]}", f"^({CARD})$", _card),
     Kind("phone", f"(?:\\+[0-9]{{1,3}}[ .-]?)?(?:\\([0-9]{{3}}\\) ?|{DIGIT_EDGE[0]}[0-9]{{3}}[.-])[0-9]{{3}}[ .-][0-9]{{4}}{DIGIT_EDGE[1]}", "^(\\+[0-9]{1,3}[ .-]?)?(\\([0-9]{3}\\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}$", _phone),
     Kind("phone", f"(?<![0-9A-Za-z+])\\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,4}}{DIGIT_EDGE[1]}", "^\\+", _phone),
 )
