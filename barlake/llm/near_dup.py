@@ -1,7 +1,7 @@
 """Near-duplicate texts: MinHash with tensored banding, every candidate confirmed on the full sets of shingles.
 
-Two collections of 16 half-keys, each made of 3 minhashes, give 256 tables of 6 minhashes: a table's key joins a left
-half-key with a right one, so 96 minhashes serve where separate tables would need 1,536.
+Two collections of 32 half-keys, each made of 5 minhashes, give 1,024 tables of 10 minhashes: a table's key joins a left
+half-key with a right one, so 320 minhashes serve where separate tables would need 10,240.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from barlake.llm import shingles
 from barlake.llm.components import components
@@ -22,12 +23,14 @@ from barlake.session import stage
 
 @dataclass(frozen=True)
 class Tables:
-    """Two texts of similarity s share a table with probability (1 - (1 - s**rows)**halves)**2: 0.99998 at 0.8."""
+    """Two texts of similarity s share a table with probability (1 - (1 - s**rows)**halves)**2: 0.999994 at 0.8,
+    0.006 at 0.3, so texts that merely share a passage seldom meet.
+    """
 
     size: int = 4
     percent: int = 80
-    halves: int = 16
-    rows: int = 3
+    halves: int = 32
+    rows: int = 5
     seed: int = 1
 
     def functions(self) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +55,11 @@ def _half_keys(hashes: np.ndarray, counts: np.ndarray, tables: Tables) -> np.nda
     starts = np.concatenate([[0], np.cumsum(counts[own])[:-1]]) if len(own) else np.zeros(0, dtype=np.int64)
     keys = np.zeros((len(own), 2 * tables.halves), dtype=np.uint64)
     if len(own):
+        hashed = np.empty_like(hashes)
         for k, (factor, shift) in enumerate(zip(factors, shifts, strict=True)):
-            lowest = np.minimum.reduceat(hashes * factor + shift, starts)
+            np.multiply(hashes, factor, out=hashed)
+            np.add(hashed, shift, out=hashed)
+            lowest = np.minimum.reduceat(hashed, starts)
             half = k // tables.rows
             keys[:, half] = shingles.mix(keys[:, half] + lowest + np.uint64(k))
     return keys
@@ -115,42 +121,76 @@ def confirm(pairs: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
     one = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    near = 100 * F.least(F.size("x"), F.size("y")) >= tables.percent * F.greatest(F.size("x"), F.size("y"))
     alike = 100 * both >= tables.percent * (F.size("x") + F.size("y") - both)
-    return pairs.join(one, "a").join(two, "b").where(near).where(alike).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b")
+
+
+def _near(a: F.Column, b: F.Column, tables: Tables) -> F.Column:
+    """Whether sets of these sizes can be alike."""
+    return 100 * F.least(a, b) >= tables.percent * F.greatest(a, b)
 
 
-def table_members(classes: DataFrame) -> DataFrame:
-    """(key, digest, first): the members of every table key that two classes or more share, and the first of them.
+def table_members(signed: DataFrame, folder: str) -> DataFrame:
+    """(key, digest, size, first): the members of every table key that two sets or more share, and the key's first one.
 
-    Only left half-keys that are shared are joined with the right ones.
+    Only left half-keys that different sets share are joined with the right ones, so most sets leave after one narrow
+    shuffle. Copies have equal rows here and are folded before each shuffle.
     """
-    halves = classes.select("digest", F.posexplode("left_keys").alias("place", "half"))
-    halves = halves.select("digest", F.xxhash64("place", "half").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    joined = halves.join(shared, "half", "left_semi").join(classes.select("digest", "right_keys"), "digest")
+    signed = signed.where("digest is not null")
+    halves = signed.select("digest", F.explode(F.transform("left_keys", lambda half, place: F.xxhash64(place, half))).alias("half"))
+    short = F.xxhash64("digest")
+    shared = halves.groupBy("half").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low <> high").select("half")
+    hits = stage(pick(halves, stage(shared, folder, "shared"), "left_semi").distinct(), folder, "hits")
+    touched = stage(hits.select("digest").distinct(), folder, "touched")
+    rights = signed.select("digest", F.col("n_shingles").alias("size"), "right_keys")
+    rights = pick(rights, touched, "left_semi").dropDuplicates(["digest"])
     table_keys = F.transform("right_keys", lambda right, place: F.xxhash64("half", place, right))
-    keys = joined.select("digest", F.explode(table_keys).alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keys.join(firsts, "key")
+    keys = hits.join(rights, "digest").select("digest", "size", F.explode(table_keys).alias("key"))
+    firsts = keys.groupBy("key").agg(F.min(F.struct("digest", "size")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return stage(keys.join(firsts, "key"), folder, "members")
+
+
+def open_sets(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(digest, root): the members of keys that still hold several components."""
+    roots = linked.select(F.col("a").alias("digest"), F.col("b").alias("root"))
+    joined = members.select("key", "digest").join(roots, "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
+    short = F.xxhash64("root")
+    mixed = joined.groupBy("key").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low <> high").select("key")
+    return joined.join(mixed, "key", "left_semi").select("digest", "root").distinct()
 
 
-def crossing_pairs(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """The pairs that share a key, lie in different components and were not compared with the key's first member.
+def rare_shingles(opened: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
+    """(shingle, digest, root, size, place): the rarest shingles of each open set, as far as a first common one can stand.
 
-    In each key the members outside its largest component meet those of other components, so a large group that is one
+    `place` counts a set's shingles from the rarest one among all open sets. Two alike sets share at least
+    percent / (100 + percent) of their sizes' sum, so their rarest common shingle leaves that many behind it in both.
+    Shingles of one set only count in `place`, but need no row.
+    """
+    full = sets.join(opened, "digest").select("digest", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = full.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    shared = full.join(often, "shingle")
+    own = Window.partitionBy("digest")
+    rank = F.row_number().over(own.orderBy("often", "shingle")) - 1
+    placed = shared.select("*", (F.col("size") - F.count("*").over(own) + rank).cast("int").alias("place"))
+    return placed.where(100 * (F.col("size") - F.col("place")) >= tables.percent * F.col("size")).drop("often")
+
+
+def crossing_pairs(rare: DataFrame, tables: Tables) -> DataFrame:
+    """The pairs of sets in different components that can still be alike, given a common shingle and its places.
+
+    At each shingle the sets outside its largest component meet those of other components, so a large group that is one
     component already is never paired with itself.
     """
-    joined = members.join(linked.select(F.col("a").alias("digest"), F.col("b").alias("root")), "digest", "left")
-    joined = joined.select("key", "digest", "first", F.coalesce("root", "digest").alias("root"))
-    mixed = joined.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    joined = joined.join(mixed, "key", "left_semi")
-    sizes = joined.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
-    few = joined.join(largest, "key").where("root <> largest and digest <> first")
-    few = few.select("key", F.col("digest").alias("x"), F.col("root").alias("x_root"))
-    pairs = few.join(joined.where("digest <> first"), "key").where("root <> x_root")
-    return pairs.select(F.greatest("x", "digest").alias("a"), F.least("x", "digest").alias("b")).distinct()
+    short = F.xxhash64("root")
+    mixed = rare.groupBy("shingle").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low <> high").select("shingle")
+    rare = rare.join(mixed, "shingle", "left_semi")
+    sizes = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
+    few = rare.join(largest, "shingle").where("root <> largest").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("digest", "root", "size", "place")))
+    left = F.least(F.col("size") - F.col("place"), F.col("x_size") - F.col("x_place"))
+    reach = (100 + tables.percent) * left >= tables.percent * (F.col("size") + F.col("x_size"))
+    pairs = few.join(rare, "shingle").where((F.col("root") != F.col("x_root")) & reach)
+    return pairs.select(F.greatest("x_digest", "digest").alias("a"), F.least("x_digest", "digest").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -163,31 +203,30 @@ def near_duplicates(
     reach, `kept` tells whether it is the document's own.
 
     - Documents with equal sets are one class, so copies are never paired; classes that share a table are candidates.
-    - Each member of a table key is compared with the key's first one; then members that are still in different
-      components are compared with each other, until all candidates are linked, in one component or refuted.
+    - Each member of a table key is compared with the key's first one. Sets whose key still holds several components are
+      then joined exactly, on their rarest shingles and with bounds from the places of these, so that all candidates end
+      up linked, in one component or refuted, and sets that share common shingles only are not paired.
     - Null and empty texts and texts of white space have no shingles and are linked with nothing. Rows without a
       doc_id that are alone in their component have none as component_id and are kept. Rows with one doc_id are judged
       by their own texts. Other columns are not read.
 
-    What is written to `folder`: signatures (about 300 bytes a document), shared keys and sets of candidates only.
+    What is written to `folder`: signatures (about 550 bytes a document), shared keys and sets of candidates only.
     """
     signed = stage(sign(docs, doc_id, text, tables), folder, "signed")
-    classes = (
-        signed.where("digest is not null")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("left_keys").alias("left_keys"), F.first("right_keys").alias("right_keys"))
-    )
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     classes = stage(classes, folder, "classes")
-    members = stage(table_members(classes), folder, "members")
+    members = table_members(signed, folder)
     wanted = stage(members.select("digest").distinct(), folder, "wanted")
     ids = stage(classes.join(wanted, "digest", "left_semi").select(F.col("id").alias(doc_id)), folder, "ids")
     sets = pick(full_sets(pick(docs.select(doc_id, text), ids, "left_semi"), text, tables), wanted, "left_semi")
     sets = stage(sets.dropDuplicates(["digest"]), folder, "sets")
 
-    stars = members.where("digest <> first").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct()
+    stars = members.where(F.col("digest") != F.col("first.digest")).where(_near(F.col("size"), F.col("first.size"), tables))
+    stars = stars.select(F.col("digest").alias("a"), F.col("first.digest").alias("b")).distinct()
     links = stage(confirm(stars, sets, tables), folder, "links")
     linked = components(links, folder)
-    more = stage(confirm(crossing_pairs(members, linked), sets, tables), folder, "links")
+    rare = stage(rare_shingles(open_sets(members, linked), sets, tables), folder, "rare")
+    more = stage(confirm(crossing_pairs(rare, tables), sets, tables), folder, "links")
     if not more.isEmpty():
         linked = components(linked.union(more), folder)
     return label(signed, classes, linked)
