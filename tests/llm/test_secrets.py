@@ -1,0 +1,93 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from barlake.llm import queries, secrets
+from barlake.llm.automaton import Rule, compile_rules
+
+BASE = {
+    "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile("AKIA[A-Z0-9]+"),
+    "hex": re.compile("[0-9a-f]+"),
+}
+LEAST = {"assign": 8, "access": 16, "hex": 32}
+
+
+def brute(text):
+    found = []
+    for order, (kind, pattern) in enumerate(BASE.items()):
+        for match in pattern.finditer(text):
+            if len(match.group(2) if kind == "assign" else match.group()) >= LEAST[kind]:
+                found.append((match.start(), order, kind, match.end()))
+    return [(kind, start, end) for start, _, kind, end in sorted(found)]
+
+
+@pytest.fixture(scope="module")
+def automaton():
+    return compile_rules(secrets.RULES)
+
+
+def found(automaton, text):
+    return [(s["kind"], s["start"], s["end"]) for s in secrets.text_spans(automaton, text.encode())]
+
+
+def test_same_as_regular_expressions(automaton):
+    parts = ["token", "secret", "TOKEN", "api_key", "apikey", "passwd", "PassWord", " ", "  ", "=", ":", '"', "'", "abcdefgh"]
+    parts += ["deadbeef" * 4, "0" * 31, "f", "AKIA", "ABCDEFGHIJKL", "é", "x", "-", "\n", "A", "1", "pass", "AKIAAKIA", "😀"]
+    draw = random.Random(5)
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        assert [s for s in found(automaton, text) if s[0] in BASE] == brute(text), text
+
+
+def test_failing_match_is_consumed(automaton):
+    assert found(automaton, 'token="secret":"abcdefghij"') == []
+    assert found(automaton, "token=password:x") == [("assign", 0, 14)]
+    assert found(automaton, "token==abcdefgh") == [("assign", 0, 15)]
+
+
+def test_more_kinds(automaton):
+    assert found(automaton, "é ghp_" + "a1B2" * 9) == [("github", 2, 42)]
+    assert found(automaton, "-----BEGIN RSA PRIVATE KEY-----")[0][0] == "private_key"
+    assert found(automaton, "x eyJhbGciOiJ9.eyJzdWIi.c2lnbmF0!") == [("jwt", 2, 32)]
+
+
+def test_rules_that_one_pass_cannot_decide_are_refused():
+    with pytest.raises(ValueError):
+        compile_rules((Rule("odd", "ab*", "c", 1), Rule("worse", "a(bc|b)", "[bd]", 1), Rule("late", "(x|xyx)", "[yz]", 1)))
+
+
+def test_odd_rows(spark):
+    long = "word " * 50_000 + "password=abcdefghijk"
+    rows = [(1, None, "a"), (2, "", "a"), (3, long, "a"), (3, long, "a"), (None, "AKIA" + "A" * 12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secrets string")
+    got = secrets.find_secrets(docs).collect()
+    assert sorted(len(r.secrets) for r in got) == [0, 0, 1, 1, 1]
+    assert {r.secrets[0].end for r in got if r.doc_id == 3} == {len(long)}
+    assert secrets.find_secrets(docs.limit(0)).count() == 0
+    cleaned = secrets.without_secrets(docs)
+    assert cleaned.columns == docs.columns
+    texts = sorted("-" if r.text is None else r.text[-12:] for r in cleaned.collect())
+    assert texts == sorted(["-", "", "ord [assign]", "ord [assign]", "[access]"])
+
+
+def test_overlapping_spans_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, 'x é token = "' + "0a" * 20 + '" y')], "doc_id long, text string")
+    assert secrets.without_secrets(docs).first().text == 'x é [assign]" y'
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
+    got = queries.op1_secret_scan(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        spans = brute(texts[r.doc_id])
+        counts = [sum(s[0] == kind for s in spans) for kind in BASE]
+        assert [r.n_assign, r.n_access, r.n_hex] == counts
+        joined = ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+    assert sum(r.n_assign for r in got) > 0
