@@ -5,26 +5,22 @@ All picks are aggregations, so copies of a hot key collapse on the map side and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.timeframe import with_bucket_start
-from barlake.schema import BARS, PRICES, TICK_KEY, as_bars, as_ticks, is_raw, source_name
+from barlake.schema import BARS, PRICES, TICK_KEY, as_bars, as_ticks
 
 # Fixed value: the timeframes that vendors stamp at differing hours.
 OFFSET_TIMEFRAMES = ("D1", "H4", "W1", "MN1")
 CANONICAL = ("M1", "M5", "M15", "M30", "H1", "H4", "D1", "W1", "MN1")
 
 
-def last_by(order: list[str]) -> Column:
-    """One ordering value; a single column keeps the aggregate hash-based."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
-
-
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """For each key the last row by `order`, then by its values: the same row for any order of the input."""
     values = [c for c in df.columns if c not in keys and c not in order]
-    rank = last_by(order)
-    return df.groupBy(*keys).agg(*[F.max_by(c, rank).alias(c) for c in values])
+    last = F.max(F.struct(*order, *values)).alias("last")
+    return df.groupBy(*keys).agg(last).select(*keys, *[F.col(f"last.{c}").alias(c) for c in values])
 
 
 def snapped_bars(df: DataFrame) -> DataFrame:
@@ -33,12 +29,13 @@ def snapped_bars(df: DataFrame) -> DataFrame:
 
 
 def latest_bars(df: DataFrame, source: str = "raw", order: list[str] | None = None) -> DataFrame:
-    """Snap, then keep for each key the last bar by `order`, where `stamp` is the original time (the default order)."""
-    bars = snapped_bars(df)
-    rank = last_by(order or ["stamp"])
-    keys = ["instrument", "timeframe", "timestamp"]
-    picked = bars.groupBy(*keys).agg(*[F.max_by(c, rank).alias(c) for c in PRICES])
-    return as_bars(picked.withColumn("source", F.lit(source)))
+    """Snap, then keep for each key the last bar by `order`, where `stamp` is the original time (the default order).
+
+    Of bars that are equal in it the one with the greatest prices counts, open first.
+    """
+    order = order or ["stamp"]
+    bars = snapped_bars(df).select("instrument", "timeframe", "timestamp", *order, *PRICES)
+    return as_bars(last_per_key(bars, ["instrument", "timeframe", "timestamp"], order).withColumn("source", F.lit(source)))
 
 
 def latest_ticks(df: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -54,11 +51,9 @@ def collapse_offset_bars(bars: DataFrame, timeframes: tuple[str, ...] = OFFSET_T
     """Per bucket keep the bar stamped closest to the bucket start, re-stamped to it; other timeframes stay."""
     _check(timeframes)
     chosen = snapped_bars(bars.where(F.col("timeframe").isin(*timeframes)))
-    firsts = [F.min_by(c, "stamp").alias(c) for c in PRICES]
-    collapsed = chosen.groupBy("instrument", "timeframe", "timestamp").agg(
-        *firsts, F.min_by(is_raw(), "stamp").alias("raw")
-    )
-    collapsed = collapsed.withColumn("source", source_name(F.col("raw"))).select(*BARS.names)
+    first = F.min(F.struct("stamp", *PRICES, "source")).alias("first")
+    collapsed = chosen.groupBy("instrument", "timeframe", "timestamp").agg(first)
+    collapsed = collapsed.select("instrument", "timeframe", "timestamp", *[F.col(f"first.{c}").alias(c) for c in (*PRICES, "source")])
     return collapsed.unionByName(bars.where(~F.col("timeframe").isin(*timeframes)).select(*BARS.names))
 
 

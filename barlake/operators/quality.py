@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.timeframe import valid_instrument, valid_timeframe
-from barlake.functions.timestamps import parse_utc
+from barlake.functions.timestamps import instant_utc, parse_utc
 from barlake.schema import PRICES
 
 # Required columns, vendor columns that bars never keep, spellings of infinity.
@@ -22,6 +22,7 @@ INFINITE = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 BAD_TIMESTAMP = "invalid timestamp"
 BAD_PRICE = "invalid price"
 BAD_NAME = "invalid instrument or timeframe"
+BAD_ROW = "surplus fields"
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -61,8 +62,7 @@ def with_utc(df: DataFrame, day_first: bool = False) -> DataFrame:
     if kind == "timestamp_ntz":
         return df
     if kind == "timestamp":
-        wall = F.col("timestamp").cast("timestamp_ntz")
-        return df.withColumn("timestamp", F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall))
+        return df.withColumn("timestamp", instant_utc(F.col("timestamp")))
     return parse_utc(df, "timestamp", day_first)
 
 
@@ -107,6 +107,7 @@ def reject_counts(judged: DataFrame, *by: str) -> DataFrame:
         F.count("*").alias("rows_read"),
         F.count_if(F.col("reason") == BAD_TIMESTAMP).alias("bad_timestamps"),
         F.count_if(F.col("reason") == BAD_PRICE).alias("bad_prices"),
+        F.count_if(F.col("reason") == BAD_ROW).alias("bad_rows"),
     )
 
 

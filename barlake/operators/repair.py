@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.timestamps import local_to_utc
-from barlake.schema import BARS, PRICES, TICKS, is_raw, source_name
+from barlake.schema import PRICES, TICKS
 
 
 def shift_bars(bars: DataFrame, zone: str) -> DataFrame:
     """Bars whose times were local to `zone`, in UTC. Of rows that meet, the latest original time counts."""
     shifted = bars.withColumn("utc", local_to_utc("timestamp", zone))
-    picked = shifted.groupBy("instrument", "timeframe", "utc").agg(
-        *[F.max_by(c, "timestamp").alias(c) for c in PRICES], F.max_by(is_raw(), "timestamp").alias("raw")
-    )
-    return picked.withColumnRenamed("utc", "timestamp").withColumn("source", source_name(F.col("raw"))).select(
-        *BARS.names
-    )
+    last = F.max(F.struct("timestamp", *PRICES, "source")).alias("last")
+    picked = shifted.groupBy("instrument", "timeframe", "utc").agg(last)
+    fields = [F.col(f"last.{c}").alias(c) for c in (*PRICES, "source")]
+    return picked.select("instrument", "timeframe", F.col("utc").alias("timestamp"), *fields)
 
 
 def shift_ticks(ticks: DataFrame, zone: str) -> DataFrame:

@@ -66,7 +66,7 @@ def ingest_bar_files(store: Store, folder: str, derive: bool = True, **given) ->
     """All bar files of a folder. A bad file is reported and left out; a later file name outranks an earlier one."""
     batch = files.read_bar_files(store.spark, folder, **given)
     with store.workspace() as stage:
-        rows, outcome = _good_files(store, stage, batch, (quality.BAD_TIMESTAMP,))
+        rows, outcome = _good_files(store, stage, batch, (quality.BAD_TIMESTAMP, quality.BAD_ROW))
         report = _merge_bars(store, stage, rows, derive, "window", _file_order(outcome))
         return Report(report.series, report.derived, outcome)
 
@@ -75,9 +75,8 @@ def ingest_tick_files(store: Store, folder: str, derive: bool = True, **given) -
     """All tick files of a folder. A bad file is reported and left out; a later file name outranks an earlier one."""
     batch = files.read_tick_files(store.spark, folder, **given)
     with store.workspace() as stage:
-        rows, outcome = _good_files(store, stage, batch, (quality.BAD_TIMESTAMP, quality.BAD_PRICE))
-        rows = rows.withColumn("values", F.struct("price", "volume", "bid", "ask"))
-        report = _merge_ticks(store, stage, rows, derive, ["place", "values"], "window")
+        rows, outcome = _good_files(store, stage, batch, (quality.BAD_TIMESTAMP, quality.BAD_PRICE, quality.BAD_ROW))
+        report = _merge_ticks(store, stage, rows, derive, ["name"], "window")
         return Report(report.series, report.derived, outcome)
 
 
@@ -91,13 +90,13 @@ def refresh(
     if not REFRESH_DAYS[0] <= days <= REFRESH_DAYS[1]:
         raise ValueError(f"days must be {REFRESH_DAYS[0]} to {REFRESH_DAYS[1]}")
     end = naive_utc(now or datetime.now(timezone.utc))
-    batch = files.read_bar_files(store.spark, folder)
     scope = _listed(store, instruments) if instruments else store.bars().select("instrument").distinct()
     with store.workspace() as stage:
-        wanted = stage(scope, "scope")
-        batch.files = batch.files.where(F.col("timeframe") == "M1").join(wanted, "instrument", "left_semi")
-        batch.rows = refresh_scope(batch.rows.where(F.col("timeframe") == "M1"), wanted)
-        rows, outcome = _good_files(store, stage, batch, (quality.BAD_TIMESTAMP,))
+        known = stage(scope, "scope")
+        batch = files.read_bar_files(
+            store.spark, folder, wanted=lambda listed: refresh_scope(listed.where(F.col("timeframe") == "M1"), known)
+        )
+        rows, outcome = _good_files(store, stage, batch, (quality.BAD_TIMESTAMP, quality.BAD_ROW))
         if outcome.where("status = 'error'").limit(1).count() and not outcome.where("status = 'ok'").limit(1).count():
             raise ValueError(f"every instrument failed, for example: {outcome.first()['error']}")
         recent = rows.where(
@@ -125,9 +124,8 @@ def derive_stored_bars(
         stored = _of(store.bars(first, last), instruments).where(F.col("timeframe").isin(*targets))
         if targets:
             store.merge_bars(stage(ladder.protect_raw(fresh, stored, targets=targets), "derived"))
-    return ladder.derived_counts(_of(store.bars(first, last), instruments), start, end).where(
-        F.col("timeframe").isin(*targets)
-    )
+    counts = ladder.derived_counts(_of(store.bars(first, last), instruments), start, end)
+    return store.stage(counts.where(F.col("timeframe").isin(*targets)), "report")
 
 
 def derive_stored_ticks(
@@ -139,7 +137,7 @@ def derive_stored_ticks(
         ticks = ladder.in_window(_of(store.ticks(first, last), instruments), first, last)
         fresh = ladder.ladder_from_ticks(ticks)
         store.merge_bars(stage(ladder.protect_raw(fresh, _of(store.bars(first, last), instruments)), "derived"))
-    return ladder.derived_counts(_of(store.bars(first, last), instruments), start, end)
+    return store.stage(ladder.derived_counts(_of(store.bars(first, last), instruments), start, end), "report")
 
 
 # -- shared steps ------------------------------------------------------------------------------------------------
@@ -165,7 +163,7 @@ def _merge_bars(store: Store, stage, rows: DataFrame, derive: bool, scope: str,
     held = store.on_days("bars", days.per_instrument())
     derived = stage(ladder.protect_raw(fresh, held, incoming, targets=list(LADDER)), "derived")
     store.merge_bars(incoming.unionByName(derived))
-    return Report(series, _derived_now(store, series, days.per_instrument()))
+    return Report(series, _derived_now(store, days.per_instrument()))
 
 
 def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list[str] | None, scope: str) -> Report:
@@ -184,7 +182,7 @@ def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list
     derived = stage(ladder.protect_raw(fresh, store.on_days("bars", days)), "derived")
     store.merge_ticks(incoming, names)
     store.merge_bars(derived)
-    return Report(series, _derived_now(store, series, days))
+    return Report(series, _derived_now(store, days))
 
 
 def _days(rows: DataFrame, by: list[str], scope: str) -> DataFrame:
@@ -198,26 +196,17 @@ def _days(rows: DataFrame, by: list[str], scope: str) -> DataFrame:
     return spans.select(*by, F.explode(F.sequence("first", "last")).alias("date"))
 
 
-def _derived_now(store: Store, series: DataFrame, days: Days) -> DataFrame:
-    """Derived bars of the days that were derived again, as stored now, whichever run wrote them."""
-    if days.known is not None:
-        bars = store.on_days("bars", days)
-    else:
-        # The staged list of days goes with the run; the spans of the series stay.
-        spans = series.groupBy("instrument").agg(
-            F.min(F.col("first_timestamp").cast("date")).alias("first"),
-            F.max(F.col("last_timestamp").cast("date")).alias("last"),
-        )
-        inside = F.col("timestamp").cast("date").between(F.col("first"), F.col("last"))
-        bars = store.bars().join(spans, "instrument").where(inside)
-    return bars.where(F.col("source") == DERIVED).groupBy("instrument", "timeframe").agg(F.count("*").alias("bars"))
+def _derived_now(store: Store, days: Days) -> DataFrame:
+    """Derived bars of the days that were derived again, as stored after this run; staged, so that it stays as it is."""
+    bars = store.on_days("bars", days).where(F.col("source") == DERIVED)
+    return store.stage(bars.groupBy("instrument", "timeframe").agg(F.count("*").alias("bars")), "report")
 
 
 def _good_files(store: Store, stage, batch: files.FileBatch, fatal: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Rows of the files that are good as a whole, and one outcome row per file."""
     parsed = stage(batch.rows, "parsed")
     counts = quality.reject_counts(parsed, "file")
-    columns = {quality.BAD_TIMESTAMP: "bad_timestamps", quality.BAD_PRICE: "bad_prices"}
+    columns = {quality.BAD_TIMESTAMP: "bad_timestamps", quality.BAD_PRICE: "bad_prices", quality.BAD_ROW: "bad_rows"}
     error = F.col("error")
     for reason in fatal:
         bad = F.coalesce(F.col(columns[reason]), F.lit(0))
@@ -233,6 +222,7 @@ def _good_files(store: Store, stage, batch: files.FileBatch, fatal: tuple[str, .
         F.coalesce("rows_read", F.lit(0)).alias("rows_read"),
         F.coalesce("bad_timestamps", F.lit(0)).alias("bad_timestamps"),
         F.coalesce("bad_prices", F.lit(0)).alias("bad_prices"),
+        F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"),
     )
     outcome = store.stage(outcome, "files")
     failed = outcome.where("status = 'error'").select("file")
@@ -242,7 +232,7 @@ def _good_files(store: Store, stage, batch: files.FileBatch, fatal: tuple[str, .
 def _file_order(outcome: DataFrame) -> list[str]:
     """Later files outrank earlier ones. Where no series has two files the time alone decides, in a hash aggregate."""
     several = outcome.where("status = 'ok'").groupBy("instrument", "timeframe").count().where("count > 1")
-    return ["place", "stamp"] if several.limit(1).count() else ["stamp"]
+    return ["name", "stamp"] if several.limit(1).count() else ["stamp"]
 
 
 def _named(rows: DataFrame, instrument: str | None, timeframe: str | None) -> DataFrame:

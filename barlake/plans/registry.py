@@ -362,6 +362,19 @@ def _(spark, sf):
     return dedupe.latest_bars(views.order_rows(spark, sf), order=["stamp", "o_orderkey"])
 
 
+@register(
+    "latest_bar_ties",
+    with_(ORDER_ROWS)
+    + """SELECT instrument, timeframe, time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, open, high, low, close,
+      'raw' AS source FROM order_rows
+    QUALIFY row_number() OVER (PARTITION BY instrument, timeframe, time_bucket(INTERVAL '1 hour', timestamp)
+      ORDER BY order_rows.timestamp DESC, open DESC, high DESC, low DESC, close DESC) = 1""",
+)
+def _(spark, sf):
+    """Bars of equal times: the greatest prices count, in whatever order the rows come."""
+    return dedupe.latest_bars(views.order_rows(spark, sf).orderBy(F.xxhash64("o_orderkey")))
+
+
 @register("latest_tick_per_key", with_(LINES) + "SELECT *, NULL::DOUBLE AS bid, NULL::DOUBLE AS ask FROM lines")
 def _(spark, sf):
     return dedupe.latest_ticks(views.line_ticks(spark, sf))
@@ -452,22 +465,35 @@ def _(spark, sf):
 
 @register(
     "timestamp_coercion",
-    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN ts - INTERVAL 2 HOUR
+    """SELECT event_id, CASE event_id % 11 WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN ts - INTERVAL 2 HOUR
       WHEN 3 THEN date_trunc('second', ts) WHEN 4 THEN date_trunc('minute', ts) + INTERVAL 330 MINUTE
-      WHEN 5 THEN date_trunc('day', ts) END AS timestamp,
-      CASE WHEN event_id % 7 = 6 THEN 'invalid timestamp' END AS reason FROM events""",
+      WHEN 5 THEN date_trunc('day', ts) WHEN 6 THEN date_trunc('second', ts) WHEN 7 THEN date_trunc('minute', ts)
+      WHEN 8 THEN date_trunc('minute', ts) WHEN 9 THEN date_trunc('minute', ts) END AS timestamp,
+      CASE WHEN event_id % 11 = 10 THEN 'invalid timestamp' END AS reason FROM events""",
 )
 def _(spark, sf):
-    """The event times written in seven ways, the last of which is not a time."""
-    text = """CASE event_id % 7 WHEN 0 THEN CAST(ts AS STRING) WHEN 1 THEN concat(replace(CAST(ts AS STRING), ' ', 'T'), 'Z')
+    """The event times written in eleven ways, the last of which is not a time."""
+    text = """CASE event_id % 11 WHEN 0 THEN CAST(ts AS STRING) WHEN 1 THEN concat(replace(CAST(ts AS STRING), ' ', 'T'), 'Z')
       WHEN 2 THEN concat(CAST(ts AS STRING), '+02:00') WHEN 3 THEN replace(substring(CAST(ts AS STRING), 1, 19), '-', '.')
       WHEN 4 THEN concat(substring(CAST(ts AS STRING), 1, 16), '-0530')
-      WHEN 5 THEN replace(substring(CAST(ts AS STRING), 1, 10), '-', '') ELSE event_type END AS text"""
+      WHEN 5 THEN replace(substring(CAST(ts AS STRING), 1, 10), '-', '') WHEN 6 THEN date_format(ts, 'yyyyMMdd HHmmss')
+      WHEN 7 THEN date_format(ts, 'M/d/yyyy h:mm a') WHEN 8 THEN date_format(ts, 'd MMM yyyy HH:mm')
+      WHEN 9 THEN concat(date_format(ts, 'yyyy-MM-dd'), 'T', date_format(ts, 'HHmm'), 'Z') ELSE event_type END AS text"""
     rows = views.table(spark, sf, "events").selectExpr("event_id", text)
     parsed = parse_utc(rows, "text").withColumnRenamed("text", "timestamp")
     return parsed.withColumn("reason", F.when(F.col("timestamp").isNull(), quality.BAD_TIMESTAMP))
 
 
+@register("zoned_input_overlap", "SELECT event_id, ts + INTERVAL 290 DAY AS timestamp FROM events")
+def _(spark, sf):
+    """Instants around the hour of November 3 that New York's clocks run twice, read by a session of that zone."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "America/New_York")
+    micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts + INTERVAL 290 DAY)"
+    rows = views.table(session, sf, "events").selectExpr("event_id", f"timestamp_micros({micros}) AS timestamp")
+    return quality.with_utc(rows)
+
+
 @register(
     "bar_number_coercion",
     """SELECT l_orderkey, l_partkey, l_shipdate AS timestamp, l_extendedprice AS open, l_extendedprice + 1 AS high,
@@ -660,11 +686,11 @@ def _(spark, sf):
     "json_ticks",
     with_(TICKS)
     + f"""SELECT '{{"instrument":"' || instrument || '","timestamp":"' || {ISO} || '","price":' || price
-    || ',"volume":' || volume || ',"bid":null}}' AS json FROM ticks""",
+    || ',"volume":' || volume || ',"bid":' || coalesce(CAST(bid AS VARCHAR), 'null') || ',"ask":'
+    || coalesce(CAST(ask AS VARCHAR), 'null') || '}}' AS json FROM ticks""",
 )
 def _(spark, sf):
-    ticks = views.event_ticks(spark, sf).withColumn("bid", F.lit(None).cast("double"))
-    return query.json_rows(ticks.drop("ask"))
+    return query.json_rows(views.event_ticks(spark, sf))
 
 
 @register(

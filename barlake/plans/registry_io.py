@@ -17,13 +17,14 @@ from barlake.plans import ingest, views
 from barlake.plans import repair as repair_plans
 from barlake.plans.registry import ALL_BARS, IN_RANGE, RANGE, register
 from barlake.plans.views import MINUTES, TICKS, with_
+from barlake.schema import BARS as BAR_SCHEMA
 from barlake.schema import PRICES
 from barlake.schema import TICKS as TICK_SCHEMA
 from barlake.session import work_dir
 from barlake.sources import files, snapshot
 from barlake.sources.store import Store
 from barlake.streaming.bars import live_bars
-from barlake.streaming.ingest import ingest_tick_stream, landed_parquet
+from barlake.streaming.ingest import ingest_bar_stream, ingest_tick_stream, landed_parquet
 
 ROW = "instrument, timeframe, timestamp, open, high, low, close"
 
@@ -163,10 +164,32 @@ def _(spark, sf):
     text = views.table(spark, sf, "events").selectExpr(
         "event_type AS instrument", "CAST(ts AS STRING) AS timestamp", "value - 0.02D AS price"
     )
-    folder = write_named(text.repartition(1), fresh(spark), "TICK")
     store = Store(spark, fresh(spark))
-    outcome = ingest.ingest_tick_files(store, folder, derive=False).files
-    return outcome.select("instrument", "status", "rows_read", "bad_prices")
+    outcome = ingest.ingest_tick_files(store, write_named(text, fresh(spark), "TICK"), derive=False).files
+    # an instrument has a file for each task that wrote some of its rows; one bad file counts
+    return outcome.groupBy("instrument").agg(
+        F.min("status").alias("status"), F.sum("rows_read").alias("rows_read"), F.sum("bad_prices").alias("bad_prices")
+    )
+
+
+@register(
+    "folder_missing_column",
+    "SELECT DISTINCT event_type AS instrument, 'error' AS status, 'missing required columns: [''close'']' AS error, 0::BIGINT AS rows_read FROM events",
+)
+def _(spark, sf):
+    """Bar files without one of the columns: each is reported, none stops the batch."""
+    folder = write_named(_minutes_text(spark, sf).drop("close"), fresh(spark), "M1")
+    outcome = ingest.ingest_bar_files(Store(spark, fresh(spark)), folder, derive=False).files
+    return outcome.select("instrument", "status", "error", "rows_read").distinct()
+
+
+@register("files_column_map", MINUTE_ROWS)
+def _(spark, sf):
+    """Vendor names of columns, mapped by the caller."""
+    text = _minutes_text(spark, sf).toDF("instrument", "When", "First", "Top", "Bottom", "Last")
+    names = {"when": "timestamp", "first": "open", "top": "high", "bottom": "low", "last": "close"}
+    rows = quality.accepted(files.read_bar_files(spark, write_named(text, fresh(spark), "M1"), column_map=names).rows)
+    return rows.select("instrument", "timeframe", "timestamp", *PRICES)
 
 
 # -- store ----------------------------------------------------------------------------------------------------------
@@ -260,6 +283,33 @@ def _(spark, sf):
     return ingest.derive_stored_ticks(store, "2024-01-01 05:00:00", "2024-01-31")
 
 
+@register(
+    "ingest_report_derived",
+    with_(TICKS, "late AS (SELECT * FROM ticks WHERE day(timestamp) IN (3, 17))")
+    + f"""SELECT instrument, timeframe, count(*) AS bars
+    FROM ({views.union_all([views.fold_ticks(tf, "late") for tf in tick_targets()])}) GROUP BY instrument, timeframe""",
+)
+def _(spark, sf):
+    """Two days arrive after the others: the report counts the derived bars of these days only."""
+    store, ticks = Store(spark, fresh(spark)), views.event_ticks(spark, sf)
+    late = F.dayofmonth("timestamp").isin(3, 17)
+    ingest.ingest_ticks(store, ticks.where(~late))
+    return ingest.ingest_ticks(store, ticks.where(late), scope="days").derived
+
+
+@register(
+    "derive_job_from_bars",
+    with_(TICKS, MINUTES)
+    + f"""SELECT instrument, timeframe, count(*) AS bars
+    FROM ({views.union_all([views.fold_bars(tf) for tf in LADDER])}) GROUP BY instrument, timeframe""",
+)
+def _(spark, sf):
+    """Minute bars stored without a ladder, which is then derived over the whole window."""
+    store = Store(spark, fresh(spark))
+    ingest.ingest_bars(store, views.minute_bars(spark, sf), derive=False)
+    return ingest.derive_stored_bars(store, "M1", "2024-01-01 05:00:00", "2024-01-31")
+
+
 @register(
     "refresh_job",
     with_(TICKS, MINUTES, "recent AS (SELECT * FROM minutes WHERE timestamp >= TIMESTAMP '2024-01-21 12:00:00' "
@@ -312,6 +362,29 @@ def _(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(folder)
 
 
+@register("csv_download_ticks", with_(TICKS) + f"SELECT * EXCLUDE (instrument) FROM ticks WHERE instrument = 'view' AND {IN_RANGE}")
+def _(spark, sf):
+    folder = fresh(spark)
+    snapshot.write_csv(query.query_ticks(views.event_ticks(spark, sf), "view", ordered=False, **RANGE), folder)
+    schema = "timestamp timestamp_ntz, price double, volume double, bid double, ask double"
+    return spark.read.schema(schema).option("header", True).csv(folder)
+
+
+@register(
+    "snapshot_manifest",
+    with_(TICKS, MERGED)
+    + f"""SELECT 'ohlc' AS part, count(*) AS row_count, 'instrument,timeframe' AS partition_by FROM ({MERGED_LADDER})
+    UNION ALL SELECT 'ticks', count(*), 'instrument' FROM merged""",
+)
+def _(spark, sf):
+    """What the manifest of an export says, read back from its file."""
+    folder, store = fresh(spark), _loaded(spark, sf)
+    snapshot.export_snapshot(store, folder)
+    manifest = snapshot.read_manifest(store, folder)
+    rows = [(part, manifest[part]["row_count"], ",".join(manifest[part]["partition_by"])) for part in ("ohlc", "ticks")]
+    return spark.createDataFrame(rows, "part string, row_count bigint, partition_by string")
+
+
 # -- repairs of a store ---------------------------------------------------------------------------------------------
 
 
@@ -334,6 +407,21 @@ def _(spark, sf):
     return store.bars().unionByName(ticks)
 
 
+@register(
+    "store_collapsed",
+    with_(TICKS, MINUTES)
+    + f"""SELECT * FROM minutes UNION ALL SELECT * FROM ({views.fold_ticks('D1', label='raw')})""",
+)
+def _(spark, sf):
+    """Daily bars are there twice, at midnight and two hours later; the ones at midnight stay, minutes are left alone."""
+    store = Store(spark, fresh(spark))
+    days = ladder.ticks_to_bars(views.event_ticks(spark, sf), "D1").withColumn("source", F.lit("raw"))
+    late = days.withColumn("timestamp", F.expr("timestamp + INTERVAL 2 HOURS")).withColumn("open", F.col("open") + 1)
+    store.merge_bars(days.unionByName(late).unionByName(views.minute_bars(spark, sf)))
+    repair_plans.collapse_store(store)
+    return store.bars()
+
+
 # -- streams --------------------------------------------------------------------------------------------------------
 
 
@@ -359,15 +447,33 @@ def _(spark, sf):
     return store.bars()
 
 
-@register("stream_live_bars", with_(TICKS) + views.fold_ticks("M15"))
+@register(
+    "stream_live_bars",
+    with_(TICKS)
+    + f"""SELECT * FROM ({views.fold_ticks("M15")})
+    WHERE timestamp + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
 def _(spark, sf):
-    landed, name = _landed(spark, sf), f"live_{uuid.uuid4().hex}"
+    """Bars appended to files once the watermark has passed them; those after the last watermark are still open."""
+    landed, folder = _landed(spark, sf), fresh(spark)
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
         bars = live_bars(landed_parquet(spark, landed, TICK_SCHEMA), "M15")
-        writer = bars.writeStream.format("memory").queryName(name).outputMode("complete")
-        writer.option("checkpointLocation", fresh(spark)).trigger(availableNow=True).start().awaitTermination()
+        writer = bars.writeStream.format("parquet").outputMode("append").option("checkpointLocation", fresh(spark))
+        writer.trigger(availableNow=True).start(folder).awaitTermination()
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
-    return spark.table(name)
+    return spark.read.parquet(folder)
+
+
+@register(
+    "stream_bars_into_store",
+    with_(TICKS, MINUTES)
+    + f"SELECT * FROM minutes UNION ALL ({views.union_all([views.fold_bars(tf) for tf in LADDER])})",
+)
+def _(spark, sf):
+    folder, store = fresh(spark), Store(spark, fresh(spark))
+    views.minute_bars(spark, sf).write.parquet(folder)
+    ingest_bar_stream(store, landed_parquet(spark, folder, BAR_SCHEMA), fresh(spark)).awaitTermination()
+    return store.bars()

@@ -1,26 +1,58 @@
-"""Repairs applied to a store."""
+"""Repairs applied to a store; both can be run again after a failure."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from barlake.functions.timeframe import with_bucket_start
 from barlake.operators import dedupe, repair
+from barlake.sources import hadoop
 from barlake.sources.store import Store
 
+SHIFT_MARK = "shift.json"
+DONE = "done"
+
 
 def shift_store(store: Store, zone: str) -> DataFrame:
-    """Take all stored times as local to `zone` and move them to UTC. Run once, after a snapshot; returns the counts."""
+    """Take all stored times as local to `zone` and move them to UTC; returns the counts of what was still to do.
+
+    A mark in the store names the shifted rows of each table, which are staged before the table is replaced. A run that
+    died is completed by the next one, and a store that has been shifted is refused.
+    """
+    path = f"{store.root}/{SHIFT_MARK}"
+    mark = json.loads(hadoop.read_text(store.spark, path) or json.dumps({"zone": zone}))
+    if mark["zone"] != zone or mark.get("bars") == mark.get("ticks") == DONE:
+        raise ValueError(f"the store has been shifted from {mark['zone']}")
     report = store.stage(repair.shift_report(store.bars(), store.ticks(), zone), "report")
-    store.replace("bars", repair.shift_bars(store.bars(), zone))
-    store.replace("ticks", repair.shift_ticks(store.ticks(), zone))
+    shifts = {"bars": lambda: repair.shift_bars(store.bars(), zone), "ticks": lambda: repair.shift_ticks(store.ticks(), zone)}
+    for table, shifted in shifts.items():
+        if mark.get(table) == DONE:
+            continue
+        if table not in mark:
+            mark[table] = store.stage_table(table, shifted())
+            hadoop.write_text(store.spark, path, json.dumps(mark))
+        staged, mark[table] = mark[table], DONE
+        store.replace_by(table, staged)
+        hadoop.write_text(store.spark, path, json.dumps(mark))
+        hadoop.remove(store.spark, staged)
     return report
 
 
 def collapse_store(
     store: Store, timeframes: tuple[str, ...] = dedupe.OFFSET_TIMEFRAMES, dry_run: bool = False
 ) -> DataFrame:
-    """Collapse offset-stamped duplicates; with `dry_run` only report what would go."""
+    """Collapse offset-stamped duplicates; with `dry_run` only report what would go.
+
+    Only partitions that hold a bar off its bucket are rewritten, by one write; a second run finds none.
+    """
     report = store.stage(dedupe.collapse_report(store.bars(), timeframes), "report")
     if not dry_run:
-        store.replace("bars", dedupe.collapse_offset_bars(store.bars(), timeframes))
+        chosen = store.bars().where(F.col("timeframe").isin(*timeframes))
+        off = with_bucket_start(chosen, "bucket").where("bucket <> timestamp").drop("bucket")
+        with store.workspace() as stage:
+            held = store.touched("bars", stage(off, "off"))
+            store.overwrite("bars", stage(dedupe.collapse_offset_bars(held, timeframes), "collapsed"))
     return report

@@ -48,14 +48,3 @@ def as_ticks(df: DataFrame, *keep: str) -> DataFrame:
     fill = {"volume": F.lit(0.0), "bid": F.lit(None).cast("double"), "ask": F.lit(None).cast("double")}
     optional = [F.col(c) if c in df.columns else fill[c].alias(c) for c in fill]
     return df.select(*TICK_KEY, "price", *optional, *keep)
-
-
-def is_raw(source="source"):
-    """The two-valued source as a boolean: fixed-width, so aggregates over it stay hash aggregates."""
-    col = F.col(source) if isinstance(source, str) else source
-    unknown = F.raise_error(F.concat(F.lit("unknown source: "), col)).cast("boolean")
-    return F.when(col == RAW, True).when(col == DERIVED, False).otherwise(unknown)
-
-
-def source_name(flag):
-    return F.when(flag, F.lit(RAW)).otherwise(F.lit(DERIVED))

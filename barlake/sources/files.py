@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import csv
 from collections import defaultdict
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +22,7 @@ from barlake.functions.timestamps import parse_terminal
 from barlake.operators import quality
 from barlake.schema import PRICES
 from barlake.session import empty
+from barlake.sources import hadoop
 
 # Header marks and column names of the vendor layouts.
 DATE, TIME = "<DATE>", "<TIME>"
@@ -29,15 +33,16 @@ TICK_NAME = "_TICK_"
 TICK_FIELDS = ["timestamp", "price", "volume", "bid", "ask"]
 
 TERMINAL, GMT, PLAIN = "terminal", "gmt", "plain"
-HEADER_BYTES = 64 * 1024
-# Names of up to this many files are broadcast (about 20 MB); beyond it the join is a shuffle with skew splits.
-MAX_BROADCAST_FILES = 100_000
+SURPLUS = "_surplus"
+LISTED = ["file", "name", "instrument", "timeframe", "layout", "error"]
+# Files whose first line the driver reads at the same time.
+OPEN_AT_ONCE = 16
 
 
 @dataclass
 class FileBatch:
-    """`rows`: parsed rows of all readable files with `file`, `instrument`, `timeframe`, `place` (of the file in order of
-    name) and `reason` (null = good). `files`: one row per file with `error` (null = readable)."""
+    """`rows`: parsed rows of all readable files with `file`, `name`, `instrument`, `timeframe` and `reason` (null = good).
+    `files`: one row per file with `error` (null = readable)."""
 
     rows: DataFrame
     files: DataFrame
@@ -53,54 +58,45 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("_metadata.file_path").alias("file"), "path", name)
 
 
-def with_headers(files: DataFrame) -> DataFrame:
-    """Add the first line and the text encoding of each file; tasks read only the start of their files."""
-    schema = "file string, path string, name string, header string, encoding string"
-    return files.select("file", "path", "name").mapInPandas(_header_reader(HEADER_BYTES), schema)
+def with_headers(spark: SparkSession, files: list[Row]) -> list[dict]:
+    """The files with the first line and the text encoding of each, or why it can't be opened, as `error`.
 
+    The file system of the cluster opens them, with its credentials; the driver lists the files anyway and reads one line
+    of each, several at a time.
+    """
 
-def _header_reader(size: int):
-    """The function that tasks run. It refers to nothing outside itself, so workers need not have this package."""
-
-    def read(batches):
-        import re
-        from urllib.parse import quote
-
-        from pyarrow import fs
-
-        def standard_uri(name):
-            # The file source writes file:/some path, the standard form is file:///some%20path.
-            scheme, host, path = re.match(r"^([A-Za-z0-9+.\-]+):(?://([^/]*))?(/.*)$", name).groups()
-            return f"{scheme}://{host or ''}{quote(path)}"
-
-        def first_line(start):
-            # UTF-8 unless the bytes say otherwise.
+    def described(row: Row) -> dict:
+        found = {**row.asDict(), "header": "", "encoding": "UTF-8"}
+        if found["error"] is None:
             try:
-                return start.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"), "UTF-8"
-            except UnicodeDecodeError:
-                text = start[: len(start) // 2 * 2].decode("utf-16", "replace")
-                return text.split("\n", 1)[0].rstrip("\r"), "UTF-16"
+                found["header"], found["encoding"] = _decoded(hadoop.first_line(spark, found["path"]))
+            except Py4JJavaError as problem:
+                found["error"] = f"cannot be opened: {problem.java_exception.getMessage()}"
+        return found
 
-        for batch in batches:
-            lines = []
-            for name in batch["path"]:
-                system, path = fs.FileSystem.from_uri(standard_uri(name))
-                with system.open_input_stream(path) as stream:
-                    lines.append(first_line(stream.read(size)))
-            yield batch.assign(header=[line for line, _ in lines], encoding=[code for _, code in lines])
+    with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:
+        return list(pool.map(described, files))
 
-    return read
 
+def _decoded(start: bytes) -> tuple[str, str]:
+    """The first line and its encoding: UTF-8 unless the bytes say otherwise."""
+    try:
+        return start.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"), "UTF-8"
+    except UnicodeDecodeError:
+        text = start[: len(start) // 2 * 2].decode("utf-16", "replace")
+        return text.split("\n", 1)[0].rstrip("\r"), "UTF-16"
 
-def bar_layout(header: Column) -> Column:
-    return F.when(header.contains(DATE), TERMINAL).otherwise(PLAIN)
 
+def bar_layout(header: str) -> str:
+    return TERMINAL if DATE in header else PLAIN
 
-def tick_layout(header: Column) -> Column:
-    low = F.lower(header)
-    quotes = low.contains("bid") & low.contains("ask") & ~low.contains("open")
-    terminal = header.contains(DATE) & (header.contains("<BID>") | header.contains("<LAST>"))
-    return F.when(terminal, TERMINAL).when(low.contains(GMT_TIME) | quotes, GMT).otherwise(PLAIN)
+
+def tick_layout(header: str) -> str:
+    low = header.lower()
+    if DATE in header and ("<BID>" in header or "<LAST>" in header):
+        return TERMINAL
+    quotes = "bid" in low and "ask" in low and "open" not in low
+    return GMT if GMT_TIME in low or quotes else PLAIN
 
 
 def read_bar_files(
@@ -109,9 +105,12 @@ def read_bar_files(
     instrument: str | None = None,
     timeframe: str | None = None,
     column_map: dict[str, str] | None = None,
+    wanted: Callable[[DataFrame], DataFrame] | None = None,
 ) -> FileBatch:
-    files = _described(list_files(spark, folder), instrument, timeframe).withColumn("layout", bar_layout(F.col("header")))
-    return _read(spark, files, _bar_frame, [*PRICES], column_map)
+    """Bar files of a folder; `wanted` picks from the listing (name, instrument, timeframe) before any file is opened."""
+    files = _described(list_files(spark, folder), instrument, timeframe)
+    given = (instrument, timeframe and timeframe.upper())
+    return _read(spark, wanted(files) if wanted else files, bar_layout, _bar_frame, [*PRICES], column_map, given)
 
 
 def read_tick_files(spark: SparkSession, folder: str, instrument: str | None = None) -> FileBatch:
@@ -119,21 +118,21 @@ def read_tick_files(spark: SparkSession, folder: str, instrument: str | None = N
     listed = list_files(spark, folder)
     if instrument is None:
         listed = listed.where(F.upper("name").contains(TICK_NAME))
-    files = _described(listed, instrument, "TICK").withColumn("layout", tick_layout(F.col("header")))
-    return _read(spark, files, _tick_frame, TICK_FIELDS[1:], None)
+    files = _described(listed, instrument, "TICK")
+    return _read(spark, files, tick_layout, _tick_frame, TICK_FIELDS[1:], None, (instrument, "TICK"))
+
+
+def _series(name: Column, instrument: str | None, timeframe: str | None) -> tuple[Column, Column, Column]:
+    """Instrument and timeframe of a file name, unless they are given, and the parts of the name."""
+    parts = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_")
+    return F.lit(instrument) if instrument else F.get(parts, 0), F.upper(F.lit(timeframe) if timeframe else F.get(parts, 1)), parts
 
 
 def _described(files: DataFrame, instrument: str | None, timeframe: str | None) -> DataFrame:
-    """Headers, instrument and timeframe of each file, and why it cannot be used, if so."""
-    parts = F.split(F.regexp_replace("name", r"\.[^.]*$", ""), "_")
-    from_name = instrument is None or timeframe is None
-    described = with_headers(files).withColumns(
-        {
-            "instrument": F.lit(instrument) if instrument else F.get(parts, 0),
-            "timeframe": F.upper(F.lit(timeframe) if timeframe else F.get(parts, 1)),
-        }
-    )
-    unnamed = (F.size(parts) < 2) if from_name else F.lit(False)
+    """Instrument and timeframe of each file, and why it cannot be used, if so."""
+    own_instrument, own_timeframe, parts = _series(F.col("name"), instrument, timeframe)
+    unnamed = (F.size(parts) < 2) if instrument is None or timeframe is None else F.lit(False)
+    described = files.withColumns({"instrument": own_instrument, "timeframe": own_timeframe})
     error = (
         F.when(unnamed, "file name does not match INSTRUMENT_TIMEFRAME_*")
         .when(~valid_instrument("instrument"), "invalid instrument")
@@ -142,37 +141,36 @@ def _described(files: DataFrame, instrument: str | None, timeframe: str | None)
     return described.withColumn("error", error)
 
 
-def _read(spark: SparkSession, files: DataFrame, frame, values: list[str], column_map) -> FileBatch:
-    """One scan per (layout, header, encoding); the driver sees one line per file, never its rows."""
-    known = sorted(files.collect(), key=lambda row: row["name"])
-    schema = T.StructType([*files.schema.fields, T.StructField("place", T.IntegerType())])
+def _read(spark: SparkSession, files: DataFrame, layout_of, frame, values: list[str], column_map, given) -> FileBatch:
+    """One scan per (layout, header, encoding); the driver sees one line per file, never its rows.
+
+    Rows tell their file by its name, from which instrument and timeframe follow, so they are joined with nothing.
+    """
+    described = with_headers(spark, sorted(files.collect(), key=lambda row: row["name"]))
     groups = defaultdict(list)
-    described = []
-    for row in known:
-        error = row["error"]
-        if error is None:
+    for row in described:
+        row["layout"] = layout_of(row["header"])
+        if row["error"] is None:
             groups[row["layout"], row["header"], row["encoding"]].append(row)
-        else:
-            described.append(row)
     scans = []
     for (layout, header, encoding), members in groups.items():
         try:
             scans.append(frame(spark, layout, header, encoding, [m["path"] for m in members], column_map))
-            described.extend(members)
         except ValueError as problem:
-            described.extend(type(members[0])(**{**m.asDict(), "error": str(problem)}) for m in members)
-    places = {row["file"]: place for place, row in enumerate(known)}
-    listing = spark.createDataFrame([{**r.asDict(), "place": places[r["file"]]} for r in described], schema)
+            for member in members:
+                member["error"] = str(problem)
     columns = ["file", "timestamp", *values, "reason"]
     fields = [T.StructField(c, T.DoubleType() if c in values else T.StringType()) for c in columns]
     fields[1] = T.StructField("timestamp", T.TimestampNTZType())
     rows = empty(spark, T.StructType(fields))
     for scan in scans:
         rows = rows.unionByName(_conform(scan, rows.schema))
-    names = listing.select("file", "instrument", "timeframe", "place")
-    # The number of files is known here. A shuffle by file would bring a large file into one task.
-    named = rows.join(F.broadcast(names) if len(known) <= MAX_BROADCAST_FILES else names, "file")
-    return FileBatch(named, listing.select("file", "name", "instrument", "timeframe", "layout", "error"))
+    # the scan reports names with special characters escaped; a plus sign stands for itself there
+    name = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B")))
+    instrument, timeframe, _ = _series(F.col("name"), *given)
+    rows = rows.withColumn("name", name).withColumns({"instrument": instrument, "timeframe": timeframe})
+    listed = ", ".join(f"{c} string" for c in LISTED)
+    return FileBatch(rows, spark.createDataFrame([tuple(row[c] for c in LISTED) for row in described], listed))
 
 
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -187,20 +185,30 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def _bar_frame(spark, layout, header, encoding, paths, column_map) -> DataFrame:
     if layout == TERMINAL:
-        raw = _terminal(spark, header, paths, TERMINAL_BARS)
-        return quality.judged_bars(raw)
-    return quality.judged_bars(_comma(spark, header, encoding, paths), column_map)
+        return quality.judged_bars(_terminal(spark, header, encoding, paths, TERMINAL_BARS))
+    return _without_surplus(quality.judged_bars(_comma(spark, header, encoding, paths), column_map))
 
 
 def _tick_frame(spark, layout, header, encoding, paths, _) -> DataFrame:
     if layout == TERMINAL:
-        return quality.judged_ticks(_terminal(spark, header, paths, TERMINAL_TICKS))
+        return quality.judged_ticks(_terminal(spark, header, encoding, paths, TERMINAL_TICKS))
     raw = _comma(spark, header, encoding, paths)
     if layout == GMT:
         stamp = next((c for c in raw.columns if "gmt" in c or "time" in c), None)
         raw = raw.withColumnRenamed(stamp, "timestamp") if stamp else raw
-        raw = raw.select("file", *[c for c in raw.columns if c in TICK_FIELDS])
-    return quality.judged_ticks(raw, day_first=layout == GMT)
+        raw = raw.select("file", SURPLUS, *[c for c in raw.columns if c in TICK_FIELDS])
+    return _without_surplus(quality.judged_ticks(raw, day_first=layout == GMT))
+
+
+def _without_surplus(judged: DataFrame) -> DataFrame:
+    """A row with more fields than the header has is bad, whatever its fields say."""
+    reason = F.when(F.col(SURPLUS), quality.BAD_ROW).otherwise(F.col("reason"))
+    return judged.withColumn("reason", reason).drop(SURPLUS)
+
+
+def _wide(reader, encoding: str):
+    """Wider characters: without this the reader looks for one-byte line ends and corrupts the rows."""
+    return reader.option("encoding", encoding).option("multiLine", encoding != "UTF-8")
 
 
 def _comma(spark: SparkSession, header: str, encoding: str, paths: list[str]) -> DataFrame:
@@ -210,20 +218,26 @@ def _comma(spark: SparkSession, header: str, encoding: str, paths: list[str]) ->
         plain = name.strip().lower()
         names.append(plain if plain and plain not in seen else f"_field{position}")
         seen.add(plain)
-    reader = spark.read.option("header", True).option("encoding", encoding)
+    # all fields are parsed, as a reader of some columns would not notice surplus ones
+    reader = _wide(spark.read.option("header", True), encoding).option("columnNameOfCorruptRecord", "_odd").option("columnPruning", False)
     reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-    if encoding != "UTF-8":
-        # Without this the reader looks for one-byte line ends and corrupts the rows.
-        reader = reader.option("multiLine", True)
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    return reader.schema(schema).csv(paths).withColumn("file", F.col("_metadata.file_path"))
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, "_odd"])
+    rows = reader.schema(schema).csv(paths).withColumn("file", F.col("_metadata.file_path"))
+    # the reader sets odd rows aside as text: those with too few fields, which are null then, and those with too many
+    found = F.size(F.split(F.regexp_replace("_odd", '"[^"]*"', ""), ","))
+    return rows.withColumn(SURPLUS, F.coalesce(found > len(names), F.lit(False))).drop("_odd")
 
 
-def _terminal(spark: SparkSession, header: str, paths: list[str], names: dict[str, str]) -> DataFrame:
-    """Whitespace-separated text with <DATE>, optional <TIME> and bracketed value names."""
+def _terminal(spark: SparkSession, header: str, encoding: str, paths: list[str], names: dict[str, str]) -> DataFrame:
+    """Whitespace-separated text with <DATE>, optional <TIME> and bracketed value names.
+
+    Each line is read as one field, so that the reader takes the header off the begin of each file and nowhere else: a
+    second header within a file is a row without a time.
+    """
     fields = header.split()
-    lines = spark.read.text(paths).withColumn("file", F.col("_metadata.file_path"))
-    lines = lines.where((F.trim("value") != "") & ~F.col("value").contains(DATE))
+    reader = _wide(spark.read.option("header", True).option("sep", "\u0001").option("quote", ""), encoding)
+    lines = reader.schema("value string").csv(paths).withColumn("file", F.col("_metadata.file_path"))
+    lines = lines.where(F.trim("value") != "")
     # The split is a column of its own, so that it is made once for all fields of a line.
     lines = lines.select("file", F.split(F.trim("value"), r"\s+").alias("parts"))
     time = F.get("parts", F.lit(fields.index(TIME))) if TIME in fields else None

@@ -22,6 +22,22 @@ def read_text(spark: SparkSession, name: str) -> str | None:
     return row[0] if row else None
 
 
+def first_line(spark: SparkSession, name: str, chunk: int = 4096) -> bytes:
+    """The bytes of a file up to its first line feed (two more, as a line feed can be wider), or the whole file."""
+    system, path = _open(spark, name)
+    stream = system.open(path)
+    try:
+        data = b""
+        while b"\n" not in data[:-2]:
+            more = bytes(stream.readNBytes(chunk))
+            if not more:
+                return data
+            data += more
+        return data[: data.index(b"\n") + 3]
+    finally:
+        stream.close()
+
+
 def write_text(spark: SparkSession, name: str, text: str) -> None:
     system, path = _open(spark, name)
     out = system.create(path, True)
@@ -34,3 +50,9 @@ def write_text(spark: SparkSession, name: str, text: str) -> None:
 def remove(spark: SparkSession, name: str) -> None:
     system, path = _open(spark, name)
     system.delete(path, True)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern; none where the folder is missing."""
+    system, path = _open(spark, pattern)
+    return [status.getPath().toString() for status in system.globStatus(path) or ()]

@@ -13,10 +13,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,8 @@ from barlake.schema import BAR_KEY, BARS, TICK_KEY, TICKS
 from barlake.session import empty, stage, work_dir
 from barlake.sources import hadoop
 
-# Up to this many touched partitions or days are named in the scan filter; beyond it they are matched with a join.
-MAX_NAMED = 10_000
+# Days of up to this many series are broadcast (a few MB); more are joined with a shuffle. The rows read are the same.
+BROADCAST_DAYS = 100_000
 
 PARTS = {"bars": ["instrument", "timeframe", "period"], "ticks": ["instrument", "date"]}
 COLUMNS = {"bars": BARS.names, "ticks": TICKS.names}
@@ -43,48 +43,51 @@ LAYOUT = "layout.json"
 class Days:
     """Whole UTC days of instruments, or of (instrument, timeframe) series, to read again.
 
-    `frame` holds them all; `known` holds the same rows where they are few enough to be named.
+    `frame` is staged; `count`, `first` and `last` describe it.
     """
 
     frame: DataFrame
     by: list[str]
-    known: list[Row] | None
+    count: int
+    first: date | None
+    last: date | None
 
     @staticmethod
     def of(frame: DataFrame, by: list[str], stage: Callable[[DataFrame, str], DataFrame]) -> Days:
-        few = frame.select(*by, "date").limit(MAX_NAMED + 1).collect()
-        if len(few) > MAX_NAMED:
-            return Days(stage(frame.select(*by, "date"), "days"), by, None)
-        return Days(frame.sparkSession.createDataFrame(few, frame.select(*by, "date").schema), by, few)
+        frame = stage(frame.select(*by, "date"), "days")
+        count, first, last = frame.agg(F.count("*"), F.min("date"), F.max("date")).first()
+        return Days(frame, by, count, first, last)
 
     def per_instrument(self) -> Days:
-        known = None if self.known is None else [Row(instrument=d["instrument"], date=d["date"]) for d in self.known]
-        return Days(self.frame.select("instrument", "date").distinct(), ["instrument"], known)
+        """The same days of all timeframes of their instruments."""
+        return Days(self.frame.select("instrument", "date").distinct(), ["instrument"], self.count, self.first, self.last)
 
 
 class Store:
     """Bars and ticks under one root folder that every executor can reach."""
 
-    def __init__(self, spark: SparkSession, root: str, tick_period: str = "month"):
+    def __init__(self, spark: SparkSession, root: str, tick_period: str | None = None):
         """`tick_period` (day, month or year) sets the span of a tick partition: shorter for denser ticks.
 
-        It is fixed for a root with its first write.
+        It is fixed for a root with its first write (month unless given) and need not be told again.
         """
-        if tick_period not in TICK_PERIODS:
+        if tick_period is not None and tick_period not in TICK_PERIODS:
             raise ValueError(f"tick_period must be one of {list(TICK_PERIODS)}")
         self.spark = spark
         self.root = root.rstrip("/")
-        self.tick_period = tick_period
         self.staging = work_dir(spark, fallback=f"{self.root}/_staging")
-        self._fix_layout({"tick_period": tick_period})
+        known = hadoop.read_text(spark, f"{self.root}/{LAYOUT}")
+        self._fixed = known is not None
+        held = json.loads(known)["tick_period"] if known else None
+        if held and tick_period and held != tick_period:
+            raise ValueError(f"store at {self.root} has layout {known}")
+        self.tick_period = held or tick_period or "month"
 
-    def _fix_layout(self, layout: dict) -> None:
+    def _fix_layout(self) -> None:
         """Rows in a partition of another span would not be found by an upsert, so a root keeps its layout."""
-        known = hadoop.read_text(self.spark, f"{self.root}/{LAYOUT}")
-        if known is None:
-            hadoop.write_text(self.spark, f"{self.root}/{LAYOUT}", json.dumps(layout))
-        elif json.loads(known) != layout:
-            raise ValueError(f"store at {self.root} has layout {known}")
+        if not self._fixed:
+            hadoop.write_text(self.spark, f"{self.root}/{LAYOUT}", json.dumps({"tick_period": self.tick_period}))
+            self._fixed = True
 
     # -- reading -----------------------------------------------------------------------------------------------
 
@@ -106,37 +109,38 @@ class Store:
             rows = rows.where((F.col("date") <= self._tick_period_start(ntz(end))) & (F.col("timestamp") <= ntz(end)))
         return rows.select(*TICKS.names)
 
-    def partitions(self, table: str, changes: DataFrame) -> list[str] | None:
-        """Names of the partitions that `changes` falls into, or None where there are too many to name."""
+    def partitions(self, table: str, changes: DataFrame) -> list[str]:
+        """Names (values joined by /) of the partitions that `changes` falls into, as many as a write of it touches."""
         wanted = self._with_period(table, changes).select(*PARTS[table]).distinct()
-        few = wanted.limit(MAX_NAMED + 1).collect()
-        return None if len(few) > MAX_NAMED else ["/".join(str(value) for value in row) for row in few]
+        return sorted("/".join(str(value) for value in row) for row in wanted.collect())
 
-    def touched(self, table: str, changes: DataFrame, names: list[str] | None) -> DataFrame:
-        """Stored rows of those partitions; beyond the names, of the partitions matched with a join."""
-        return self._in_partitions(table, changes, names).select(*COLUMNS[table])
+    def touched(self, table: str, changes: DataFrame, names: list[str] | None = None) -> DataFrame:
+        """Stored rows of the partitions that `changes` falls into."""
+        names = self.partitions(table, changes) if names is None else names
+        return self._in_partitions(table, names).select(*COLUMNS[table])
 
     def on_days(self, table: str, days: Days) -> DataFrame:
-        """Stored rows of the given days."""
-        rows = self._table(table)
-        if days.known is not None:
-            if not days.known:
-                return rows.select(*COLUMNS[table]).limit(0)
-            # Literals over partition columns and time prune the scan; the join then keeps exactly the given days.
-            first, last = min(d["date"] for d in days.known), max(d["date"] for d in days.known)
-            rows = rows.where(F.col("instrument").isin(*{d["instrument"] for d in days.known}))
-            rows = _between(rows, ntz(str(first)), ntz(f"{last} 23:59:59.999999"))
-            if table == "bars":
-                rows = rows.where(F.col("period").isin(0) | F.col("period").between(first.year, last.year))
-            else:
-                periods = [self._tick_period_start(ntz(str(day))) for day in (first, last)]
-                rows = rows.where(F.col("date").between(*periods))
+        """Stored rows of the given days; only the partitions that hold them are read."""
+        if not days.count:
+            return empty(self.spark, STORED[table]).select(*COLUMNS[table])
+        start = F.year("date") if table == "bars" else self._tick_period_start(F.col("date"))
+        spans = {tuple(map(str, row)) for row in days.frame.select(*days.by, start.alias("period")).distinct().collect()}
+        held = self._held(table, sorted({span[0] for span in spans}))
+        named = [name for name in held if self._covers(table, name.split("/"), days.by, spans)]
+        rows = _between(self._in_partitions(table, named, held), ntz(str(days.first)), ntz(f"{days.last} 23:59:59.999999"))
         rows = rows.select(*COLUMNS[table]).withColumn("date", F.col("timestamp").cast("date"))
-        # At most MAX_NAMED days are broadcast, so a day that holds much of the data is not sent to one task. More days
-        # are a staged table of known size, for which the optimizer chooses and splits skewed days.
-        wanted = days.frame if days.known is None else F.broadcast(days.frame)
+        # Few days are broadcast, so a day that holds much of the data is not sent to one task.
+        wanted = F.broadcast(days.frame) if days.count <= BROADCAST_DAYS else days.frame
         return rows.join(wanted, [*days.by, "date"], "left_semi").drop("date")
 
+    @staticmethod
+    def _covers(table: str, values: list[str], by: list[str], spans: set[tuple[str, ...]]) -> bool:
+        """Whether a partition can hold rows of the spans (series and year, or instrument and tick period)."""
+        series = tuple(values[: len(by)])
+        if table == "bars" and values[-1] == "0":
+            return any(span[:-1] == series for span in spans)
+        return (*series, values[-1]) in spans
+
     def _table(self, table: str) -> DataFrame:
         """All stored rows with their partition columns; the fixed schema keeps a name like 600519 a string."""
         try:
@@ -146,13 +150,24 @@ class Store:
                 raise
             return empty(self.spark, STORED[table])
 
-    def _in_partitions(self, table: str, changes: DataFrame, names: list[str] | None) -> DataFrame:
-        stored, parts = self._table(table), PARTS[table]
-        if names is None:
-            wanted = self._with_period(table, changes).select(*parts).distinct()
-            return stored.join(wanted, parts, "left_semi")
-        # Only partition columns, so this is settled on the file listing: other partitions are not opened.
-        return stored.where(F.concat_ws("/", *[F.col(p).cast("string") for p in parts]).isin(names))
+    def _held(self, table: str, instruments: list[str]) -> list[str]:
+        """Names of the stored partitions of these instruments; other instruments are not listed."""
+        levels = "/*" * (len(PARTS[table]) - 1)
+        folders = (f"{self.root}/{table}/instrument={instrument}" for instrument in instruments)
+        found = (path for folder in folders for path in hadoop.matching(self.spark, folder + levels))
+        depth = len(PARTS[table])
+        return ["/".join(level.split("=", 1)[1] for level in path.split("/")[-depth:]) for path in found]
+
+    def _in_partitions(self, table: str, names: list[str], held: list[str] | None = None) -> DataFrame:
+        """Stored rows of exactly these partitions: their folders alone are listed and opened."""
+        held = self._held(table, sorted({name.split("/")[0] for name in names})) if held is None else held
+        there = sorted(set(names) & set(held))
+        if not there:
+            return empty(self.spark, STORED[table])
+        base = f"{self.root}/{table}"
+        folders = ["/".join(f"{part}={value}" for part, value in zip(PARTS[table], name.split("/"), strict=True)) for name in there]
+        reader = self.spark.read.schema(STORED[table]).option("basePath", base)
+        return reader.parquet(*(f"{base}/{folder}" for folder in folders))
 
     # -- writing -----------------------------------------------------------------------------------------------
 
@@ -169,25 +184,29 @@ class Store:
         are its partitions, where the caller has them.
         """
         changes = changes.select(*COLUMNS[table])
-        names = names if names is not None else self.partitions(table, changes)
-        existing = self._in_partitions(table, changes, names)
+        existing = self._in_partitions(table, self.partitions(table, changes) if names is None else names)
         changes = self._with_period(table, changes)
         on = list(dict.fromkeys([*PARTS[table], *keys]))
         kept = existing.join(changes.select(*on), on, "left_anti")
         self._write(table, changes.unionByName(kept))
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Replace the whole table by `rows`, which may have been computed from it.
+    def overwrite(self, table: str, rows: DataFrame) -> None:
+        """Replace the partitions that `rows`, a staged frame, falls into; the other ones stay as they are."""
+        self._write(table, self._with_period(table, rows.select(*COLUMNS[table])))
 
-        The new table is staged first. If the write itself fails, the staged copy is kept and is the table.
-        """
-        folder = f"{self.staging}/replace-{uuid.uuid4().hex}"
-        staged = stage(self._with_period(table, rows.select(*COLUMNS[table])), folder, table)
-        self._write(table, staged, mode="static")
-        hadoop.remove(self.spark, folder)
+    def stage_table(self, table: str, rows: DataFrame) -> str:
+        """Write `rows` beside the table, from which they may have been computed, and return their path."""
+        path = f"{self.staging}/replace-{uuid.uuid4().hex}"
+        self._with_period(table, rows.select(*COLUMNS[table])).write.parquet(path)
+        return path
+
+    def replace_by(self, table: str, path: str) -> None:
+        """Replace the whole table by staged rows. If the write fails, they are still there and it can be run again."""
+        self._write(table, self.spark.read.schema(STORED[table]).parquet(path), mode="static")
 
     def _write(self, table: str, rows: DataFrame, mode: str = "dynamic") -> None:
         """`rebalance` splits a partition too large for one task and joins small ones; files are sorted by time."""
+        self._fix_layout()
         parts = PARTS[table]
         (
             rows.select(*STORED[table].names)

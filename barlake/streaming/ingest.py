@@ -68,7 +68,7 @@ def _run(
             load(batch)
             return
         with store.workspace() as stage:
-            judged = stage(judge(batch), "stream")
+            judged = stage(quality.judge_names(judge(batch)), "stream")
             quality.rejected(judged).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
             load(quality.accepted(judged))
 

@@ -39,10 +39,12 @@ HEADLINE = [
     "bar_number_coercion",
     "range_bars",
     "next_page_of_bars",
-    "replay_schedule",
     "shift_bars_berlin",
     "files_plain_ticks",
     "store_ticks_after_ticks",
+    "refresh_job",
+    "snapshot_round_trip",
+    "store_shifted",
 ]
 
 

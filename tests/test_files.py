@@ -153,11 +153,55 @@ def test_refresh(spark, tmp_path):
         ingest.refresh(store, folder(bad, EURUSD_M1_1=BARS + "nope,1,1,1,1,1\n"), now=now)
 
 
-def test_a_large_file_is_not_brought_into_one_task(spark, tmp_path, monkeypatch):
-    where = folder(tmp_path, A_M1_1=BARS, B_M1_1=TERMINAL)
+def test_rows_of_files_are_joined_with_nothing(spark, tmp_path):
+    where = folder(tmp_path, A_M1_1=BARS, B_M1_1=TERMINAL, **{"C_M1_a+b %2B": BARS})
     found = good(files.read_bar_files(spark, where))
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
-    monkeypatch.setattr(files, "MAX_BROADCAST_FILES", 1)
-    joined = good(files.read_bar_files(spark, where))
-    assert sorted(map(repr, joined.collect())) == sorted(map(repr, found.collect()))
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r.name for r in found.collect()} == {"A_M1_1.csv", "B_M1_1.csv", "C_M1_a+b %2B.csv"}
+
+
+def test_a_header_of_any_length(spark, tmp_path):
+    wide = ",".join(["timestamp", "open", "high", "low", *(f"column_{k}" for k in range(9000)), "close"])
+    row = ",".join(["2024-01-02 00:00:00", "1", "2", "0.5", *["x"] * 9000, "1.5"])
+    assert good(files.read_bar_files(spark, folder(tmp_path, A_M1_1=f"{wide}\n{row}\n"))).first().close == 1.5
+
+
+def test_surplus_fields_reject_a_file(spark, tmp_path):
+    where = folder(tmp_path, A_M1_1=BARS, B_M1_1=BARS + "2024-01-02 00:02:00,1,2,0.5,1.5,7,8\n", C_M1_1=BARS + "2024-01-02 00:02:00,1,2,0.5,1.5\n")
+    store = Store(spark, str(tmp_path / "store"))
+    report = ingest.ingest_bar_files(store, where, derive=False)
+    assert {r.instrument: (r.status, r.bad_rows) for r in report.files.collect()} == {"A": ("ok", 0), "B": ("error", 1), "C": ("ok", 0)}
+    assert {r.instrument: r["count"] for r in store.bars().groupBy("instrument").count().collect()} == {"A": 2, "C": 3}
+
+
+def test_a_second_header_rejects_a_terminal_export(spark, tmp_path):
+    where = folder(tmp_path, A_M1_1=TERMINAL, B_M1_1=TERMINAL + TERMINAL)
+    report = ingest.ingest_bar_files(Store(spark, str(tmp_path / "store")), where, derive=False)
+    assert {r.instrument: r.status for r in report.files.collect()} == {"A": "ok", "B": "error"}
+
+
+def test_wide_terminal_exports(spark, tmp_path):
+    where = folder(tmp_path, A_M1_1=TERMINAL.encode("utf-16"), B_M1_1=TERMINAL.replace("\n", "\r\n").encode("utf-16"))
+    found = good(files.read_bar_files(spark, where)).collect()
+    assert sorted((r.instrument, str(r.timestamp), r.close) for r in found) == [(i, "2024-01-02 00:00:00", 1.5) for i in "AB"]
+
+
+def test_a_file_that_cannot_be_opened_is_reported(spark, tmp_path, monkeypatch):
+    where = folder(tmp_path, A_M1_1=BARS, B_M1_1=BARS)
+    listed = files.list_files
+
+    def with_a_lost_file(*given):
+        rows = listed(*given)
+        return rows.withColumn("path", files.F.when(rows.name == "B_M1_1.csv", "file:/nowhere/B_M1_1.csv").otherwise(rows.path))
+
+    monkeypatch.setattr(files, "list_files", with_a_lost_file)
+    batch = files.read_bar_files(spark, where)
+    assert outcome(batch)["A_M1_1.csv"] is None and "cannot be opened" in outcome(batch)["B_M1_1.csv"]
+    assert {r.instrument for r in good(batch).collect()} == {"A"}
+
+
+def test_refresh_opens_wanted_files_only(spark, tmp_path):
+    where = folder(tmp_path, EURUSD_M1_1=BARS, EURUSD_H1_1=BARS, OTHER_M1_1=BARS)
+    batch = files.read_bar_files(spark, where, wanted=lambda f: f.where("timeframe = 'M1' AND instrument = 'EURUSD'"))
+    assert [f.rsplit("/", 1)[1] for f in batch.rows.inputFiles()] == ["EURUSD_M1_1.csv"]

@@ -148,10 +148,13 @@ def test_range_scan_is_pruned(spark, store):
 
 
 def test_layout_is_kept(spark, tmp_path):
-    Store(spark, str(tmp_path), tick_period="day")
-    Store(spark, str(tmp_path), tick_period="day")
+    Store(spark, str(tmp_path))
+    assert not list(tmp_path.iterdir()), "opening a store writes nothing"
+    ingest.ingest_ticks(Store(spark, str(tmp_path), tick_period="day"), ticks(spark, second_ticks("2024-01-03", 3)))
+    assert Store(spark, str(tmp_path)).tick_period == "day"
+    assert Store(spark, str(tmp_path)).ticks().count() == 3
     with pytest.raises(ValueError, match="layout"):
-        Store(spark, str(tmp_path))
+        Store(spark, str(tmp_path), tick_period="month")
 
 
 def test_work_files_are_removed(spark, store):
@@ -161,14 +164,41 @@ def test_work_files_are_removed(spark, store):
     assert not list(pathlib.Path(store.staging).glob("work-*"))
 
 
-def test_many_partitions_are_matched_with_a_join(spark, store, monkeypatch):
-    monkeypatch.setattr("barlake.sources.store.MAX_NAMED", 1)
-    data = bars(spark, minute_rows("2024-01-02", 20) + minute_rows("2024-01-05", 20, "GBPUSD"))
-    ingest.ingest_bars(store, data)
-    ingest.ingest_bars(store, data)
-    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-30 23:59:50", 20) + second_ticks("2024-03-01", 20)))
-    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-30 23:59:50", 20)))
-    assert store.bars().where("timeframe = 'M1' AND source = 'raw'").count() == 40
+def read_partitions(frame):
+    found = {"/".join(p.split("=", 1)[1] for p in f.split("/")[-4:-1] if "=" in p) for f in frame.inputFiles()}
+    return found - {""}  # the staged list of days
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_only_partitions_of_the_days_are_read(spark, store, monkeypatch, bound):
+    """The same rows, partitions and report whether the list of days is broadcast or not."""
+    monkeypatch.setattr("barlake.sources.store.BROADCAST_DAYS", bound)
+    years = [f"{year}-01-02" for year in range(2019, 2025)]
+    data = [row for day in years for row in minute_rows(day, 5)] + minute_rows("2024-01-02", 5, "GBPUSD")
+    ingest.ingest_bars(store, bars(spark, data), scope="days")
+    two = bars(spark, minute_rows("2020-01-02", 5, flat=2.0) + minute_rows("2023-01-02", 5, flat=3.0))
+    report = ingest.ingest_bars(store, two, scope="days")
+    assert {r.bars for r in report.derived.collect()} == {2}
+    days = Days.of(two.selectExpr("instrument", "timeframe", "CAST(timestamp AS DATE) date").distinct(), ["instrument", "timeframe"], store.stage)
+    found = store.on_days("bars", days)
+    assert found.count() == 10
+    assert read_partitions(found) == {"EURUSD/M1/2020", "EURUSD/M1/2023"}
+    touched = store.touched("bars", two)
+    assert read_partitions(touched) == {"EURUSD/M1/2020", "EURUSD/M1/2023"}
+    wide = read_partitions(store.on_days("bars", days.per_instrument()))
+    assert {p for p in wide if "/M1/" in p or "/M5/" in p} == {f"EURUSD/{t}/{y}" for t in ("M1", "M5") for y in (2020, 2023)}
+    assert not any(p.startswith("GBPUSD") for p in wide)
+
+
+def test_a_report_does_not_follow_later_runs(spark, store):
+    report = ingest.ingest_bars(store, bars(spark, minute_rows("2024-01-02", 5)))
+    ingest.ingest_bars(store, bars(spark, minute_rows("2024-01-02 06:00:00", 60)))
+    assert {r.timeframe: r.bars for r in report.derived.collect()}["M5"] == 1
+
+
+def test_ticks_across_periods(spark, store):
+    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-31 23:59:50", 20) + second_ticks("2024-03-01", 20)))
+    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-31 23:59:50", 20)))
     assert store.ticks().count() == 40
     assert store.bars().groupBy("instrument", "timeframe", "timestamp").count().where("count > 1").count() == 0
 
@@ -254,6 +284,53 @@ def test_shift_of_a_store(spark, store):
     ]
     with pytest.raises(ValueError, match="zone"):
         repair.shift_ticks(store.ticks(), "Mars/Olympus")
+    with pytest.raises(ValueError, match="has been shifted"):
+        repair_plans.shift_store(store, "Europe/Berlin")
+    assert store.ticks().count() == 2
+
+
+def test_a_shift_that_died_is_completed(spark, store, monkeypatch):
+    ingest.ingest_bars(store, bars(spark, minute_rows("2024-01-02 10:00:00", 3)), derive=False)
+    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-02 10:00:00", 3)), derive=False)
+    replace = Store.replace_by
+
+    def dies(self, table, path):
+        replace(self, table, path)
+        raise RuntimeError(f"lost after {table}")
+
+    monkeypatch.setattr(Store, "replace_by", dies)
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            repair_plans.shift_store(store, "Europe/Berlin")
+    monkeypatch.setattr(Store, "replace_by", replace)
+    repair_plans.shift_store(store, "Europe/Berlin")
+    assert {r.h for r in store.bars().union(store.bars()).select(F.hour("timestamp").alias("h")).collect()} == {9}
+    assert {r.h for r in store.ticks().select(F.hour("timestamp").alias("h")).collect()} == {9}
+
+
+def test_any_source_is_kept(spark, store):
+    rows = minute_rows("2024-01-02 10:00:00", 2, source="vendor") + minute_rows("2018-01-02", 2, timeframe="W1", source="vendor")
+    store.merge_bars(bars(spark, rows))
+    repair_plans.collapse_store(store)
+    repair_plans.shift_store(store, "Europe/Berlin")
+    assert {r.source for r in store.bars().collect()} == {"vendor"}
+
+
+def test_a_collapse_rewrites_changed_partitions_only(spark, store, tmp_path):
+    store.merge_bars(bars(spark, minute_rows("2018-01-02", 2, timeframe="D1", step=3600) + minute_rows("2018-01-02", 1, "GBPUSD", "D1") + minute_rows("2018-01-02", 3)))
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "store" / "bars").rglob("*.parquet")}
+    repair_plans.collapse_store(store)
+    gone = [f for f, t in files.items() if not f.exists() or f.stat().st_mtime_ns != t]
+    assert len(gone) == 1 and "instrument=EURUSD/timeframe=D1" in str(gone[0])
+    assert store.bars().count() == 5
+
+
+def test_bars_of_equal_times_in_any_order(spark):
+    from barlake.operators import dedupe
+
+    rows = [("A", "M1", datetime(2024, 1, 2), price, price, price, price, "raw") for price in (1.0, 3.0, 2.0)]
+    for given in (rows, rows[::-1], rows[1:] + rows[:1]):
+        assert dedupe.latest_bars(bars(spark, given)).first().open == 3.0
 
 
 def test_collapse_of_a_store(spark, store):
