@@ -5,12 +5,15 @@ Spark deals the texts; a task encodes an Arrow batch in pieces, with the library
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
+import sys
+import types
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 #: Texts of a batch are encoded together up to so many bytes; a longer text is encoded alone.
-PIECE_BYTES = 4 * 1024 * 1024
-#: A worker keeps the ids of about so many words (some 120 MB).
+PIECE_BYTES = 1024 * 1024
+#: A worker keeps the ids of about so many words (some 100 MB).
 KNOWN_WORDS = 500_000
 WORD = re.compile(f"{META}+[^{META}]*|[^{META}]+")
 
@@ -160,7 +163,7 @@ class Encoder:
         self.core.decoder = tokenizers.decoders.Sequence([tokenizers.decoders.ByteFallback(), tokenizers.decoders.Fuse()])
         self.plain = not (self.model.charsmap or self.model.remove_extra_spaces) and self.model.escape_spaces
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         """The text as the model sees it."""
@@ -174,16 +177,17 @@ class Encoder:
         shown = self.normal(text).replace(META, " ")
         return shown.removeprefix(" ") if self.model.add_dummy_prefix else shown
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers."""
         if not self.by_word:
-            return [found.ids for found in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+            return [array("i", found.ids).tobytes() for found in self.made.encode_batch_fast(texts, add_special_tokens=False)]
         split = [WORD.findall(self.normal(text)) for text in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         new = list({word for words in split for word in words if word not in self.known})
         for word, found in zip(new, self.core.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = tuple(found.ids)
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+            self.known[word] = array("i", found.ids).tobytes()
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The same as the rebuilt model's own decoder, with the marker replaced after the pieces are joined."""
@@ -191,6 +195,18 @@ class Encoder:
         return [text.removeprefix(" ") if self.model.add_dummy_prefix else text for text in texts]
 
 
+def encoder_of(data: bytes, threads: int = 1) -> Encoder:
+    """One encoder for each Python process: Spark gives a worker one task after the other, and it keeps its words.
+
+    The functions of this folder arrive with each task anew, so the encoder is held by a module of its own.
+    """
+    held = vars(sys.modules.setdefault("barlake_llm_encoders", types.ModuleType("barlake_llm_encoders")))
+    key = f"{hashlib.sha256(data).hexdigest()}-{threads}"
+    if key not in held:
+        held[key] = Encoder(data, threads)
+    return held[key]
+
+
 def tokenize(docs: DataFrame, model_path: str, text: str = "text", into: str = "tokens", verify: bool = True, threads: int = 2) -> DataFrame:
     """Adds `into`, a struct of the ids of the whole text and the outcome of two checks.
 
@@ -207,18 +223,20 @@ def tokenize(docs: DataFrame, model_path: str, text: str = "text", into: str = "
     broadcast = docs.sparkSession.sparkContext.broadcast(data)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(broadcast.value, threads)
+        encoder = encoder_of(broadcast.value, threads)
         for batch in batches:
             for first, texts in _pieces(batch.column(carried)):
-                ids = encoder.encode(texts)
+                packed = encoder.encode(texts)
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(packed), np.int32)
+                ids = [np.frombuffer(p, np.int32).tolist() for p in packed]
                 trips = [back == encoder.plain_text(text) for back, text in zip(encoder.decode(ids), texts, strict=True)]
                 same = [None] * len(ids)
                 if verify:
                     same = [a == b for a, b in zip(ids, encoder.reference.encode(texts, num_threads=threads), strict=True)]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
                 tokens = pa.StructArray.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(trips, pa.bool_()), pa.array(same, pa.bool_())], fields=list(kind)
+                    [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(trips, pa.bool_()), pa.array(same, pa.bool_())],
+                    fields=list(kind),
                 )
                 rows = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), tokens], names=[*columns, into])
@@ -249,7 +267,7 @@ def decode(tokens: DataFrame, model_path: str, ids: str = "ids", into: str = "de
 
     @F.pandas_udf("string")
     def text_of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(data)
+        encoder = encoder_of(data)
         size = len(encoder.model.pieces)
         for column in columns:
             lists = [[int(i) for i in (() if x is None else x) if 0 <= i < size] for x in column]
