@@ -508,7 +508,7 @@ def _(spark, sf):
 @register(
     "bar_reject_counts",
     """SELECT l_orderkey % 100 AS file, count(*) AS rows_read, 0::BIGINT AS bad_timestamps,
-      count(*) FILTER (WHERE l_discount = 0.05::DOUBLE OR l_tax = 0.02::DOUBLE OR l_quantity = 7) AS bad_prices
+      count(*) FILTER (WHERE l_discount = 0.05::DOUBLE OR l_tax = 0.02::DOUBLE OR l_quantity = 7) AS bad_prices, 0::BIGINT AS bad_rows
     FROM lineitem GROUP BY 1""",
 )
 def _(spark, sf):
@@ -527,7 +527,7 @@ def _(spark, sf):
 @register(
     "tick_price_rule",
     """SELECT event_type AS instrument, count(*) AS rows_read, 0::BIGINT AS bad_timestamps,
-      count(*) FILTER (WHERE value - 5 <= 0 OR event_id % 11 = 0 OR event_id % 13 = 0) AS bad_prices
+      count(*) FILTER (WHERE value - 5 <= 0 OR event_id % 11 = 0 OR event_id % 13 = 0) AS bad_prices, 0::BIGINT AS bad_rows
     FROM events GROUP BY 1""",
 )
 def _(spark, sf):
