@@ -2,7 +2,7 @@
 
 A run parses its input once, computes every result from staged copies, and only then writes: bars and the ladder
 derived from them go to the bar table in one job with one commit. Ticks and the bars derived from them are two
-tables; the ticks are committed first, and repeating the run after a failure between the two gives the same state.
+tables; both are staged and named in the store first, so that a run that died in between is completed by the next one.
 """
 
 from __future__ import annotations
@@ -180,8 +180,7 @@ def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list
     base = merge.upsert_ticks(store.on_days("ticks", days), incoming)
     fresh = ladder.ladder_from_ticks(base)
     derived = stage(ladder.protect_raw(fresh, store.on_days("bars", days)), "derived")
-    store.merge_ticks(incoming, names)
-    store.merge_bars(derived)
+    store.merge_all(stage, {"ticks": incoming, "bars": derived})
     return Report(series, _derived_now(store, days))
 
 

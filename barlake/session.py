@@ -38,15 +38,20 @@ def work_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
 
 
+def write_stage(df: DataFrame, folder: str, label: str) -> str:
+    """Write `df` once as Parquet under `folder` and return its path."""
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stage(df: DataFrame, folder: str, label: str) -> DataFrame:
     """Write `df` once as Parquet under `folder` and read it back.
 
     Cuts the lineage so that later steps neither parse the input again nor lose it with an executor, and gives the
     optimizer the true size of the result for its join choice.
     """
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, folder, label))
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:

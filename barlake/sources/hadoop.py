@@ -47,6 +47,11 @@ def write_text(spark: SparkSession, name: str, text: str) -> None:
         out.close()
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    system, path = _open(spark, name)
+    return system.exists(path)
+
+
 def remove(spark: SparkSession, name: str) -> None:
     system, path = _open(spark, name)
     system.delete(path, True)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.schema import BAR_KEY, BARS, TICK_KEY, TICKS
-from barlake.session import empty, stage, work_dir
+from barlake.session import empty, stage, work_dir, write_stage
 from barlake.sources import hadoop
 
 # Days of up to this many series are broadcast (a few MB); more are joined with a shuffle. The rows read are the same.
@@ -37,6 +37,7 @@ STORED = {
 YEARLY = ("M1", "M5")
 TICK_PERIODS = {"day": None, "month": "MM", "year": "YY"}
 LAYOUT = "layout.json"
+PENDING = "pending.json"
 
 
 @dataclass
@@ -63,6 +64,23 @@ class Days:
         return Days(self.frame.select("instrument", "date").distinct(), ["instrument"], self.count, self.first, self.last)
 
 
+class Workspace:
+    """Stages frames under a folder and knows the path of each."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self._staged: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = write_stage(df, self.folder, label)
+        frame = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._staged.append((frame, path))
+        return frame
+
+    def path(self, frame: DataFrame) -> str:
+        return next(path for staged, path in self._staged if staged is frame)
+
+
 class Store:
     """Bars and ticks under one root folder that every executor can reach."""
 
@@ -82,6 +100,7 @@ class Store:
         if held and tick_period and held != tick_period:
             raise ValueError(f"store at {self.root} has layout {known}")
         self.tick_period = held or tick_period or "month"
+        self.recover()
 
     def _fix_layout(self) -> None:
         """Rows in a partition of another span would not be found by an upsert, so a root keeps its layout."""
@@ -190,6 +209,29 @@ class Store:
         kept = existing.join(changes.select(*on), on, "left_anti")
         self._write(table, changes.unionByName(kept))
 
+    def merge_all(self, stage: Workspace, changes: dict[str, DataFrame]) -> None:
+        """Merge frames of a workspace into both tables, as one step that a lost driver cannot leave half done.
+
+        The frames are named in a file of the store before the first table changes, and kept until the last one has. Who
+        opens or writes the store next completes the step; merging the rows again changes nothing.
+        """
+        pending = {"folder": stage.folder, "tables": {table: stage.path(rows) for table, rows in changes.items()}}
+        hadoop.write_text(self.spark, f"{self.root}/{PENDING}", json.dumps(pending))
+        self._complete(pending)
+
+    def recover(self) -> None:
+        """Complete a step that was left half done, if there is one."""
+        if hadoop.exists(self.spark, f"{self.root}/{PENDING}"):
+            pending = json.loads(hadoop.read_text(self.spark, f"{self.root}/{PENDING}"))
+            self._complete(pending)
+            hadoop.remove(self.spark, pending["folder"])
+
+    def _complete(self, pending: dict) -> None:
+        for table, path in pending["tables"].items():
+            schema, keys = (BARS, BAR_KEY) if table == "bars" else (TICKS, TICK_KEY)
+            self._merge(table, self.spark.read.schema(schema).parquet(path), keys, None)
+        hadoop.remove(self.spark, f"{self.root}/{PENDING}")
+
     def overwrite(self, table: str, rows: DataFrame) -> None:
         """Replace the partitions that `rows`, a staged frame, falls into; the other ones stay as they are."""
         self._write(table, self._with_period(table, rows.select(*COLUMNS[table])))
@@ -235,13 +277,15 @@ class Store:
         return stage(df, self.staging, label)
 
     @contextmanager
-    def workspace(self) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    def workspace(self) -> Iterator[Workspace]:
         """A stage function whose files are removed when the block ends; results read from them must not leave it."""
+        self.recover()
         folder = f"{self.staging}/work-{uuid.uuid4().hex}"
         try:
-            yield lambda df, label: stage(df, folder, label)
+            yield Workspace(folder)
         finally:
-            hadoop.remove(self.spark, folder)
+            if not hadoop.exists(self.spark, f"{self.root}/{PENDING}"):
+                hadoop.remove(self.spark, folder)
 
 
 def _between(rows: DataFrame, first, last) -> DataFrame:

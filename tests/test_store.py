@@ -120,6 +120,25 @@ def test_a_failed_ladder_writes_nothing(spark, store, monkeypatch):
     assert store.ticks().count() == 0 and store.bars().count() == 0
 
 
+def test_a_run_that_died_between_the_tables_is_completed(spark, store, tmp_path, monkeypatch):
+    merge = Store._merge
+
+    def dies(self, table, *rest):
+        if table == "bars":
+            raise RuntimeError("lost")
+        merge(self, table, *rest)
+
+    monkeypatch.setattr(Store, "_merge", dies)
+    with pytest.raises(RuntimeError):
+        ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-03 09:00:00", 30)))
+    monkeypatch.setattr(Store, "_merge", merge)
+    assert store.ticks().count() == 30 and store.bars().count() == 0
+    again = Store(spark, store.root)
+    assert again.bars().count() == 7 and again.ticks().count() == 30
+    assert not (tmp_path / "store" / "pending.json").exists()
+    test_work_files_are_removed(spark, again)
+
+
 def test_names_given_with_the_call(spark, store):
     data = spark.sql("SELECT '2024-01-02T02:00:00+02:00' timestamp, 1 open, 2 high, 0 low, 1 close, 5 volume")
     ingest.ingest_bars(store, data, "600519", "h1")
