@@ -218,7 +218,11 @@ def near_duplicates(
     members = table_members(signed, folder)
     wanted = stage(members.select("digest").distinct(), folder, "wanted")
     ids = stage(classes.join(wanted, "digest", "left_semi").select(F.col("id").alias(doc_id)), folder, "ids")
-    sets = pick(full_sets(pick(docs.select(doc_id, text), ids, "left_semi"), text, tables), wanted, "left_semi")
+    rows = docs.select(doc_id, text)
+    candidates = pick(rows, ids, "left_semi")
+    if not ids.where(F.col(doc_id).isNull()).isEmpty():
+        candidates = candidates.union(rows.where(F.col(doc_id).isNull()))
+    sets = pick(full_sets(candidates, text, tables), wanted, "left_semi")
     sets = stage(sets.dropDuplicates(["digest"]), folder, "sets")
 
     stars = members.where(F.col("digest") != F.col("first.digest")).where(_near(F.col("size"), F.col("first.size"), tables))

@@ -78,6 +78,14 @@ def test_odd_rows(spark):
     ]
 
 
+def test_rows_without_an_id_are_compared(spark):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(base)), (None, " ".join(["x", *base[1:]])), (9, " ".join([*base[:-1], "y"])), (4, "something else altogether here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(docs, folder(spark)).collect()
+    assert sorted((repr(r.doc_id), repr(r.component_id)) for r in got) == [("4", "4"), ("9", "9"), ("None", "9"), ("None", "9")]
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (2, "q r s t u v", "y"), (7, "k l m n o", "z"), (7, "k l m n o", "z"), (None, "lone words stay here", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
