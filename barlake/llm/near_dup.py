@@ -65,8 +65,8 @@ def _half_keys(hashes: np.ndarray, counts: np.ndarray, tables: Tables) -> np.nda
     return keys
 
 
-def sign(docs: DataFrame, doc_id: str, text: str, tables: Tables) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null: empty), and its left and right half-keys."""
+def sign(docs: DataFrame, doc_id: str, text: str, tables: Tables, hashed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null: empty), and its left and right half-keys; text_hash if `hashed`."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,14 +82,21 @@ def sign(docs: DataFrame, doc_id: str, text: str, tables: Tables) -> DataFrame:
                         pa.array(counts.astype(np.int64)),
                         _digests(hashes, counts),
                         *(pa.ListArray.from_arrays(pa.array(own), pa.array(side.ravel())) for side in sides),
+                        *(column.slice(first, last - first) for column in batch.columns[2:]),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "left_keys", "right_keys"],
+                    names=["doc_id", "n_shingles", "digest", "left_keys", "right_keys", *batch.schema.names[2:]],
                 )
 
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    more = [_text_hash(text).alias("text_hash")] if hashed else []
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), *more)
     kind = given.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, n_shingles bigint, digest binary, left_keys array<bigint>, right_keys array<bigint>"
-    return given.mapInArrow(signed, columns)
+    return given.mapInArrow(signed, columns + ", text_hash binary" * hashed)
+
+
+def _text_hash(text: str) -> F.Column:
+    """16 bytes that tell texts apart; null for a null text."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
 def _digests(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -212,7 +219,15 @@ def near_duplicates(
 
     What is written to `folder`: signatures (about 550 bytes a document), shared keys and sets of candidates only.
     """
-    signed = stage(sign(docs, doc_id, text, tables), folder, "signed")
+    component = F.coalesce("component", "doc_id")
+    return grouped(docs, folder, doc_id, text, tables).select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    )
+
+
+def grouped(docs: DataFrame, folder: str, doc_id: str, text: str, tables: Tables, hashed: bool = False) -> DataFrame:
+    """The signed rows with root and component (see `label`); see `near_duplicates`."""
+    signed = stage(sign(docs, doc_id, text, tables, hashed), folder, "signed")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     classes = stage(classes, folder, "classes")
     members = table_members(signed, folder)
@@ -237,30 +252,47 @@ def near_duplicates(
 
 
 def label(signed: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
-    """The component of each document from those of the classes; classes of one document without links are not joined."""
+    """The root and the smallest doc_id of each row's component from those of the classes, null for rows that are alone;
+    classes of one document without links are not joined.
+    """
     own = classes.select("digest", "id", "n").join(linked.select(F.col("a").alias("digest"), F.col("b").alias("root")), "digest", "left")
     roots = linked.select(F.col("b").alias("digest")).distinct().withColumn("is_root", F.lit(True))
     own = own.join(roots, "digest", "left").where("n > 1 or root is not null or is_root")
     own = own.select("digest", "id", F.coalesce("root", "digest").alias("root"))
     lowest = own.groupBy("root").agg(F.min("id").alias("component"))
-    own = own.join(lowest, "root").select("digest", "component")
-    component = F.coalesce("component", "doc_id")
-    return signed.join(own, "digest", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+    own = own.join(lowest, "root").select("digest", "root", "component")
+    return signed.join(own, "digest", "left")
+
+
+#: Up to so many rows (about 50 MB) are broadcast by id and text; more are joined with a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _pick_rows(docs: DataFrame, rows: DataFrame, how: str, doc_id: str, text_hash: F.Column) -> DataFrame:
+    """left_semi or left_anti join with the staged (doc_id, text_hash); null ids and null texts match each other."""
+    rows = rows.select(F.col("doc_id").alias("__copy_id"), F.col("text_hash").alias("__copy_hash"))
+    same = F.col(doc_id).eqNullSafe(F.col("__copy_id")) & text_hash.eqNullSafe(F.col("__copy_hash"))
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, same, how)
 
 
 def without_copies(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tables: Tables = Tables()) -> DataFrame:
-    """`docs` with one document of each component, the one with the smallest doc_id; all columns stay.
+    """`docs` with one row of each component, the one with the smallest doc_id; all columns stay.
 
-    A row that repeats doc_id and text is a copy too. Rows without a doc_id stay unless a row with one is near them.
+    Rows are told apart by doc_id and text, so a row goes only for its own text. Of several rows with the smallest doc_id
+    one stays, and one of those without any doc_id where no row of the component has one. A row that repeats doc_id and
+    text is a copy too, also if its text has no words.
     """
-    judged = stage(near_duplicates(docs, folder, doc_id, text, tables).select("doc_id", "kept"), folder, "judged")
-    dropped = stage(judged.where("not kept").select(F.col("doc_id").alias(doc_id)).distinct(), folder, "dropped")
-    kept = pick(docs, dropped, "left_anti")
-    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    repeated = stage(repeated.select(F.col("doc_id").alias(doc_id)), folder, "repeated")
+    rows = grouped(docs, folder, doc_id, text, tables, hashed=True)
+    rows = rows.where("root is not null or (digest is null and doc_id is not null)")
+    judged = stage(rows.groupBy("doc_id", "text_hash").agg(F.max("root").alias("root"), F.count("*").alias("n")), folder, "judged")
+    linked = judged.where("root is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = linked.groupBy("root").agg(F.min(order).alias("first")).select("root", "first.doc_id", "first.text_hash")
+    first = stage(first, folder, "first")
+    dropped = stage(_pick_rows(linked, first, "left_anti", "doc_id", F.col("text_hash")), folder, "dropped")
+    kept = _pick_rows(docs, dropped, "left_anti", doc_id, _text_hash(text))
+    repeated = judged.where("n > 1")
     if repeated.isEmpty():
         return kept
-    once = pick(kept, repeated, "left_semi").dropDuplicates([doc_id, text])
-    return pick(kept, repeated, "left_anti").unionByName(once)
+    once = _pick_rows(kept, repeated, "left_semi", doc_id, _text_hash(text)).dropDuplicates([doc_id, text])
+    return _pick_rows(kept, repeated, "left_anti", doc_id, _text_hash(text)).unionByName(once)

@@ -94,6 +94,21 @@ def test_one_of_each_group_stays(spark):
     assert sorted((repr(r.doc_id), r.text) for r in left.collect())[:2] == [("1", "a b c d e f"), ("7", "k l m n o")]
 
 
+def test_rows_go_for_their_own_text_only(spark):
+    same, near = "a b c d e f", " ".join(f"w{k}" for k in range(60))
+    rows = [(1, same, "x"), (2, same, "y"), (2, "q r s t u v", "y"), (7, "k l m n o", "z"), (7, "k l m n o", "z"), (None, "lone words stay here", "x")]
+    rows += [(None, same, "x"), (None, "A b c d e f", "x"), (None, near, "x"), (None, near, "y"), (None, near + " end", "x")]
+    rows += [(8, "m n o p q", "x"), (8, "M n o p q", "x"), (9, "", "x"), (9, "", "x"), (9, None, "x"), (None, "", "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    left = sorted((repr(r.doc_id), repr(r.text)) for r in near_dup.without_copies(docs, folder(spark)).collect())
+    free = [(i, t) for i, t in left if i == "None" and t.startswith("'w0 ")] + [(i, t) for i, t in left if i == "8"]
+    assert len(free) == 2 and [i for i, _ in free] == ["None", "8"]
+    assert [row for row in left if row not in free] == sorted(
+        [("1", repr(same)), ("2", "'q r s t u v'"), ("7", "'k l m n o'"), ("9", "''"), ("9", "None")]
+        + [("None", "''"), ("None", "''"), ("None", "'lone words stay here'")]
+    )
+
+
 def test_components_against_union_find(spark):
     draw = random.Random(9)
     for nodes, count in ((60, 40), (200, 260), (50, 0)):
