@@ -7,6 +7,7 @@ product of these automata, with equal states merged, reads every byte once for a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,12 +20,16 @@ PROBE = 6
 
 @dataclass(frozen=True)
 class Rule:
-    """`head` followed by one or more bytes of the class `tail`; a match counts if the tail has `least` bytes or more."""
+    """`head` followed by one or more bytes of the class `tail`; a match counts if the tail has `least` bytes or more.
+
+    A match that counts goes on with `rest`, a regular expression for what stands behind it; the next match begins after it.
+    """
 
     kind: str
     head: str
     tail: str
     least: int
+    rest: str = ""
 
     @property
     def probe(self) -> int:
@@ -223,7 +228,7 @@ class Automaton:
     heads: tuple[tuple[list[list[int]], frozenset[int]] | None, ...]
 
     def spans(self, data: bytes) -> Iterator[tuple[int, int, int]]:
-        """(rule, start, end) in bytes of each match that counts, in order of their ends."""
+        """(rule, start, end) in bytes of each match that counts, those of a rule in order."""
         table, events = self.table, self.events
         tails = [0] * len(self.rules)
         floors = [0] * len(self.rules)
@@ -239,10 +244,12 @@ class Automaton:
             yield from self._span(data, rule, tails[rule], len(data), floors)
 
     def _span(self, data: bytes, rule: int, tail: int, end: int, floors: list[int]) -> Iterator[tuple[int, int, int]]:
-        floor, floors[rule] = floors[rule], end
+        floor, floors[rule] = floors[rule], max(end, floors[rule])
         tail -= self.rules[rule].probe - 1
-        if end - tail < self.rules[rule].least:
+        if end - tail < self.rules[rule].least or tail < floor:
             return
+        if self.rules[rule].rest and (more := re.compile(self.rules[rule].rest.encode()).match(data, end)):
+            end = floors[rule] = more.end()
         if self.heads[rule] is None:
             yield rule, tail, end
         else:

@@ -19,11 +19,19 @@ BASE_RULES = (
     Rule("access", "AKIA", "[A-Z0-9]", 12),
     Rule("hex", "", "[0-9a-f]", 32),
 )
+# Behind the BEGIN line of a key, all up to its END line and, where none comes before the next BEGIN line,
+# header lines and base64 of 16 characters or more, with a shorter last piece at the end of its line.
+GAP = "(?:[\\s\"',>|#*-]|\\\\[nrt])"
+KEY_REST = (
+    "(?:(?!-----BEGIN )(?s:.))*?-----END [A-Z ]*PRIVATE KEY-----|"
+    f"(?:{GAP}*+[A-Z][A-Za-z-]+: [^\\r\\n\\\\]*+)*+(?:(?:(?!-----BEGIN ){GAP})*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
+    f"(?:{GAP}++[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=\\s*(?:[\\r\\n]|\\Z)|\\\\n)))?"
+)
 # Formats that services publish for their own keys.
 MORE_RULES = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]", 36),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.", "[A-Za-z0-9_-]", 8),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY----", "-", 1),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY----", "-", 1, KEY_REST),
 )
 RULES = BASE_RULES + MORE_RULES
 
