@@ -1,7 +1,8 @@
 """Benchmark passages in documents, also with other numbers, names or units: templates are joined by hash.
 
 Texts become tokens, of which numbers, names and units are slots. Windows of templates, in which a slot is only its type,
-are joined by hash; the slots of matching passages must then map onto each other one to one.
+are joined by hash; the slots of matching passages must then map onto each other one to one. Windows of plain tokens are
+joined in the same way, so that copies are found in any case and however many slots they have.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ BROADCAST_WINDOWS = 1_000_000
 class Settings:
     """A document holds an item if windows of `size` tokens cover `share` of the item's tokens.
 
-    A window needs `literals` tokens that are no slots. Items with fewer than `size` tokens are one window, those with
-    fewer than `literals` literal tokens are too common to be looked for.
+    A window matches by its plain tokens, or by its template if that has `literals` tokens that are no slots. Items with
+    fewer than `size` tokens are one window, windows with fewer than `literals` literal tokens are not looked for.
     """
 
     size: int = 8
@@ -46,10 +47,15 @@ class Settings:
 
 def tokens_of(text: Column) -> Column:
     """Tokens in lower case, in order; a word that is capitalised within a sentence keeps a mark in front of it."""
-    marked = F.regexp_replace(text, "(?<=\\p{L}[,;]? )(?=\\p{Lu}\\p{Ll})", MARK)
+    marked = F.regexp_replace(text, "(?<=\\p{L}[,;]?)[\\s\\p{Z}]+(?=\\p{Lu}\\p{Ll})", f" {MARK}")
     return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
 
 
+def plain_of(tokens: Column) -> Column:
+    """The tokens without marks."""
+    return F.when(F.exists(tokens, lambda t: t.startswith(MARK)), F.transform(tokens, lambda t: F.translate(t, MARK, ""))).otherwise(tokens)
+
+
 def template_of(tokens: Column) -> Column:
     """The tokens with every slot replaced by its type."""
 
@@ -75,55 +81,59 @@ def _is_slot(token: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, settings: Settings, item_id: str, text: str) -> DataFrame:
-    """item_id, n_tokens, place, length, hash, slotted and the tokens of each window of each item that is looked for."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), let(tokens_of(whole(text)), lambda t: F.struct(t.alias("t"), template_of(t).alias("p"))).alias("x"))
-    items = items.select("item_id", F.col("x.t").alias("tokens"), F.col("x.p").alias("template")).distinct()
+    """item_id, n_tokens, place, length, hash, exact, and the tokens of each window of each item.
+
+    Each window has a row for its plain tokens (exact), and one for its template if that has slots and literal tokens.
+    """
+    shapes = lambda t: F.struct(t.alias("t"), plain_of(t).alias("plain"), template_of(t).alias("p"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), let(tokens_of(whole(text)), shapes).alias("x"))
+    items = items.select("item_id", F.col("x.t").alias("tokens"), "x.plain", F.col("x.p").alias("template")).distinct()
     items = items.withColumn("n_tokens", F.size("tokens")).where("item_id is not null and n_tokens > 0")
     items = items.withColumn("length", F.least("n_tokens", F.lit(settings.size)))
     places = F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("length")))
     windows = items.select("*", places.alias("place"))
-    window = F.slice("template", F.col("place") + 1, F.col("length"))
-    windows = windows.select(
-        "item_id",
-        "n_tokens",
-        "place",
-        "length",
-        F.slice("tokens", F.col("place") + 1, F.col("length")).alias("given"),
-        F.size(F.filter(window, _is_slot)).alias("slots"),
-        F.xxhash64(window).alias("hash"),
-    )
-    return windows.where(F.col("length") - F.col("slots") >= settings.literals)
+    window, plain = (F.slice(c, F.col("place") + 1, F.col("length")) for c in ("template", "plain"))
+    slots = F.size(F.filter(window, _is_slot))
+    templated = (slots > 0) & (F.col("length") - slots >= settings.literals)
+    windows = windows.where(F.col("length") - slots >= settings.literals)
+    both = F.array(F.struct(F.xxhash64(plain).alias("hash"), F.lit(True).alias("exact")), F.when(templated, F.struct(F.xxhash64(window).alias("hash"), F.lit(False).alias("exact"))))
+    given = F.slice("tokens", F.col("place") + 1, F.col("length")).alias("given")
+    return windows.select("item_id", "n_tokens", "place", "length", given, F.explode(F.array_compact(both)).alias("w")).select("*", "w.hash", "w.exact").drop("w")
 
 
-def template_matches(docs: DataFrame, windows: DataFrame, lengths: list[int], few: bool) -> DataFrame:
-    """Each window of a document that has the template of a benchmark window; key and text_hash tell the document."""
+def window_matches(docs: DataFrame, windows: DataFrame, lengths: list[int], few: bool) -> DataFrame:
+    """Each window of a document that matches one of the benchmark; key and text_hash tell the document."""
 
-    def hashes(template: Column) -> Column:
-        every = [
-            F.when(F.size(template) >= length, F.transform(F.sequence(F.lit(0), F.size(template) - length), _hash(template, length))).otherwise(
-                F.array().cast("array<struct<at:int,hash:bigint>>")
-            )
-            for length in lengths
-        ]
+    def hashes(x: Column) -> Column:
+        plain, template = x["plain"], x["template"]
+        every = [F.when(F.size(plain) >= length, _hashes(plain, template, length)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>")) for length in lengths]
         return F.concat(*every) if len(every) > 1 else every[0]
 
-    template = let(tokens_of(F.col("text")), template_of)
-    rows = docs.select("key", "text_hash", F.explode(let(template, hashes)).alias("w")).select("key", "text_hash", "w.at", "w.hash")
+    shapes = let(tokens_of(F.col("text")), lambda t: F.struct(plain_of(t).alias("plain"), template_of(t).alias("template")))
+    rows = docs.select("key", "text_hash", F.explode(let(shapes, hashes)).alias("w")).select("key", "text_hash", "w.at", "w.hash")
     return rows.join(F.broadcast(windows) if few else windows, "hash")
 
 
-def _hash(template: Column, length: int):
-    return lambda at: F.struct(at.alias("at"), F.xxhash64(F.slice(template, at + 1, length)).alias("hash"))
+def _hashes(plain: Column, template: Column, length: int) -> Column:
+    """The hashes of all windows of plain tokens, then of those templates that differ from them."""
+    places = F.sequence(F.lit(0), F.size(plain) - length)
+    exact = F.transform(places, lambda at: F.struct(at.alias("at"), F.xxhash64(F.slice(plain, at + 1, length)).alias("hash")))
+
+    def templates(known: Column) -> Column:
+        given = F.transform(places, lambda at: F.struct(at.alias("at"), F.xxhash64(F.slice(template, at + 1, length)).alias("hash")))
+        return F.concat(known, F.filter(given, lambda w: w["hash"] != F.get(known, w["at"])["hash"]))
+
+    return F.when(plain == template, exact).otherwise(let(exact, templates))
 
 
 def consistent(matches: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     """The matches without those passages whose slots contradict each other.
 
     A passage is the windows of a document and an item at one distance. In it every value of the item must stand for one
-    value of the document and the other way round.
+    value of the document and the other way round. Windows of equal tokens match whatever the slots elsewhere say.
     """
-    slotted = stage(matches.where("slots > 0"), folder, "slotted")
-    plain = matches.where("slots = 0").select("key", "text_hash", "item_id", "n_tokens", "place", "length")
+    slotted = stage(matches.where("not exact"), folder, "slotted")
+    plain = matches.where("exact").select("key", "text_hash", "item_id", "n_tokens", "place", "length")
     if slotted.isEmpty():
         return plain
     wanted = stage(slotted.select("key", "text_hash").distinct(), folder, "wanted")
@@ -160,7 +170,7 @@ def leaks(
     rows = keyed(docs, doc_id, text)
     if not lengths:
         return rows.where(F.lit(False)).select("key", "text_hash", F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("coverage"))
-    matches = stage(template_matches(rows, windows, lengths, windows.count() <= BROADCAST_WINDOWS), folder, "matches")
+    matches = stage(window_matches(rows, windows, lengths, windows.count() <= BROADCAST_WINDOWS), folder, "matches")
     found = consistent(matches, rows, folder).select("key", "text_hash", "item_id", "n_tokens", "place", "length").distinct()
     covered = found.select("key", "text_hash", "item_id", "n_tokens", F.explode(F.sequence("place", F.col("place") + F.col("length") - 1)).alias("at"))
     covered = covered.distinct().groupBy("key", "text_hash", "item_id", "n_tokens").agg(F.count("*").alias("n"))

@@ -25,6 +25,15 @@ def test_other_numbers_and_names_are_found(spark):
     assert not got[5].contaminated
 
 
+def test_copies_in_any_case_and_wrapping_are_found(spark):
+    words = ITEM.split()
+    wrapped = "\n".join(" ".join(words[k : k + 3]) for k in range(0, len(words), 3))
+    docs = [(1, ITEM.upper()), (2, ITEM.lower()), (3, ITEM.replace(" ", "\n")), (4, ITEM.replace(" ", "  ")), (5, ITEM.title()), (6, f"Word {wrapped}")]
+    docs += [(7, wrapped.replace("12", "7").replace("Anna", "Maria"))]
+    got = {r.doc_id: (r.items, r.coverage) for r in judged(spark, docs, [(9, ITEM)])}
+    assert got == {k: ([9], 1.0) for k in range(1, 8)}
+
+
 def test_slots_must_agree(spark):
     item = "first we take 3 parts of flour and later we take 3 parts of sugar and mix 4 parts of milk"
     match = "first we take 8 parts of flour and later we take 8 parts of sugar and mix 2 parts of milk"
