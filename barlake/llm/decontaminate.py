@@ -37,7 +37,7 @@ class Settings:
     """A document holds an item if windows of `size` tokens cover `share` of the item's tokens.
 
     A window matches by its plain tokens, or by its template if that has `literals` tokens that are no slots. Items with
-    fewer than `size` tokens are one window, windows with fewer than `literals` literal tokens are not looked for.
+    fewer than `size` tokens are one window.
     """
 
     size: int = 8
@@ -95,7 +95,6 @@ def benchmark_windows(benchmark: DataFrame, settings: Settings, item_id: str, te
     window, plain = (F.slice(c, F.col("place") + 1, F.col("length")) for c in ("template", "plain"))
     slots = F.size(F.filter(window, _is_slot))
     templated = (slots > 0) & (F.col("length") - slots >= settings.literals)
-    windows = windows.where(F.col("length") - slots >= settings.literals)
     both = F.array(F.struct(F.xxhash64(plain).alias("hash"), F.lit(True).alias("exact")), F.when(templated, F.struct(F.xxhash64(window).alias("hash"), F.lit(False).alias("exact"))))
     given = F.slice("tokens", F.col("place") + 1, F.col("length")).alias("given")
     return windows.select("item_id", "n_tokens", "place", "length", given, F.explode(F.array_compact(both)).alias("w")).select("*", "w.hash", "w.exact").drop("w")

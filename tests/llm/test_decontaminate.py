@@ -43,6 +43,14 @@ def test_slots_must_agree(spark):
     assert got == {1: True, 2: False, 3: False}
 
 
+def test_items_dense_in_slots_and_short_items_are_found(spark):
+    dense = "Solve 3 + 4 * 5 - 6 / 2 + 7 and then add 8 9 10 11 12 13 14 15 to get it"
+    items = [(1, dense), (2, "1 2 3 4 5 6 7 8 9"), (3, "Paris or Rome")]
+    docs = [(1, f"Intro. {dense} The end."), (2, "so 1 2 3 4 5 6 7 8 9 and on"), (3, "in paris, or rome?"), (4, "3 4 5 6 2 7 1 1 1 9 9 9 8 8 8"), (5, "Paris and Rome")]
+    got = {r.doc_id: (r.items, r.coverage) for r in judged(spark, docs, items)}
+    assert got == {1: ([1], 1.0), 2: ([2], 1.0), 3: ([3], 1.0), 4: ([], 0.0), 5: ([], 0.0)}
+
+
 def test_odd_rows(spark):
     items = [(1, ITEM), (1, ITEM), (2, None), (3, ""), (4, "too short"), (None, ITEM), (5, "1 2 3 4 5 6 7 8 9")]
     docs = [(1, None), (2, ""), (3, "word " * 60_000 + ITEM), (3, "word " * 60_000 + ITEM), (None, ITEM), (None, "clean"), (7, ITEM), (7, "clean"), (8, "1 2 3 4 5 6 7 8 9")]
