@@ -126,10 +126,11 @@ def _hashes(plain: Column, template: Column, length: int) -> Column:
 
 
 def consistent(matches: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
-    """The matches without those passages whose slots contradict each other.
+    """The matches without those windows whose slots contradict others of their passage.
 
     A passage is the windows of a document and an item at one distance. In it every value of the item must stand for one
-    value of the document and the other way round. Windows of equal tokens match whatever the slots elsewhere say.
+    value of the document and the other way round. Windows that hold a value for which this fails are left out; windows of
+    equal tokens match whatever the slots say.
     """
     slotted = stage(matches.where("not exact"), folder, "slotted")
     plain = matches.where("exact").select("key", "text_hash", "item_id", "n_tokens", "place", "length")
@@ -138,14 +139,18 @@ def consistent(matches: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     wanted = stage(slotted.select("key", "text_hash").distinct(), folder, "wanted")
     texts = pick(docs, wanted, "left_semi").dropDuplicates(["key", "text_hash"]).select("key", "text_hash", tokens_of(F.col("text")).alias("found"))
     passage = ["key", "text_hash", "item_id", "shift"]
-    joined = slotted.withColumn("shift", F.col("at") - F.col("place")).join(texts, ["key", "text_hash"])
+    slotted = slotted.withColumn("shift", F.col("at") - F.col("place"))
     pairs = F.arrays_zip(F.col("given"), F.slice("found", F.col("at") + 1, F.col("length")).alias("found"))
     pairs = F.filter(pairs, lambda p: p["given"].startswith(MARK) | p["found"].startswith(MARK) | _is_number(p["given"]) | p["given"].isin(*UNITS))
-    values = joined.select(*passage, F.explode(pairs).alias("p")).select(*passage, "p.given", "p.found")
-    one = values.groupBy(*passage, "given").agg(F.min("found").alias("low"), F.max("found").alias("high")).where("low <> high")
-    two = values.groupBy(*passage, "found").agg(F.min("given").alias("low"), F.max("given").alias("high")).where("low <> high")
-    clashes = one.select(*passage).union(two.select(*passage)).distinct()
-    kept = slotted.withColumn("shift", F.col("at") - F.col("place")).join(clashes, passage, "left_anti")
+    joined = slotted.join(texts, ["key", "text_hash"]).withColumn("pairs", pairs).drop("found")
+    values = joined.select(*passage, F.explode("pairs").alias("p")).select(*passage, "p.given", "p.found").distinct()
+    one = values.groupBy(*passage, "given").agg(F.count("*").alias("n")).where("n > 1").select(*passage, F.col("given").alias("value"), F.lit(True).alias("own"))
+    two = values.groupBy(*passage, "found").agg(F.count("*").alias("n")).where("n > 1").select(*passage, F.col("found").alias("value"), F.lit(False).alias("own"))
+    clashes = one.union(two).groupBy(*passage).agg(
+        F.collect_list(F.when(F.col("own"), F.col("value"))).alias("givens"), F.collect_list(F.when(~F.col("own"), F.col("value"))).alias("founds")
+    )
+    clashing = F.exists("pairs", lambda p: F.array_contains("givens", p["given"]) | F.array_contains("founds", p["found"]))
+    kept = joined.join(clashes, passage, "left").where(F.col("givens").isNull() | ~clashing)
     return plain.union(kept.select("key", "text_hash", "item_id", "n_tokens", "place", "length"))
 
 

@@ -43,6 +43,18 @@ def test_slots_must_agree(spark):
     assert got == {1: True, 2: False, 3: False}
 
 
+def test_a_clash_takes_only_its_own_windows(spark):
+    tail = "then stir it with a long spoon until the whole bowl is warm and serve it on 6 plates to all of the guests"
+    item = f"first we take 3 parts of flour and later 3 parts of sugar and 4 parts of milk {tail}"
+    edited = item.replace("later 3", "later 5")
+    fused = item.replace("3 parts", "8 parts").replace("4 parts", "8 parts").replace("6 plates", "9 plates")
+    got = {r.doc_id: r for r in judged(spark, [(1, item), (2, edited), (3, fused), (4, fused.replace("9 plates", "8 plates"))], [(1, item)])}
+    n = len(item.split())
+    assert got[1].coverage == 1.0 and got[2].items == [1] and got[3].items == [1]
+    assert got[2].coverage == (n - 1) / n
+    assert got[4].coverage < got[3].coverage < 1.0
+
+
 def test_items_dense_in_slots_and_short_items_are_found(spark):
     dense = "Solve 3 + 4 * 5 - 6 / 2 + 7 and then add 8 9 10 11 12 13 14 15 to get it"
     items = [(1, dense), (2, "1 2 3 4 5 6 7 8 9"), (3, "Paris or Rome")]
