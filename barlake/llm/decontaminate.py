@@ -34,7 +34,7 @@ BROADCAST_WINDOWS = 1_000_000
 
 @dataclass(frozen=True)
 class Settings:
-    """A document holds an item if windows of `size` tokens cover `share` of the item's tokens.
+    """A document holds an item if windows of `size` tokens cover `share` of the item's tokens, or `run` of them in a row.
 
     A window matches by its plain tokens, or by its template if that has `literals` tokens that are no slots. Items with
     fewer than `size` tokens are one window.
@@ -43,6 +43,7 @@ class Settings:
     size: int = 8
     literals: int = 4
     share: float = 0.5
+    run: int = 13
 
 
 def tokens_of(text: Column) -> Column:
@@ -132,14 +133,14 @@ def consistent(matches: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     value of the document and the other way round. Windows that hold a value for which this fails are left out; windows of
     equal tokens match whatever the slots say.
     """
-    slotted = stage(matches.where("not exact"), folder, "slotted")
-    plain = matches.where("exact").select("key", "text_hash", "item_id", "n_tokens", "place", "length")
+    matches = matches.withColumn("shift", F.col("at") - F.col("place"))
+    columns = ["key", "text_hash", "item_id", "n_tokens", "shift", "place", "length"]
+    plain, slotted = matches.where("exact").select(*columns), stage(matches.where("not exact"), folder, "slotted")
     if slotted.isEmpty():
         return plain
     wanted = stage(slotted.select("key", "text_hash").distinct(), folder, "wanted")
     texts = pick(docs, wanted, "left_semi").dropDuplicates(["key", "text_hash"]).select("key", "text_hash", tokens_of(F.col("text")).alias("found"))
     passage = ["key", "text_hash", "item_id", "shift"]
-    slotted = slotted.withColumn("shift", F.col("at") - F.col("place"))
     pairs = F.arrays_zip(F.col("given"), F.slice("found", F.col("at") + 1, F.col("length")).alias("found"))
     pairs = F.filter(pairs, lambda p: p["given"].startswith(MARK) | p["found"].startswith(MARK) | _is_number(p["given"]) | p["given"].isin(*UNITS))
     joined = slotted.join(texts, ["key", "text_hash"]).withColumn("pairs", pairs).drop("found")
@@ -151,7 +152,18 @@ def consistent(matches: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     )
     clashing = F.exists("pairs", lambda p: F.array_contains("givens", p["given"]) | F.array_contains("founds", p["found"]))
     kept = joined.join(clashes, passage, "left").where(F.col("givens").isNull() | ~clashing)
-    return plain.union(kept.select("key", "text_hash", "item_id", "n_tokens", "place", "length"))
+    return plain.union(kept.select(*columns))
+
+
+def longest_run(places: Column, length: Column) -> Column:
+    """How many tokens in a row windows of `length` tokens at these places (in order) cover at most."""
+
+    def longer(acc: Column, place: Column) -> Column:
+        begin = F.when(place <= acc["end"], acc["begin"]).otherwise(place)
+        return F.struct(begin.alias("begin"), (place + length).alias("end"), F.greatest(acc["best"], place + length - begin).alias("best"))
+
+    start = F.struct(F.lit(-1).alias("begin"), F.lit(-1).alias("end"), F.lit(0).alias("best"))
+    return F.aggregate(places, start, longer, lambda acc: acc["best"])
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -175,12 +187,15 @@ def leaks(
     if not lengths:
         return rows.where(F.lit(False)).select("key", "text_hash", F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("coverage"))
     matches = stage(window_matches(rows, windows, lengths, windows.count() <= BROADCAST_WINDOWS), folder, "matches")
-    found = consistent(matches, rows, folder).select("key", "text_hash", "item_id", "n_tokens", "place", "length").distinct()
-    covered = found.select("key", "text_hash", "item_id", "n_tokens", F.explode(F.sequence("place", F.col("place") + F.col("length") - 1)).alias("at"))
-    covered = covered.distinct().groupBy("key", "text_hash", "item_id", "n_tokens").agg(F.count("*").alias("n"))
+    item = ["key", "text_hash", "item_id", "n_tokens"]
+    passages = consistent(matches, rows, folder).groupBy(*item, "shift", "length").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    passages = passages.withColumn("run", longest_run(F.col("places"), F.col("length")))
+    covered = passages.select(*item, "run", "length", F.explode("places").alias("place"))
+    covered = covered.select(*item, "run", F.explode(F.sequence("place", F.col("place") + F.col("length") - 1)).alias("at"))
+    covered = covered.groupBy(*item, "at").agg(F.max("run").alias("run")).groupBy(*item).agg(F.count("*").alias("n"), F.max("run").alias("run"))
     coverage = F.col("n") / F.col("n_tokens")
     return (
-        covered.where(coverage >= settings.share)
+        covered.where((coverage >= settings.share) | (F.col("run") >= settings.run))
         .groupBy("key", "text_hash", "item_id")
         .agg(F.max(coverage).alias("coverage"))
     )

@@ -55,6 +55,14 @@ def test_a_clash_takes_only_its_own_windows(spark):
     assert got[4].coverage < got[3].coverage < 1.0
 
 
+def test_long_excerpts_of_long_items_are_found(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    docs = [(1, "x " + " ".join(words[20:33]) + " y"), (2, "x " + " ".join(words[20:32]) + " y")]
+    docs += [(3, " ".join(words[:9]) + " x " + " ".join(words[30:39])), (4, " ".join(words[:10]) + " x " + " ".join(words[10:20]))]
+    got = {r.doc_id: (r.items, r.coverage) for r in judged(spark, docs, [(1, " ".join(words))])}
+    assert got == {1: ([1], 13 / 60), 2: ([], 0.0), 3: ([], 0.0), 4: ([], 0.0)}
+
+
 def test_items_dense_in_slots_and_short_items_are_found(spark):
     dense = "Solve 3 + 4 * 5 - 6 / 2 + 7 and then add 8 9 10 11 12 13 14 15 to get it"
     items = [(1, dense), (2, "1 2 3 4 5 6 7 8 9"), (3, "Paris or Rome")]
