@@ -29,6 +29,11 @@ def prf(key: str, tweak: str, turn: Column, value: Column) -> Column:
     return F.conv(F.substring(F.sha2(message, 256), 1, 13), 16, 10).cast("long")
 
 
+def quotient(value: Column, by: Column | int) -> Column:
+    """Whole numbers divided as such: `/` would go through doubles, which hold 53 bits."""
+    return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by).cast("long"))
+
+
 def feistel(value: Column, low: Column | int, high: Column | int, key: str, tweak: str) -> Column:
     """A keyed permutation of the numbers below low * high (longs): rounds add to one coordinate what the other gives."""
     low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
@@ -40,7 +45,7 @@ def feistel(value: Column, low: Column | int, high: Column | int, key: str, twea
         even = number % 2 == 0
         return F.struct(F.when(even, left).otherwise(state["left"]).alias("left"), F.when(even, state["right"]).otherwise(right).alias("right"))
 
-    start = F.struct(((value - F.pmod(value, high)) / high).cast("long").alias("left"), F.pmod(value, high).alias("right"))
+    start = F.struct(quotient(value, high).alias("left"), F.pmod(value, high).alias("right"))
     rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(rounds, start, turn, lambda state: state["left"] * high + state["right"])
 
@@ -66,7 +71,7 @@ def permuted_letters(letters: Column, key: str, tweak: str) -> Column:
     places = F.transform(F.sequence(F.lit(1), size), lambda k: size - k)
     return let(
         found,
-        lambda x: F.array_join(F.transform(places, lambda k: F.substring(F.lit(LETTERS), F.pmod((x - F.pmod(x, power(POWERS_26, k))) / power(POWERS_26, k), F.lit(26)).cast("int") + 1, F.lit(1))), ""),
+        lambda x: F.array_join(F.transform(places, lambda k: F.substring(F.lit(LETTERS), F.pmod(quotient(x, power(POWERS_26, k)), F.lit(26)).cast("int") + 1, F.lit(1))), ""),
     )
 
 

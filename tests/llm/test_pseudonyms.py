@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -69,6 +71,34 @@ def test_permutations(spark):
     assert tuple(moved.selectExpr("count(distinct p)", "min(p)", "max(p)").first()) == (26**3, "aaa", "zzz")
 
 
+def permuted(value, low, high):
+    """The Feistel network in whole numbers, with the key `k` and the tweak `t`."""
+    prf = lambda turn, x: int(hashlib.sha256(f"k|t|{turn}|{x}".encode()).hexdigest()[:13], 16)
+    left, right = divmod(value, high)
+    for turn in range(pseudonyms.ROUNDS):
+        if turn % 2 == 0:
+            left = (left + prf(turn, right)) % low
+        else:
+            right = (right + prf(turn, left)) % high
+    return left * high + right
+
+
+def test_long_runs_are_permuted_exactly(spark):
+    draw = random.Random(8)
+    runs = ["".join(draw.choice(pseudonyms.LETTERS) for _ in range(size)) for size in (10, 11, 12, 12) for _ in range(300)] + ["z" * 12, "a" * 12]
+    numbers = ["".join(draw.choice("0123456789") for _ in range(size)) for size in (15, 17, 18, 18) for _ in range(300)] + ["9" * 18, "0" * 18]
+    rows = spark.createDataFrame(list(zip(runs, numbers, strict=True)), "x string, y string")
+    moved = [pseudonyms.permuted_letters(F.col("x"), "k", "t").alias("letters"), pseudonyms.permuted_digits(F.col("y"), "k", "t").alias("digits")]
+    for r in rows.select("x", "y", *moved).collect():
+        size = len(r.x)
+        number, value = 0, sum(26**k * (ord(c) - 97) for k, c in enumerate(reversed(r.x)))
+        for c in r.letters:
+            number = number * 26 + ord(c) - 97
+        assert len(r.letters) == size and number == permuted(value, 26 ** (size // 2), 26 ** (size - size // 2)), r.x
+        size = len(r.y)
+        assert len(r.digits) == size and int(r.digits) == permuted(int(r.y), 10 ** (size // 2), 10 ** (size - size // 2)), r.y
+
+
 def test_query_against_patterns(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
