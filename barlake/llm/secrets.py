@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.automaton import Automaton, Rule, compile_rules
+from barlake.llm.columns import unused
 
 # The rules of the base contract, in the order in which their kinds are listed.
 BASE_RULES = (
@@ -19,13 +20,15 @@ BASE_RULES = (
     Rule("access", "AKIA", "[A-Z0-9]", 12),
     Rule("hex", "", "[0-9a-f]", 32),
 )
-# Behind the BEGIN line of a key, all up to its END line and, where none comes before the next BEGIN line,
-# header lines and base64 of 16 characters or more, with a shorter last piece at the end of its line.
-GAP = "(?:[\\s\"',>|#*-]|\\\\[nrt])"
+# What follows the BEGIN line of a key. Header lines, base64 of 16 characters or more with gaps between (the
+# first piece is long or has a digit), a shorter last piece at the end of its line or before the END line, the END line.
+# Nothing but these parts is taken, so prose between the names of the two lines stays.
+GAP = r"""(?:(?!-----(?:BEGIN|END) )(?:[\s"',>|#*-]|\\[nrt]|\+(?=\s)))"""
+END = r"-----END [A-Z ]*PRIVATE KEY-----"
 KEY_REST = (
-    "(?:(?!-----BEGIN )(?s:.))*?-----END [A-Z ]*PRIVATE KEY-----|"
-    f"(?:{GAP}*+[A-Z][A-Za-z-]+: [^\\r\\n\\\\]*+)*+(?:(?:(?!-----BEGIN ){GAP})*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
-    f"(?:{GAP}++[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=\\s*(?:[\\r\\n]|\\Z)|\\\\n)))?"
+    rf"(?:(?:{GAP}*+[A-Z][A-Za-z-]+: [^\r\n\\]*+)*+{GAP}*+(?=[A-Za-z0-9+/]{{40}}|[A-Za-z]*[0-9+/])[A-Za-z0-9+/]{{16,}}+={{0,2}}"
+    rf"(?:{GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})*+"
+    rf"(?:{GAP}++[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=\s*(?:[\r\n]|\Z)|\\n|{GAP}*+{END})))?)?(?:{GAP}*+{END})?"
 )
 # Formats that services publish for their own keys.
 MORE_RULES = (
@@ -58,7 +61,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     replaced. Matches of one kind don't overlap, those of different kinds may.
     """
     automaton = compile_rules(rules)
-    carried = "__secret_text"
+    carried = unused("__secret_text", docs)
     columns = [c for c in docs.columns if c.lower() != into.lower()]
     schema = docs.select(*(f"`{c}`" for c in columns)).schema
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -86,7 +89,7 @@ def without_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
 
     Where spans overlap, the one that starts first (then the longest) names the whole stretch. A null text stays null.
     """
-    spans = "__secret_spans"
+    spans = unused("__secret_spans", docs)
     found = find_secrets(docs, text, rules, into=spans)
 
     def shorten(acc: F.Column, span: F.Column) -> F.Column:

@@ -78,6 +78,25 @@ def test_private_keys_go_as_a_whole(spark, automaton):
     ]
 
 
+def test_prose_between_the_names_of_a_key_stays(spark, automaton):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    prose = "is the line that such a file starts with, and after many lines of letters, comes the last one: " * 4
+    texts = [f"{begin} {prose} {end}", f"{begin}\nNote: {prose}\n{prose} {end}", f"{begin} internationalization and more {end}", f"'{begin}', '{end}' {prose}"]
+    for text in texts:
+        spans = [s for s in found(automaton, text) if s[0] == "private_key"]
+        assert spans and "the" not in "".join(text[a:b] for _, a, b in spans).lower() and "internat" not in "".join(text[a:b] for _, a, b in spans)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cleaned = [r.text for r in secrets.without_secrets(docs).orderBy("doc_id").collect()]
+    assert all(prose.strip() in text for k, text in enumerate(cleaned) if k != 2) and "internationalization and more" in cleaned[2]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "password=abcdefghijk", "own", "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __secret_text string, __Secret_Spans string")
+    assert secrets.find_secrets(docs).drop("secrets").collect() == docs.collect()
+    assert secrets.without_secrets(docs).collect() == [(1, "[assign]", "own", "kept")]
+
+
 def test_rules_that_one_pass_cannot_decide_are_refused():
     with pytest.raises(ValueError):
         compile_rules((Rule("odd", "ab*", "c", 1), Rule("worse", "a(bc|b)", "[bd]", 1), Rule("late", "(x|xyx)", "[yz]", 1)))
@@ -103,7 +122,7 @@ def test_overlapping_spans_are_cut_once(spark):
 
 
 def test_query_against_brute_force(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
     got = queries.op1_secret_scan(spark, sf).collect()
     assert len(got) == len(texts)
