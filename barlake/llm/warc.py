@@ -31,7 +31,10 @@ ROW = "page_id bigint, payload_bytes bigint, payload_digest string, record_type
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample_bytes` bounds the records, taken from the head of an archive, that its dictionary is trained on."""
+    """`sample_bytes` bounds the records, taken from the head of an archive, that its dictionary is trained on.
+
+    A dictionary has a 64th of their bytes, and `dictionary_bytes` at most, so that a small archive has a small one.
+    """
 
     dictionary_bytes: int = 64 * 1024
     sample_bytes: int = 4 * 1024 * 1024
@@ -56,13 +59,15 @@ def newest_copies(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def plan_records(pages: DataFrame, groups: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_digest, record_type, refers_to of each row; the digest is the SHA-1 of the payload.
+    """page_id, url, payload, payload_digest, record_type, refers_to, deal of each row; the digest is the SHA-1 of the payload.
 
     Of the rows with the payload of one of `groups` those with the largest page_id are responses, the others revisit it.
     Rows that repeat this page_id are all responses; a null page_id is smaller than any other, and rows are all responses
     where no page_id is known.
     """
-    rows = pages.select("page_id", "url", whole("html").cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
+    # rows without an id are dealt by their place in the input, which a task that is run again reads in the same order
+    deal = F.xxhash64("page_id", "url", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()))
+    rows = pages.select("page_id", "url", whole("html").cast("binary").alias("payload"), deal.alias("deal")).withColumn("digest", F.sha1("payload"))
     revisit = F.coalesce(F.col("newest") > F.coalesce("page_id", F.col("newest") - 1), F.lit(False))
     return rows.join(groups, "digest", "left").select(
         "page_id",
@@ -71,6 +76,7 @@ def plan_records(pages: DataFrame, groups: DataFrame) -> DataFrame:
         base32(F.col("digest")).alias("payload_digest"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("newest")).alias("refers_to"),
+        "deal",
     )
 
 
@@ -106,10 +112,11 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, k
 
 def _dictionary(samples: list[bytes], settings: Settings) -> bytes:
     """A trained dictionary; where there are too few records to train on, the records' own bytes (none for no records)."""
+    size = min(settings.dictionary_bytes, max(512, sum(map(len, samples)) // 64))
     try:
-        return zstandard.train_dictionary(settings.dictionary_bytes, samples).as_bytes() if len(samples) > 16 else b"".join(samples)[:4096]
+        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) > 16 else b"".join(samples)[:size]
     except zstandard.ZstdError:
-        return b"".join(samples)[:4096]
+        return b"".join(samples)[:size]
 
 
 def write_archives(records: DataFrame, path: str, settings: Settings = Settings()) -> None:
@@ -214,17 +221,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def archive_pages(pages: DataFrame, folder: str, settings: Settings = Settings(), least_bytes: int = 0) -> tuple[DataFrame, str]:
     """Writes a record for each row of `pages` and returns what the archives hold (see `read_archives`) and their path.
 
-    Up to `broadcast_groups` payloads with copies are broadcast, and rows are dealt by a hash of page_id and url to as
-    many archives as their bytes ask for, so neither a site nor a group of copies decides an archive's size. More groups
-    are joined with a shuffle, whose partitions become the archives. Null payloads are empty, null urls are left out.
+    Rows are dealt by a hash of page_id and url (by their place in the input without page_id) to as many archives as their
+    bytes ask for, so neither a site nor a group of copies decides an archive's size. Up to `broadcast_groups` payloads with
+    copies are broadcast, more are joined with a shuffle before. Null payloads are empty, null urls are left out.
     """
     groups = stage(newest_copies(pages, least_bytes), folder, "groups")
     path = f"{folder}/archives-{uuid.uuid4().hex}"
-    if groups.count() <= settings.broadcast_groups:
-        size = pages.agg(F.sum(F.octet_length(whole("html")) + 512)).first()[0] or 0
-        archives = max(1, -(-size // settings.archive_bytes))
-        records = plan_records(pages, F.broadcast(groups)).repartition(archives, F.xxhash64("page_id", "url"))
-    else:
-        records = plan_records(pages, groups)
+    size = pages.agg(F.sum(F.octet_length(whole("html")) + 512)).first()[0] or 0
+    archives = max(1, -(-size // settings.archive_bytes))
+    records = plan_records(pages, F.broadcast(groups) if groups.count() <= settings.broadcast_groups else groups)
+    records = records.repartition(archives, "deal")
     write_archives(records, path, settings)
     return read_archives(pages.sparkSession, path), path

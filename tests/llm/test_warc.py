@@ -61,3 +61,28 @@ def test_archives_are_frames_behind_a_dictionary(spark):
     texts = {warc._page(h["warc-record-id"]): b.split(b"\r\n\r\n", 1)[1].decode() for f in files for h, b in warc.records_of(f.content)}
     assert texts == html
     assert sum(f.length for f in files) < 0.5 * sum(len(x) for x in html.values())
+
+
+def sizes_of(spark, path):
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
+    return sorted(f.length for f in files)
+
+
+def test_archive_sizes_do_not_depend_on_the_join(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = pages.union(pages.selectExpr("page_id + 100000", "url", "html"))
+    told = {}
+    for groups in (500_000, 0):
+        held, path = warc.archive_pages(pages, folder(spark), warc.Settings(archive_bytes=100_000, broadcast_groups=groups))
+        told[groups] = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in held.collect())
+        sizes = sizes_of(spark, path)
+        assert len(sizes) > 10 and max(sizes) < 100_000
+    assert told[0] == told[500_000]
+
+
+def test_rows_without_ids_are_dealt_to_all_archives(spark):
+    rows = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS page_id", "CAST(NULL AS STRING) AS url", "repeat('same page ', 40) AS html")
+    held, path = warc.archive_pages(rows.repartition(4), folder(spark), warc.Settings(archive_bytes=100_000))
+    sizes = sizes_of(spark, path)
+    assert len(sizes) >= 12 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    assert held.count() == 3000 and held.where("record_type = 'response'").count() == 3000
