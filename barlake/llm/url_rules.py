@@ -52,11 +52,16 @@ FIXED_RULES = (
 
 @dataclass(frozen=True)
 class Settings:
-    """A mined rule needs this share of the labelled pages (and `rows` of them), and this share of bad ones among them."""
+    """A mined rule needs `support`, its share of the examples that are bad, and `rows` of them. Its confidence, the share of bad
+    ones among its examples, must lie this part of the way from the share among all examples to 1.
+    """
 
     support: float = 0.002
     rows: int = 20
-    confidence: float = 0.8
+    gain: float = 0.6
+
+    def confidence(self, base: float) -> float:
+        return base + self.gain * (1 - base)
 
 
 def split_urls(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -107,7 +112,7 @@ def mine_rules(labelled: DataFrame, folder: str, settings: Settings = Settings()
         return empty(spark, RULES)
     items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
     support = min(1.0, max(settings.support, settings.rows / count))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=settings.confidence).fit(labelled.select(items.alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=settings.confidence(bad / count)).fit(labelled.select(items.alias("items")))
     found = model.associationRules.where(F.col("consequent")[0] == BAD).select(F.sort_array("antecedent").alias("tokens"), "confidence")
     found = stage(found.withColumn("rule_id", F.xxhash64("tokens")), folder, "rules")
     often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
@@ -140,10 +145,10 @@ def judge_urls(
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict and confidence (of the strongest mined rule that matches).
 
-    The longest fixed rule that fits decides; else a page is blocked if a mined rule matches its tokens. `labels` tell of
-    an id whether it is of bad quality (0) or toxic (1); either makes a page with this id a bad example, and labels that
-    contradict each other count as bad. Null urls and urls without `://` have no host, no tokens and no rule and are
-    allowed. Repeated rows are judged alike; other columns are not read.
+    The longest fixed rule that fits decides; else a page is blocked if a mined rule matches its tokens. Examples to mine are
+    the pages that a fixed rule decides and those with a label: bad ones are those that a fixed rule blocks or whose id has a
+    label of bad quality (0) or toxic (1); labels that contradict each other count as bad. Null urls and urls without `://`
+    have no host, no tokens and no rule and are allowed. Repeated rows are judged alike; other columns are not read.
 
     Pages are matched by their distinct sets of tokens, which are folded before they are shuffled.
     """
@@ -152,12 +157,15 @@ def judge_urls(
     rows = split.withColumn("tokens", tokens).withColumn("signature", F.array_join("tokens", "\n"))
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.bool_or(bad).alias("bad"))
-    labelled = stage(rows.select("page_id", "tokens").join(known, "page_id").select("tokens", "bad"), folder, "labelled")
+    rows = rows.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))
+    examples = rows.select("page_id", "tokens", "fixed.verdict").join(known, "page_id", "left").where("verdict is not null or bad is not null")
+    told = (F.coalesce("verdict", F.lit("")) == "block") | F.coalesce("bad", F.lit(False))
+    labelled = stage(examples.select("tokens", told.alias("bad")), folder, "labelled")
     mined = stage(mine_rules(labelled, folder, settings), folder, "rules")
     sets = rows.where(F.size("tokens") > 0).groupBy("signature").agg(F.first("tokens").alias("tokens"))
     matched = stage(matched_sets(sets, mined), folder, "matched")
     few = matched.count() <= BROADCAST_RULES
-    judged = rows.select("page_id", "host", "path", "signature", fixed_rule(F.col("host"), F.col("path"), rules).alias("fixed"))
+    judged = rows.select("page_id", "host", "path", "signature", "fixed")
     judged = judged.join(F.broadcast(matched) if few else matched, "signature", "left")
     verdict = F.coalesce("fixed.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("fixed.name").alias("rule"), verdict.alias("verdict"), "confidence")
