@@ -30,7 +30,8 @@ class Node:
 def tree_of(shards: int, built: int = 8, per_rack: int = 2, racks: int = 2) -> Node:
     """The tree for a number of shards: `built` of them in racks and regions, each later one in a region of its own.
 
-    A new region leaves all other weights as they were, so a later shard takes rows only into itself.
+    A new region leaves all other weights as they were, so from `built` shards on a later one takes rows only into itself.
+    Up to `built`, a new shard makes its rack and region heavier as well, which take rows into their other shards too.
     """
     if shards < 1:
         raise ValueError("a tree needs a shard")
@@ -79,7 +80,7 @@ def shard_rows(docs: DataFrame, tree: Node, grown: Node, folder: str, doc_id: st
 
     The shard depends on doc_id and the tree alone, so equal ids (repeated rows, null ids) share a shard. `size` is the
     number of UTF-8 bytes plus 1, a null text has none. `slot` counts a shard's rows from 0 without gaps, by a hash of
-    the id, then the id, size and checksum; rows that agree in all of these are alike. Slots are numbered in pieces of a
+    the id, size and checksum, then by these; rows that agree in all of them are alike. Slots are numbered in pieces of a
     shard: there are about as many pieces as rows in a piece, so neither the list of pieces nor a piece grows with
     the whole. `folder` takes the narrow rows, which are read twice.
     """
@@ -91,8 +92,7 @@ def shard_rows(docs: DataFrame, tree: Node, grown: Node, folder: str, doc_id: st
         F.crc32(body.cast("binary")).alias("text_crc32"),
         descend(key, tree).alias("shard"),
         descend(key, grown).alias("grown_shard"),
-        F.xxhash64(F.lit("slot"), key).alias("place"),
-    )
+    ).withColumn("place", F.xxhash64(F.lit("slot"), key, "size", "text_crc32"))
     rows = stage(rows, folder, "shards")
     pieces = max(1, math.isqrt(rows.count()) // 4)
     piece = F.pmod("place", F.lit(pieces)).cast("int")
