@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.columns import let, whole
+from barlake.llm.columns import let, unused, whole
 from barlake.llm.near_dup import pick
 from barlake.session import stage
 
@@ -222,9 +222,13 @@ def judge_leaks(docs: DataFrame, benchmark: DataFrame, folder: str, doc_id: str
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+    """The documents that hold no item, with all their columns, whatever their names are.
+
+    Documents with null or empty texts stay. Rows that repeat an id are judged by their own texts, repeated rows alike; an
+    empty benchmark leaves all documents. See `leaks`.
+    """
     found = stage(leaks(docs, benchmark, folder, doc_id, text).select("key", "text_hash").distinct(), folder, "leaks")
     key, text_hash = F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.xxhash64(whole(text))
-    names = {"key": "__leak_key", "text_hash": "__leak_hash"}
+    names = {"key": unused("__leak_key", docs), "text_hash": unused("__leak_hash", docs)}
     rows = docs.withColumns({names["key"]: key, names["text_hash"]: text_hash})
     return pick(rows, found.withColumnsRenamed(names), "left_anti").drop(*names.values())

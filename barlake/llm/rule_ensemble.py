@@ -198,7 +198,11 @@ def score_quality(
 
 
 def of_quality(docs: DataFrame, labels: DataFrame, folder: str, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The documents that the ensemble accepts, with all their columns."""
+    """The documents that the ensemble accepts, with all their columns, whatever their names are.
+
+    A null or empty text is scored as an empty one; repeated rows go or stay alike, also those without doc_id. Without labels
+    of both kinds all documents have one score, so all go or all stay. See `score_quality`.
+    """
     ensemble = fit(training_rows(docs, labels, folder, Settings(), "doc_id", text, "quality"))
     score = unused("__score", docs)
     scored = docs.withColumn(score, let(statistics_of(whole(text)), ensemble.score))

@@ -23,6 +23,8 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlake.llm.columns import unused
+
 # Fixed values of the format: the character for a space, and the kinds of pieces and models.
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -218,7 +220,7 @@ def tokenize(docs: DataFrame, model_path: str, text: str = "text", into: str = "
         data = file.read()
     Model.parse(data)
     columns = [c for c in docs.columns if c.lower() != into.lower()]
-    carried = "__token_text"
+    carried = unused("__token_text", docs)
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()), ("parity", pa.bool_())])
     broadcast = docs.sparkSession.sparkContext.broadcast(data)
 

@@ -77,11 +77,11 @@ def test_odd_rows(spark):
     got = judged(spark, docs, items)
     assert len(got) == len(docs)
     assert sorted((repr(r.doc_id), r.contaminated) for r in got) == sorted(
-        [("1", False), ("2", False), ("3", True), ("3", True), ("None", True), ("None", False), ("7", True), ("7", False), ("8", False)]
+        [("1", False), ("2", False), ("3", True), ("3", True), ("None", True), ("None", False), ("7", True), ("7", False), ("8", True)]
     )
     assert judged(spark, [], items) == [] and not judged(spark, docs, [])[0].contaminated
     left = decontaminate.without_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), folder(spark))
-    assert left.columns == ["doc_id", "text"] and left.count() == 5
+    assert left.columns == ["doc_id", "text"] and left.count() == 4
 
 
 def test_query_against_brute_force(spark):
