@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from barlake.llm import shingles
+from barlake.llm.columns import unused
 from barlake.llm.components import components
 from barlake.session import stage
 
@@ -39,8 +40,8 @@ class Tables:
         return random.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 2**63, count, dtype=np.uint64)
 
 
-#: Up to so many ids (about 32 MB) are broadcast to pick rows; more are joined with a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Up to so many ids (about 30 MB as a hash table of digests) are broadcast to pick rows; more are joined with a shuffle.
+BROADCAST_IDS = 250_000
 
 
 def pick(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -137,8 +138,8 @@ def _near(a: F.Column, b: F.Column, tables: Tables) -> F.Column:
     return 100 * F.least(a, b) >= tables.percent * F.greatest(a, b)
 
 
-def table_members(signed: DataFrame, folder: str) -> DataFrame:
-    """(key, digest, size, first): the members of every table key that two sets or more share, and the key's first one.
+def stars(signed: DataFrame, folder: str) -> DataFrame:
+    """(digest, size, first): the members of table keys that two sets or more share, once with each first member of their keys.
 
     Only left half-keys that different sets share are joined with the right ones, so most sets leave after one narrow
     shuffle. Copies have equal rows here and are folded before each shuffle.
@@ -154,49 +155,68 @@ def table_members(signed: DataFrame, folder: str) -> DataFrame:
     table_keys = F.transform("right_keys", lambda right, place: F.xxhash64("half", place, right))
     keys = hits.join(rights, "digest").select("digest", "size", F.explode(table_keys).alias("key"))
     firsts = keys.groupBy("key").agg(F.min(F.struct("digest", "size")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return stage(keys.join(firsts, "key"), folder, "members")
+    pairs = keys.join(firsts, "key").where(F.col("digest") != F.col("first.digest"))
+    return stage(pairs.select("digest", "size", "first").distinct(), folder, "stars")
 
 
-def open_sets(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """(digest, root): the members of keys that still hold several components."""
-    roots = linked.select(F.col("a").alias("digest"), F.col("b").alias("root"))
-    joined = members.select("key", "digest").join(roots, "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
-    short = F.xxhash64("root")
-    mixed = joined.groupBy("key").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low <> high").select("key")
-    return joined.join(mixed, "key", "left_semi").select("digest", "root").distinct()
+def _with_root(rows: DataFrame, linked: DataFrame, name: str, root: str) -> DataFrame:
+    """Adds the root of the sets in `name`, which is the set itself where it has no lower node."""
+    roots = linked.select(F.col("a").alias(name), F.col("b").alias(root))
+    return rows.join(roots, name, "left").withColumn(root, F.coalesce(root, name))
+
+
+def open_sets(held: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
+    """(digest, root): the sets of components that share a table key with another one, a row for each set.
+
+    A key holds several components if one of its members is apart from its first one, so the stars (`held`) tell them, and
+    rows grow with sets and their first members, not with the members of keys.
+    """
+    apart = held.select("digest", F.col("first.digest").alias("first"))
+    apart = _with_root(_with_root(apart, linked, "digest", "root"), linked, "first", "other").where("root <> other")
+    roots = apart.select(F.explode(F.array("root", "other")).alias("root")).distinct()
+    return _with_root(sets.select("digest"), linked, "digest", "root").join(roots, "root", "left_semi").select("digest", "root")
+
+
+#: Rows of one shingle are dealt to so many tasks when it is counted, and to one more for each THOUSAND when they are paired.
+SALTS = 8
+THOUSAND = 1000
 
 
 def rare_shingles(opened: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
-    """(shingle, digest, root, size, place): the rarest shingles of each open set, as far as a first common one can stand.
+    """(shingle, often, digest, root, size, place): the rarest shingles of each open set, as far as a first common one can stand.
 
-    `place` counts a set's shingles from the rarest one among all open sets. Two alike sets share at least
-    percent / (100 + percent) of their sizes' sum, so their rarest common shingle leaves that many behind it in both.
-    Shingles of one set only count in `place`, but need no row.
+    `place` counts a set's shingles, those of one component only first, then from the rarest one among all open sets. Two
+    alike sets share at least percent / (100 + percent) of their sizes' sum, so their rarest common shingle leaves that
+    many behind it in both. Shingles of one component only count in `place`, but need no row.
     """
     full = sets.join(opened, "digest").select("digest", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    often = full.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    shared = full.join(often, "shingle")
+    short = F.xxhash64("root")
+    often = full.groupBy("shingle").agg(F.min(short).alias("low"), F.max(short).alias("high"), F.count("*").alias("often"))
+    often = often.where("low <> high").select("shingle", "often", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shared = full.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(often, ["shingle", "salt"]).drop("salt")
     own = Window.partitionBy("digest")
     rank = F.row_number().over(own.orderBy("often", "shingle")) - 1
     placed = shared.select("*", (F.col("size") - F.count("*").over(own) + rank).cast("int").alias("place"))
-    return placed.where(100 * (F.col("size") - F.col("place")) >= tables.percent * F.col("size")).drop("often")
+    return placed.where(100 * (F.col("size") - F.col("place")) >= tables.percent * F.col("size"))
 
 
 def crossing_pairs(rare: DataFrame, tables: Tables) -> DataFrame:
     """The pairs of sets in different components that can still be alike, given a common shingle and its places.
 
     At each shingle the sets outside its largest component meet those of other components, so a large group that is one
-    component already is never paired with itself.
+    component already is never paired with itself. The rows of a common shingle are dealt to several tasks.
     """
-    short = F.xxhash64("root")
-    mixed = rare.groupBy("shingle").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low <> high").select("shingle")
-    rare = rare.join(mixed, "shingle", "left_semi")
-    sizes = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("shingle").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
-    few = rare.join(largest, "shingle").where("root <> largest").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("digest", "root", "size", "place")))
+    salts = F.expr(f"int(1 + often div {THOUSAND})")
+    salted = rare.withColumn("salt", F.pmod(F.xxhash64("digest"), salts).cast("int"))
+    sizes = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.max("often").alias("often"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.max("often").alias("often"), F.count("*").alias("roots"))
+    every = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    largest = largest.where("roots > 1").select("shingle", "largest", every)
+    few = salted.join(largest, ["shingle", "salt"]).where("root <> largest")
+    few = few.select("shingle", every, *(F.col(c).alias(f"x_{c}") for c in ("digest", "root", "size", "place")))
     left = F.least(F.col("size") - F.col("place"), F.col("x_size") - F.col("x_place"))
     reach = (100 + tables.percent) * left >= tables.percent * (F.col("size") + F.col("x_size"))
-    pairs = few.join(rare, "shingle").where((F.col("root") != F.col("x_root")) & reach)
+    pairs = few.join(salted, ["shingle", "salt"]).where((F.col("root") != F.col("x_root")) & reach)
     return pairs.select(F.greatest("x_digest", "digest").alias("a"), F.least("x_digest", "digest").alias("b")).distinct()
 
 
@@ -210,9 +230,9 @@ def near_duplicates(
     reach, `kept` tells whether it is the document's own.
 
     - Documents with equal sets are one class, so copies are never paired; classes that share a table are candidates.
-    - Each member of a table key is compared with the key's first one. Sets whose key still holds several components are
-      then joined exactly, on their rarest shingles and with bounds from the places of these, so that all candidates end
-      up linked, in one component or refuted, and sets that share common shingles only are not paired.
+    - Each candidate is compared with the first members of its table keys. Components that still share a key are then joined
+      exactly, on their sets' rarest shingles and with bounds from the places of these, so that all candidates end up linked,
+      in one component or refuted, and sets that share common shingles only are not paired.
     - Null and empty texts and texts of white space have no shingles and are linked with nothing. Rows without a
       doc_id that are alone in their component have none as component_id and are kept. Rows with one doc_id are judged
       by their own texts. Other columns are not read.
@@ -230,8 +250,8 @@ def grouped(docs: DataFrame, folder: str, doc_id: str, text: str, tables: Tables
     signed = stage(sign(docs, doc_id, text, tables, hashed), folder, "signed")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     classes = stage(classes, folder, "classes")
-    members = table_members(signed, folder)
-    wanted = stage(members.select("digest").distinct(), folder, "wanted")
+    held = stars(signed, folder)
+    wanted = stage(held.select("digest").union(held.select("first.digest")).distinct(), folder, "wanted")
     ids = stage(classes.join(wanted, "digest", "left_semi").select(F.col("id").alias(doc_id)), folder, "ids")
     rows = docs.select(doc_id, text)
     candidates = pick(rows, ids, "left_semi")
@@ -240,14 +260,13 @@ def grouped(docs: DataFrame, folder: str, doc_id: str, text: str, tables: Tables
     sets = pick(full_sets(candidates, text, tables), wanted, "left_semi")
     sets = stage(sets.dropDuplicates(["digest"]), folder, "sets")
 
-    stars = members.where(F.col("digest") != F.col("first.digest")).where(_near(F.col("size"), F.col("first.size"), tables))
-    stars = stars.select(F.col("digest").alias("a"), F.col("first.digest").alias("b")).distinct()
-    links = stage(confirm(stars, sets, tables), folder, "links")
-    linked = components(links, folder)
-    rare = stage(rare_shingles(open_sets(members, linked), sets, tables), folder, "rare")
-    more = stage(confirm(crossing_pairs(rare, tables), sets, tables), folder, "links")
-    if not more.isEmpty():
-        linked = components(linked.union(more), folder)
+    alike = held.where(_near(F.col("size"), F.col("first.size"), tables)).select(F.col("digest").alias("a"), F.col("first.digest").alias("b"))
+    linked = components(stage(confirm(alike, sets, tables), folder, "links"), folder)
+    opened = stage(open_sets(held, linked, sets), folder, "opened")
+    rare = stage(rare_shingles(opened, sets, tables), folder, "rare")
+    links = stage(confirm(crossing_pairs(rare, tables), sets, tables), folder, "links")
+    if not links.isEmpty():
+        linked = components(linked.union(links), folder)
     return label(signed, classes, linked)
 
 
@@ -264,14 +283,15 @@ def label(signed: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame
     return signed.join(own, "digest", "left")
 
 
-#: Up to so many rows (about 50 MB) are broadcast by id and text; more are joined with a shuffle.
-BROADCAST_ROWS = 500_000
+#: Up to so many rows (about 35 MB as a hash table) are broadcast by id and text; more are joined with a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _pick_rows(docs: DataFrame, rows: DataFrame, how: str, doc_id: str, text_hash: F.Column) -> DataFrame:
     """left_semi or left_anti join with the staged (doc_id, text_hash); null ids and null texts match each other."""
-    rows = rows.select(F.col("doc_id").alias("__copy_id"), F.col("text_hash").alias("__copy_hash"))
-    same = F.col(doc_id).eqNullSafe(F.col("__copy_id")) & text_hash.eqNullSafe(F.col("__copy_hash"))
+    own_id, own_hash = unused("__copy_id", docs), unused("__copy_hash", docs)
+    rows = rows.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
+    same = F.col(doc_id).eqNullSafe(F.col(own_id)) & text_hash.eqNullSafe(F.col(own_hash))
     return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, same, how)
 
 

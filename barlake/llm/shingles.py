@@ -14,8 +14,6 @@ PIECE_BYTES = 1_000_000
 _random = np.random.default_rng(20240607)
 _ODD = np.uint64(1)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + _ODD
-_BASE = int(_random.integers(2**61, 2**62)) * 4 + 3
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
 _PLACE = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + _ODD
 
 
@@ -26,11 +24,18 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _powers(base: int, count: int) -> np.ndarray:
-    steps = np.full(count, base % 2**64, dtype=np.uint64)
-    if count:
-        steps[0] = 1
-    return np.cumprod(steps, dtype=np.uint64)
+#: Weights of the first bytes of a word; those of longer words are computed when they are met.
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_WEIGHTS = mix(np.arange(1, 257, dtype=np.uint64) * _SEED) | _ODD
+
+
+def _weights(places: np.ndarray) -> np.ndarray:
+    """An odd number for each place of a byte in its word, without a pattern that words could follow."""
+    found = _WEIGHTS[np.minimum(places, 255)]
+    far = np.flatnonzero(places > 255)
+    if len(far):
+        found[far] = mix((places[far] + 1).astype(np.uint64) * _SEED) | _ODD
+    return found
 
 
 def pieces(texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -57,9 +62,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after = np.concatenate([space[1:], [True]]) if len(data) else space
     starts = np.flatnonzero(~space & (before | edge[:-1]))
     ends = np.flatnonzero(~space & (after | edge[1:])) + 1
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), dtype=np.uint64)])
-    hashes = (sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, len(data) + 1)[starts]
-    return mix(hashes), np.diff(np.searchsorted(starts, offsets))
+    lengths = ends - starts
+    inner = np.flatnonzero(~space)
+    places = np.arange(len(inner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data[inner]] * _weights(places), dtype=np.uint64)])
+    last = np.cumsum(lengths)
+    return mix(sums[last] - sums[last - lengths]), np.diff(np.searchsorted(starts, offsets))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
