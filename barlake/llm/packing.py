@@ -34,8 +34,10 @@ BROADCAST_BLOCKS = 1_000_000
 #: The id that ends every document.
 END_ID = 0
 
-#: A stretch is white space and the word behind it. Byte-level BPE never joins a word with white space that follows it.
-STRETCH = re.compile(r"\s*\S+|\s+")
+#: A stretch is white space and the word behind it; letters also end before these marks. Byte-level BPE joins neither.
+STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?\s])|\s*\S+|\s+")
+#: So many new stretches are encoded as one text.
+JOINED = 2_000
 #: Control characters that are white space to this pattern but not to the tokenizer's.
 CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -44,7 +46,8 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, equal to those of `encode(..., add_special_tokens=False)`.
 
     With a byte-level pre-tokenizer the ids of a text are those of its stretches one after the other, so a stretch is encoded
-    once for each worker. Texts with special tokens or control characters, and other tokenizers, are encoded as a whole.
+    once for each worker, and new ones together as one text: the bytes of its ids tell where each of them ends. Texts with
+    special tokens or control characters, and other tokenizers, are encoded as a whole.
     """
 
     def __init__(self, definition: str):
@@ -55,19 +58,45 @@ class Encoder:
         special = [re.escape(token.content) for token in self.made.get_added_tokens_decoder().values()]
         self.whole_text = re.compile("|".join([CONTROLS.pattern, *special]))
         self.known: dict[str, bytes] = {}
+        vocabulary = self.made.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        self.widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = (array("I", one.ids) for one in self.made.encode_batch_fast(texts, add_special_tokens=False))
         return [_little(ids).tobytes() for ids in found]
 
+    def _learn(self, stretches: list[str]) -> None:
+        """Encodes new stretches. White space that follows a word begins a token, so stretches that begin with some can stand
+        behind each other; others are parted by line ends, which are tokens of their own there."""
+        kinds: dict[str, list[str]] = {"": [], "\n": []}
+        alone = []
+        for one in stretches:
+            if one[-1].isspace():
+                alone.append(one)
+            else:
+                kinds["" if one[0].isspace() else "\n"].append(one)
+        self.known.update(zip(alone, self._ids(alone), strict=True))
+        for end, own in kinds.items():
+            groups = [own[k : k + JOINED] for k in range(0, len(own), JOINED)]
+            for group, ids in zip(groups, self._ids([end.join(group) for group in groups]), strict=True):
+                # the bytes before each id; a stretch is the ids between its first byte and its last one
+                places = np.concatenate([[0], np.cumsum(self.widths[np.frombuffer(ids, "<u4")])])
+                lengths = np.array([len(one.encode()) for one in group])
+                firsts = np.cumsum(lengths + len(end)) - lengths - len(end)
+                begins, ends = np.searchsorted(places, firsts), np.searchsorted(places, firsts + lengths)
+                if places[-1] != firsts[-1] + lengths[-1] or (places[begins] != firsts).any() or (places[ends] != firsts + lengths).any():
+                    self.known.update(zip(group, self._ids(group), strict=True))
+                    continue
+                self.known.update((one, ids[4 * a : 4 * b]) for one, a, b in zip(group, begins.tolist(), ends.tolist(), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         by_stretch = [self.by_stretch and not self.whole_text.search(text) for text in texts]
         others = iter(self._ids([text for text, split in zip(texts, by_stretch, strict=True) if not split]))
         if len(self.known) > KNOWN_STRETCHES:
             self.known.clear()
         stretches = [STRETCH.findall(text) if split else None for text, split in zip(texts, by_stretch, strict=True)]
-        new = list({one for text in stretches if text for one in text if one not in self.known})
-        self.known.update(zip(new, self._ids(new), strict=True))
+        self._learn(list({one for text in stretches if text for one in text if one not in self.known}))
         known = self.known.__getitem__
         return [next(others) if text is None else b"".join(map(known, text)) for text in stretches]
 

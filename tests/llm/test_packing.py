@@ -1,3 +1,4 @@
+import random
 import zlib
 from array import array
 
@@ -77,6 +78,18 @@ TEXTS = [
 ]
 
 
+def test_stretches_give_the_ids_of_whole_texts(monkeypatch):
+    """Texts of all kinds of characters, in any order and put together from few parts, so that stretches meet again."""
+    draw = random.Random(21)
+    parts = ["a", "Word", "it's", "'ll", "don't", " ", "  ", "\n", "\r\n", "\t", ".", ",", "...", "!?", "-", "(", "12", "½", "é", "ß", "×", "東京", "😀", "\u0301", "\xa0", "\u2003", "\x1c", "\x00", "\x85", "<|endoftext|>", "ǅ", "Ⅷ"]
+    for joined in (1, 3, 2000):
+        monkeypatch.setattr(packing, "JOINED", joined)
+        encoder = packing.Encoder(open(queries.TOKENIZER, encoding="utf-8").read())
+        for _ in range(60):
+            texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 30))) for _ in range(20)]
+            assert encoder.encode(texts) == [little(ids_of(text)[:-1]) for text in texts]
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 13])
 def test_odd_rows_are_packed_whole(spark, partitions):
     rows = [(k, text, f"b{k}", k) for k, text in enumerate(TEXTS)] + [(None, "no id", "x", 0), (3, "again", "x", 1), (3, "again", "x", 1)]
