@@ -1,8 +1,12 @@
-"""Coverage, counts and distinct lists of the two tables."""
+"""Coverage, counts and distinct lists of the two tables.
+
+Each function takes the rows of a table or its partials (rows, first and last time of parts of it, as a store keeps them for
+its partitions); the results are the same, but partials need no scan of the rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.timeframe import check_instrument, display_rank
@@ -11,13 +15,18 @@ from barlake.schema import RAW
 TICK = "TICK"
 
 
-def _range() -> list[Column]:
-    return [F.min("timestamp").alias("min_date"), F.max("timestamp").alias("max_date")]
+def _folded(table: DataFrame, *by: str) -> DataFrame:
+    """Range and count (n) by these columns, from rows or from partials."""
+    if "rows" in table.columns:
+        first, last, n = "first", "last", F.sum("rows")
+    else:
+        first, last, n = "timestamp", "timestamp", F.count("*")
+    return table.groupBy(*by).agg(F.min(first).alias("min_date"), F.max(last).alias("max_date"), n.alias("n"))
 
 
 def bar_coverage(bars: DataFrame) -> DataFrame:
     """Range, count and sorted sources of every series. The two-step fold keeps the first one hash-based."""
-    per_source = bars.groupBy("instrument", "timeframe", "source").agg(*_range(), F.count("*").alias("n"))
+    per_source = _folded(bars, "instrument", "timeframe", "source")
     return per_source.groupBy("instrument", "timeframe").agg(
         F.min("min_date").alias("min_date"),
         F.max("max_date").alias("max_date"),
@@ -27,7 +36,7 @@ def bar_coverage(bars: DataFrame) -> DataFrame:
 
 
 def tick_coverage(ticks: DataFrame) -> DataFrame:
-    found = ticks.groupBy("instrument").agg(*_range(), F.count("*").alias("record_count"))
+    found = _folded(ticks, "instrument").withColumnRenamed("n", "record_count")
     return found.select(
         "instrument",
         F.lit(TICK).alias("timeframe"),
@@ -47,7 +56,7 @@ def bar_stats(bars: DataFrame) -> DataFrame:
 
     The table is folded to one row per series first; the grouping sets then run over those few rows.
     """
-    series = bars.groupBy("instrument", "timeframe").agg(*_range(), F.count("*").alias("n"))
+    series = _folded(bars, "instrument", "timeframe")
     rows = series.groupingSets(
         [["instrument"], ["timeframe"], []], F.col("instrument"), F.col("timeframe")
     ).agg(
@@ -60,7 +69,7 @@ def bar_stats(bars: DataFrame) -> DataFrame:
 
 def tick_stats(ticks: DataFrame) -> DataFrame:
     """Tick counts in total and per instrument, with ranges."""
-    rows = ticks.groupBy("instrument").agg(*_range(), F.count("*").alias("n"))
+    rows = _folded(ticks, "instrument")
     rolled = rows.rollup("instrument").agg(
         F.sum("n").alias("row_count"),
         F.min("min_date").alias("min_date"),
@@ -71,10 +80,8 @@ def tick_stats(ticks: DataFrame) -> DataFrame:
 
 def lake_summary(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     """One row: counts, distinct instruments, ordered timeframes and range over both tables."""
-    bar_series = bars.groupBy("instrument", "timeframe").agg(*_range(), F.count("*").alias("n"))
-    tick_series = (
-        ticks.groupBy("instrument").agg(*_range(), F.count("*").alias("n")).withColumn("timeframe", F.lit(TICK))
-    )
+    bar_series = _folded(bars, "instrument", "timeframe")
+    tick_series = _folded(ticks, "instrument").withColumn("timeframe", F.lit(TICK))
     series = bar_series.unionByName(tick_series)
     is_tick = F.col("timeframe") == TICK
     counted = series.agg(

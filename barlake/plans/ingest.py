@@ -1,8 +1,7 @@
 """Ingest: clean, upsert and derive in one go, for frames, for folders of files and for stored windows.
 
-A run parses its input once, computes every result from staged copies, and only then writes: bars and the ladder
-derived from them go to the bar table in one job with one commit. Ticks and the bars derived from them are two
-tables; both are staged and named in the store first, so that a run that died in between is completed by the next one.
+A run parses its input once and writes the changed partitions of both tables beside them. They become valid by one
+commit, so a run that died leaves the store as it was or is completed by the next one.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from barlake.functions.timestamps import naive_utc, ntz
 from barlake.operators import dedupe, ladder, merge, quality
 from barlake.schema import BAR_KEY, DERIVED, RAW, TICK_KEY
 from barlake.sources import files
-from barlake.sources.store import Days, Store
+from barlake.sources.store import Days, Pending, Store
 
 REFRESH_DAYS = (1, 365)
 
@@ -149,21 +148,24 @@ def _merge_bars(store: Store, stage, rows: DataFrame, derive: bool, scope: str,
     by = ["instrument", "timeframe"]
     read = rows.groupBy(*by).agg(F.count("*").alias("rows_in_file"))
     names = store.partitions("bars", incoming)
+    if not (names and derive):
+        return Report(_merge_plain(store, "bars", incoming, names, by, read), None if not derive else _none_derived(store))
+    # derived bars are written with the given ones, so growth can't tell new ones here
     counts = merge.upsert_counts(store.touched("bars", incoming, names), incoming, BAR_KEY, by)
     series = store.stage(counts.join(read, by), "report")
-    if not derive:
-        store.merge_bars(incoming, names)
-        return Report(series, None)
     sources = [tf for tf in SECONDS if derivation_targets(tf)]
     ladder_rows = incoming.where(F.col("timeframe").isin(*sources))
     days = Days.of(_days(ladder_rows, by, scope), by, stage)
     base = merge.upsert_bars(store.on_days("bars", days), ladder_rows)
-    present = [r[0] for r in series.select("timeframe").distinct().collect() if r[0] in sources]
+    present = sorted({name.split("/")[1] for name in names} & set(sources))
     fresh = ladder.ladder_from_bars(base, present[0]) if len(present) == 1 else ladder.ladder_mixed(base)
     held = store.on_days("bars", days.per_instrument())
     derived = stage(ladder.protect_raw(fresh, held, incoming, targets=list(LADDER)), "derived")
-    store.merge_bars(incoming.unionByName(derived))
-    return Report(series, _derived_now(store, days.per_instrument()))
+    with store.pending() as pending:
+        pending.merge("bars", incoming.unionByName(derived))
+        report = _derived_now(store, days.per_instrument(), pending)
+        pending.publish()
+    return Report(series, report)
 
 
 def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list[str] | None, scope: str) -> Report:
@@ -171,17 +173,43 @@ def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list
     read = quality.distinct_rows(rows.select("instrument", "timestamp", *_values(rows)))
     read = read.groupBy("instrument").agg(F.count("*").alias("rows_in_file"))
     names = store.partitions("ticks", incoming)
-    counts = merge.upsert_counts(store.touched("ticks", incoming, names), incoming, TICK_KEY, ["instrument"])
-    series = store.stage(counts.join(read, "instrument"), "report")
-    if not derive:
-        store.merge_ticks(incoming, names)
-        return Report(series, None)
+    if not (names and derive):
+        return Report(_merge_plain(store, "ticks", incoming, names, ["instrument"], read), None if not derive else _none_derived(store))
     days = Days.of(_days(incoming, ["instrument"], scope), ["instrument"], stage)
-    base = merge.upsert_ticks(store.on_days("ticks", days), incoming)
-    fresh = ladder.ladder_from_ticks(base)
-    derived = stage(ladder.protect_raw(fresh, store.on_days("bars", days)), "derived")
-    store.merge_all(stage, {"ticks": incoming, "bars": derived})
-    return Report(series, _derived_now(store, days))
+    with store.pending() as pending:
+        pending.merge("ticks", incoming, names)
+        series = store.stage(_merge_counts(pending, "ticks", incoming, ["instrument"]).join(read, "instrument"), "report")
+        # the days are read as they will be, from the partitions just written
+        fresh = ladder.ladder_from_ticks(store.on_days("ticks", days, pending))
+        pending.merge("bars", stage(ladder.protect_raw(fresh, store.on_days("bars", days)), "derived"))
+        report = _derived_now(store, days, pending)
+        pending.publish()
+    return Report(series, report)
+
+
+def _merge_plain(store: Store, table: str, incoming: DataFrame, names: list[str], by: list[str], read: DataFrame) -> DataFrame:
+    """Merges the batch alone and returns its counts per series."""
+    with store.pending() as pending:
+        if names:
+            pending.merge(table, incoming, names)
+        series = store.stage(_merge_counts(pending, table, incoming, by).join(read, by), "report")
+        if names:
+            pending.publish()
+    return series
+
+
+def _merge_counts(pending: Pending, table: str, incoming: DataFrame, by: list[str]) -> DataFrame:
+    """Per series: keys in the batch, of which new, of which matched, and the time range of the batch.
+
+    New keys are those by which the rows of the touched partitions have grown, so no key is looked up a second time.
+    """
+    batch = incoming.groupBy(*by).agg(
+        F.count("*").alias("rows_in_batch"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp")
+    )
+    before = pending.former_partials(table).select(*by, (-F.col("rows")).alias("rows"))
+    grown = pending.partials(table).select(*by, "rows").unionByName(before).groupBy(*by).agg(F.sum("rows").alias("rows_new"))
+    matched = F.col("rows_in_batch") - F.col("rows_new")
+    return batch.join(grown, by).select(*by, "rows_in_batch", "rows_new", matched.alias("rows_matched"), "first_timestamp", "last_timestamp")
 
 
 def _days(rows: DataFrame, by: list[str], scope: str) -> DataFrame:
@@ -195,12 +223,16 @@ def _days(rows: DataFrame, by: list[str], scope: str) -> DataFrame:
     return spans.select(*by, F.explode(F.sequence("first", "last")).alias("date"))
 
 
-def _derived_now(store: Store, days: Days) -> DataFrame:
-    """Derived bars of the days that were derived again, as stored after this run; staged, so that it stays as it is."""
-    bars = store.on_days("bars", days).where(F.col("source") == DERIVED)
+def _derived_now(store: Store, days: Days, pending: Pending) -> DataFrame:
+    """Derived bars of the days that were derived again, as they are after this run; staged, so that it stays as it is."""
+    bars = store.on_days("bars", days, pending).where(F.col("source") == DERIVED)
     return store.stage(bars.groupBy("instrument", "timeframe").agg(F.count("*").alias("bars")), "report")
 
 
+def _none_derived(store: Store) -> DataFrame:
+    return store.spark.createDataFrame([], "instrument string, timeframe string, bars bigint")
+
+
 def _good_files(store: Store, stage, batch: files.FileBatch, fatal: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Rows of the files that are good as a whole, and one outcome row per file."""
     parsed = stage(batch.rows, "parsed")

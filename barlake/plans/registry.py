@@ -180,18 +180,17 @@ RANK = """CASE timeframe WHEN 'M1' THEN 0 WHEN 'M5' THEN 1 WHEN 'M15' THEN 2 WHE
   WHEN 'H4' THEN 5 WHEN 'D1' THEN 6 WHEN 'W1' THEN 7 WHEN 'MN1' THEN 8 WHEN 'TICK' THEN 99 ELSE 50 END"""
 
 
-@register(
-    "lake_summary",
-    ALL_BARS
-    + f"""SELECT (SELECT count(*) FROM bars) AS bar_rows, (SELECT count(*) FROM ticks) AS tick_rows,
+LAKE_SUMMARY = f"""SELECT (SELECT count(*) FROM bars) AS bar_rows, (SELECT count(*) FROM ticks) AS tick_rows,
     (SELECT count(*) FROM bars) + (SELECT count(*) FROM ticks) AS total_rows,
     (SELECT count(DISTINCT instrument) FROM (SELECT instrument FROM bars UNION SELECT instrument FROM ticks))
       AS instruments,
     (SELECT string_agg(timeframe, ',' ORDER BY {RANK}) FROM (SELECT DISTINCT timeframe FROM bars
       UNION SELECT 'TICK' FROM ticks)) AS timeframes,
     least((SELECT min(timestamp) FROM bars), (SELECT min(timestamp) FROM ticks)) AS start,
-    greatest((SELECT max(timestamp) FROM bars), (SELECT max(timestamp) FROM ticks)) AS end""",
-)
+    greatest((SELECT max(timestamp) FROM bars), (SELECT max(timestamp) FROM ticks)) AS end"""
+
+
+@register("lake_summary", ALL_BARS + LAKE_SUMMARY)
 def _(spark, sf):
     return _text(profile.lake_summary(views.all_bars(spark, sf), views.event_ticks(spark, sf)), "timeframes")
 
@@ -622,7 +621,7 @@ def _(spark, sf):
     return query.query_ticks(views.event_ticks(spark, sf), "purchase", **RANGE)
 
 
-def _page_sql(select: str, key: str, limit: int) -> str:
+def page_sql(key: str, limit: int) -> str:
     return f"""SELECT * EXCLUDE (position), (SELECT count(*) FROM found) > {limit} AS has_more
     FROM (SELECT *, row_number() OVER (ORDER BY {key}) AS position FROM found) WHERE position <= {limit}"""
 
@@ -630,7 +629,7 @@ def _page_sql(select: str, key: str, limit: int) -> str:
 @register(
     "first_page_of_bars",
     with_(TICKS, MINUTES, BARS, f"found AS (SELECT {ROW} FROM bars)")
-    + _page_sql(ROW, "timestamp, instrument, timeframe", 20),
+    + page_sql("timestamp, instrument, timeframe", 20),
 )
 def _(spark, sf):
     return query.page_bars(views.all_bars(spark, sf))
@@ -648,7 +647,7 @@ AFTER = dict(timestamp="2024-01-10 00:00:00", instrument="error", timeframe="H4"
         f"""found AS (SELECT {ROW} FROM bars WHERE (timestamp, instrument, timeframe)
           > (TIMESTAMP '2024-01-10', 'error', 'H4') AND timestamp <= TIMESTAMP '2024-01-21 12:00:00')""",
     )
-    + _page_sql(ROW, "timestamp, instrument, timeframe", 5000),
+    + page_sql("timestamp, instrument, timeframe", 5000),
 )
 def _(spark, sf):
     return query.page_bars(views.all_bars(spark, sf), 5000, after=AFTER, **RANGE)
@@ -661,7 +660,7 @@ def _(spark, sf):
         """found AS (SELECT timestamp, price, volume, bid, ask FROM ticks
           WHERE instrument = 'click' AND timestamp > TIMESTAMP '2024-01-03 04:05:06')""",
     )
-    + _page_sql("", "timestamp", 1000),
+    + page_sql("timestamp", 1000),
 )
 def _(spark, sf):
     after = dict(timestamp="2024-01-03 04:05:06")

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions.timeframe import LADDER, tick_targets
-from barlake.operators import ladder, quality, query
-from barlake.plans import ingest, views
+from barlake.operators import ladder, profile, quality, query
+from barlake.plans import ingest, pages, views
 from barlake.plans import repair as repair_plans
-from barlake.plans.registry import ALL_BARS, IN_RANGE, RANGE, register
+from barlake.plans.registry import AFTER, ALL_BARS, BAR_COVERAGE, IN_RANGE, LAKE_SUMMARY, RANGE, TICK_COVERAGE, page_sql, register
 from barlake.plans.views import MINUTES, TICKS, with_
 from barlake.schema import BARS as BAR_SCHEMA
 from barlake.schema import PRICES
@@ -327,6 +327,56 @@ def _(spark, sf):
     return store.bars()
 
 
+STORED = with_(TICKS, MERGED, f"bars AS ({MERGED_LADDER})")
+
+
+@register("store_coverage", STORED + f"{BAR_COVERAGE} UNION ALL {TICK_COVERAGE}")
+def _(spark, sf):
+    """What the store's partials say after two batches, without a scan of its prices."""
+    store = _loaded(spark, sf)
+    found = profile.coverage_catalog(store.partials("bars"), store.partials("ticks"))
+    return found.withColumn("sources", F.array_join("sources", ","))
+
+
+@register("store_summary", STORED + LAKE_SUMMARY)
+def _(spark, sf):
+    store = _loaded(spark, sf)
+    found = profile.lake_summary(store.partials("bars"), store.partials("ticks"))
+    return found.withColumn("timeframes", F.array_join("timeframes", ","))
+
+
+@register(
+    "store_page_of_bars",
+    with_(
+        TICKS,
+        MERGED,
+        f"""found AS (SELECT {ROW} FROM ({MERGED_LADDER}) WHERE (timestamp, instrument, timeframe)
+          > (TIMESTAMP '2024-01-10', 'error', 'H4') AND timestamp <= TIMESTAMP '2024-01-21 12:00:00')""",
+    )
+    + page_sql("timestamp, instrument, timeframe", 500),
+)
+def _(spark, sf):
+    return pages.page_bars(_loaded(spark, sf), 500, after=AFTER, **RANGE)
+
+
+@register(
+    "store_page_of_ticks",
+    with_(
+        TICKS,
+        MERGED,
+        """found AS (SELECT timestamp, price, volume, bid, ask FROM merged
+          WHERE instrument = 'click' AND timestamp > TIMESTAMP '2024-01-03 04:05:06')""",
+    )
+    + page_sql("timestamp", 300),
+)
+def _(spark, sf):
+    """Ticks are stored by day here, so the page opens a few of them."""
+    store = Store(spark, fresh(spark), tick_period="day")
+    for batch in _two_batches(spark, sf):
+        ingest.ingest_ticks(store, batch, derive=False)
+    return pages.page_ticks(store, "click", 300, after=dict(timestamp="2024-01-03 04:05:06"))
+
+
 # -- snapshots and downloads ----------------------------------------------------------------------------------------
 
 

@@ -13,31 +13,22 @@ from barlake.sources import hadoop
 from barlake.sources.store import Store
 
 SHIFT_MARK = "shift.json"
-DONE = "done"
 
 
 def shift_store(store: Store, zone: str) -> DataFrame:
-    """Take all stored times as local to `zone` and move them to UTC; returns the counts of what was still to do.
+    """Take all stored times as local to `zone` and move them to UTC; returns the counts of what was to do.
 
-    A mark in the store names the shifted rows of each table, which are staged before the table is replaced. A run that
-    died is completed by the next one, and a store that has been shifted is refused.
+    Both tables and the mark that the store has been shifted are one commit, so a run that died has shifted nothing or is
+    completed by the next one. A store that has been shifted is refused.
     """
-    path = f"{store.root}/{SHIFT_MARK}"
-    mark = json.loads(hadoop.read_text(store.spark, path) or json.dumps({"zone": zone}))
-    if mark["zone"] != zone or mark.get("bars") == mark.get("ticks") == DONE:
-        raise ValueError(f"the store has been shifted from {mark['zone']}")
+    if mark := hadoop.read_text(store.spark, f"{store.root}/{SHIFT_MARK}"):
+        raise ValueError(f"the store has been shifted from {json.loads(mark)['zone']}")
     report = store.stage(repair.shift_report(store.bars(), store.ticks(), zone), "report")
-    shifts = {"bars": lambda: repair.shift_bars(store.bars(), zone), "ticks": lambda: repair.shift_ticks(store.ticks(), zone)}
-    for table, shifted in shifts.items():
-        if mark.get(table) == DONE:
-            continue
-        if table not in mark:
-            mark[table] = store.stage_table(table, shifted())
-            hadoop.write_text(store.spark, path, json.dumps(mark))
-        staged, mark[table] = mark[table], DONE
-        store.replace_by(table, staged)
-        hadoop.write_text(store.spark, path, json.dumps(mark))
-        hadoop.remove(store.spark, staged)
+    with store.pending() as pending:
+        pending.replace_all("bars", repair.shift_bars(store.bars(), zone))
+        pending.replace_all("ticks", repair.shift_ticks(store.ticks(), zone))
+        pending.mark(SHIFT_MARK, json.dumps({"zone": zone}))
+        pending.publish()
     return report
 
 
@@ -53,6 +44,8 @@ def collapse_store(
         chosen = store.bars().where(F.col("timeframe").isin(*timeframes))
         off = with_bucket_start(chosen, "bucket").where("bucket <> timestamp").drop("bucket")
         with store.workspace() as stage:
-            held = store.touched("bars", stage(off, "off"))
-            store.overwrite("bars", stage(dedupe.collapse_offset_bars(held, timeframes), "collapsed"))
+            names = store.partitions("bars", stage(off, "off"))
+            held = store.touched("bars", off, names)
+            if names:
+                store.overwrite("bars", dedupe.collapse_offset_bars(held, timeframes), names)
     return report

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
+#: A text that is being replaced stands under its name with this end until it has its own name.
+NEXT = ".next"
+
 
 def _open(spark: SparkSession, name: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
@@ -12,14 +17,16 @@ def _open(spark: SparkSession, name: str):
 
 
 def read_text(spark: SparkSession, name: str) -> str | None:
-    """The whole of a small text file, or None where there is none."""
-    try:
-        row = spark.read.text(name, wholetext=True).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return row[0] if row else None
+    """The whole of a small text file of `write_text`, or None where there is none."""
+    for place in (name, name + NEXT):
+        try:
+            row = spark.read.text(place, wholetext=True).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        return row[0] if row else None
+    return None
 
 
 def first_line(spark: SparkSession, name: str, chunk: int = 4096) -> bytes:
@@ -39,12 +46,26 @@ def first_line(spark: SparkSession, name: str, chunk: int = 4096) -> bytes:
 
 
 def write_text(spark: SparkSession, name: str, text: str) -> None:
+    """Replaces a small text file as a whole: it is written under another name first and then renamed.
+
+    Who reads it in between, or after a crash, finds the former text or the new one, never a part.
+    """
     system, path = _open(spark, name)
-    out = system.create(path, True)
+    new, temporary = (_open(spark, name + end)[1] for end in (NEXT, f".{uuid.uuid4().hex}"))
+    out = system.create(temporary, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    system.delete(new, False)
+    _rename(system, temporary, new)
+    system.delete(path, False)
+    _rename(system, new, path)
+
+
+def _rename(system, source, target) -> None:
+    if not system.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
 
 
 def exists(spark: SparkSession, name: str) -> bool:
@@ -52,6 +73,21 @@ def exists(spark: SparkSession, name: str) -> bool:
     return system.exists(path)
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a folder to a place and deletes what was there; done again after a crash it has the same result."""
+    system, path = _open(spark, target)
+    new = _open(spark, source)[1]
+    if system.exists(new):
+        system.delete(path, True)
+        system.mkdirs(path.getParent())
+        _rename(system, new, path)
+
+
+def remove_text(spark: SparkSession, name: str) -> None:
+    remove(spark, name + NEXT)
+    remove(spark, name)
+
+
 def remove(spark: SparkSession, name: str) -> None:
     system, path = _open(spark, name)
     system.delete(path, True)

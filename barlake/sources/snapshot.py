@@ -60,15 +60,18 @@ def read_manifest(store: Store, folder: str) -> dict:
 
 
 def restore_snapshot(store: Store, folder: str) -> dict:
-    """Merge a snapshot into the store: its rows win, rows it lacks stay. Running it twice changes nothing."""
+    """Merge a snapshot into the store by one commit: its rows win, rows it lacks stay. Running it twice changes nothing."""
     manifest = read_manifest(store, folder)
-    restored = {}
-    for table, sub in FOLDERS.items():
-        rows = restored_rows(_snapshot_rows(store, manifest[sub]["path"], table), table)
-        if manifest[sub]["row_count"]:
-            (store.merge_bars if table == "bars" else store.merge_ticks)(rows)
-        restored[f"{sub}_rows_restored"] = manifest[sub]["row_count"]
-    return restored
+    counts = {table: manifest[sub]["row_count"] for table, sub in FOLDERS.items()}
+    with store.workspace() as stage:
+        rows = {
+            table: stage(restored_rows(_snapshot_rows(store, manifest[FOLDERS[table]]["path"], table), table), table)
+            for table, count in counts.items()
+            if count
+        }
+        if rows:
+            store.merge_all(rows)
+    return {f"{FOLDERS[table]}_rows_restored": count for table, count in counts.items()}
 
 
 def restored_rows(rows: DataFrame, table: str) -> DataFrame:

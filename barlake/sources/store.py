@@ -4,6 +4,9 @@ bars/instrument=/timeframe=/period=/ with the year as period for M1 and M5, and
 whole history is small; ticks/instrument=/date=/ with the first day of the tick period. Both come from the timestamp
 and are not part of a result; they bound how much an upsert rewrites and how much a range query reads. Files are
 sorted by time, so row groups outside a time range are skipped as well.
+
+Beside each table stand its partials: rows, first and last time of every partition (and source). They are replaced in the
+commit that changes the partitions, so summaries, reports and pages read them and not the prices.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -23,7 +27,7 @@ from pyspark.sql import types as T
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.schema import BAR_KEY, BARS, TICK_KEY, TICKS
 from barlake.session import empty, stage, work_dir, write_stage
-from barlake.sources import hadoop
+from barlake.sources import commit, hadoop
 
 # Days of up to this many series are broadcast (a few MB); more are joined with a shuffle. The rows read are the same.
 BROADCAST_DAYS = 100_000
@@ -34,10 +38,24 @@ STORED = {
     "bars": T.StructType([*BARS.fields, T.StructField("period", T.IntegerType())]),
     "ticks": T.StructType([*TICKS.fields, T.StructField("date", T.DateType())]),
 }
+#: What a partial tells of: a partition, and for bars a source.
+PARTIAL_BY = {"bars": ["instrument", "timeframe", "period", "source"], "ticks": ["instrument", "date"]}
+PARTIALS = {
+    table: T.StructType(
+        [
+            *(STORED[table][c] for c in by),
+            T.StructField("rows", T.LongType()),
+            T.StructField("first", T.TimestampNTZType()),
+            T.StructField("last", T.TimestampNTZType()),
+        ]
+    )
+    for table, by in PARTIAL_BY.items()
+}
 YEARLY = ("M1", "M5")
 TICK_PERIODS = {"day": None, "month": "MM", "year": "YY"}
 LAYOUT = "layout.json"
-PENDING = "pending.json"
+#: Folders that are listed at the same time.
+LISTERS = 16
 
 
 @dataclass
@@ -138,27 +156,40 @@ class Store:
         names = self.partitions(table, changes) if names is None else names
         return self._in_partitions(table, names).select(*COLUMNS[table])
 
-    def on_days(self, table: str, days: Days) -> DataFrame:
-        """Stored rows of the given days; only the partitions that hold them are read."""
+    def on_days(self, table: str, days: Days, pending: Pending | None = None) -> DataFrame:
+        """Stored rows of the given days, as they will be after `pending`; only the partitions that hold them are read."""
         if not days.count:
             return empty(self.spark, STORED[table]).select(*COLUMNS[table])
         start = F.year("date") if table == "bars" else self._tick_period_start(F.col("date"))
         spans = {tuple(map(str, row)) for row in days.frame.select(*days.by, start.alias("period")).distinct().collect()}
+        series = {span[:-1] for span in spans}
         held = self._held(table, sorted({span[0] for span in spans}))
-        named = [name for name in held if self._covers(table, name.split("/"), days.by, spans)]
-        rows = _between(self._in_partitions(table, named, held), ntz(str(days.first)), ntz(f"{days.last} 23:59:59.999999"))
+        held = sorted({*held, *(pending.names(table) if pending else ())})
+        named = [name for name in held if self._covers(table, name.split("/"), len(days.by), spans, series)]
+        rows = pending.rows(table, named) if pending else self._in_partitions(table, named, held)
+        rows = _between(rows, ntz(str(days.first)), ntz(f"{days.last} 23:59:59.999999"))
         rows = rows.select(*COLUMNS[table]).withColumn("date", F.col("timestamp").cast("date"))
         # Few days are broadcast, so a day that holds much of the data is not sent to one task.
         wanted = F.broadcast(days.frame) if days.count <= BROADCAST_DAYS else days.frame
         return rows.join(wanted, [*days.by, "date"], "left_semi").drop("date")
 
     @staticmethod
-    def _covers(table: str, values: list[str], by: list[str], spans: set[tuple[str, ...]]) -> bool:
+    def _covers(table: str, values: list[str], by: int, spans: set[tuple[str, ...]], series: set[tuple[str, ...]]) -> bool:
         """Whether a partition can hold rows of the spans (series and year, or instrument and tick period)."""
-        series = tuple(values[: len(by)])
-        if table == "bars" and values[-1] == "0":
-            return any(span[:-1] == series for span in spans)
-        return (*series, values[-1]) in spans
+        own = tuple(values[:by])
+        return own in series if table == "bars" and values[-1] == "0" else (*own, values[-1]) in spans
+
+    def partials(self, table: str) -> DataFrame:
+        """rows, first and last time of each partition (and source of bars), without reading a price.
+
+        A table whose partials are missing, as in a store of an earlier layout, is read as a whole.
+        """
+        try:
+            return self.spark.read.schema(PARTIALS[table]).parquet(f"{self.root}/{_partials(table)}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return _fold(table, self._table(table))
 
     def _table(self, table: str) -> DataFrame:
         """All stored rows with their partition columns; the fixed schema keeps a name like 600519 a string."""
@@ -172,8 +203,9 @@ class Store:
     def _held(self, table: str, instruments: list[str]) -> list[str]:
         """Names of the stored partitions of these instruments; other instruments are not listed."""
         levels = "/*" * (len(PARTS[table]) - 1)
-        folders = (f"{self.root}/{table}/instrument={instrument}" for instrument in instruments)
-        found = (path for folder in folders for path in hadoop.matching(self.spark, folder + levels))
+        folders = [f"{self.root}/{table}/instrument={instrument}" for instrument in instruments]
+        with ThreadPoolExecutor(LISTERS) as pool:
+            found = [path for paths in pool.map(lambda folder: hadoop.matching(self.spark, folder + levels), folders) for path in paths]
         depth = len(PARTS[table])
         return ["/".join(level.split("=", 1)[1] for level in path.split("/")[-depth:]) for path in found]
 
@@ -183,82 +215,48 @@ class Store:
         there = sorted(set(names) & set(held))
         if not there:
             return empty(self.spark, STORED[table])
-        base = f"{self.root}/{table}"
-        folders = ["/".join(f"{part}={value}" for part, value in zip(PARTS[table], name.split("/"), strict=True)) for name in there]
+        return self._read(table, f"{self.root}/{table}", there)
+
+    def _read(self, table: str, base: str, names: list[str]) -> DataFrame:
         reader = self.spark.read.schema(STORED[table]).option("basePath", base)
-        return reader.parquet(*(f"{base}/{folder}" for folder in folders))
+        return reader.parquet(*(f"{base}/{_folder(table, name)}" for name in names))
 
     # -- writing -----------------------------------------------------------------------------------------------
 
+    @contextmanager
+    def pending(self) -> Iterator[Pending]:
+        """A commit of this store. What is merged into it becomes valid as a whole when it is published, or not at all."""
+        self.recover()
+        self._fix_layout()
+        found = Pending(self)
+        try:
+            yield found
+        finally:
+            found.commit.discard()
+
     def merge_bars(self, changes: DataFrame, names: list[str] | None = None) -> None:
-        self._merge("bars", changes, BAR_KEY, names)
+        self.merge_all({"bars": changes}, {"bars": names})
 
     def merge_ticks(self, changes: DataFrame, names: list[str] | None = None) -> None:
-        self._merge("ticks", changes, TICK_KEY, names)
-
-    def _merge(self, table: str, changes: DataFrame, keys: list[str], names: list[str] | None) -> None:
-        """Replace or add the changed rows: the touched partitions are rewritten by one job with one commit.
-
-        `changes` holds a key at most once and should be a staged frame, as it is read more than once here. `names`
-        are its partitions, where the caller has them.
-        """
-        changes = changes.select(*COLUMNS[table])
-        existing = self._in_partitions(table, self.partitions(table, changes) if names is None else names)
-        changes = self._with_period(table, changes)
-        on = list(dict.fromkeys([*PARTS[table], *keys]))
-        kept = existing.join(changes.select(*on), on, "left_anti")
-        self._write(table, changes.unionByName(kept))
+        self.merge_all({"ticks": changes}, {"ticks": names})
 
-    def merge_all(self, stage: Workspace, changes: dict[str, DataFrame]) -> None:
-        """Merge frames of a workspace into both tables, as one step that a lost driver cannot leave half done.
-
-        The frames are named in a file of the store before the first table changes, and kept until the last one has. Who
-        opens or writes the store next completes the step; merging the rows again changes nothing.
-        """
-        pending = {"folder": stage.folder, "tables": {table: stage.path(rows) for table, rows in changes.items()}}
-        hadoop.write_text(self.spark, f"{self.root}/{PENDING}", json.dumps(pending))
-        self._complete(pending)
+    def merge_all(self, changes: dict[str, DataFrame], names: dict[str, list[str] | None] | None = None) -> None:
+        """Replace or add the changed rows of the tables by one commit. Each frame holds a key at most once and should be
+        staged, as it is read more than once here; `names` are its partitions, where the caller has them."""
+        with self.pending() as pending:
+            for table, rows in changes.items():
+                pending.merge(table, rows, (names or {}).get(table))
+            pending.publish()
 
     def recover(self) -> None:
-        """Complete a step that was left half done, if there is one."""
-        if hadoop.exists(self.spark, f"{self.root}/{PENDING}"):
-            pending = json.loads(hadoop.read_text(self.spark, f"{self.root}/{PENDING}"))
-            self._complete(pending)
-            hadoop.remove(self.spark, pending["folder"])
-
-    def _complete(self, pending: dict) -> None:
-        for table, path in pending["tables"].items():
-            schema, keys = (BARS, BAR_KEY) if table == "bars" else (TICKS, TICK_KEY)
-            self._merge(table, self.spark.read.schema(schema).parquet(path), keys, None)
-        hadoop.remove(self.spark, f"{self.root}/{PENDING}")
-
-    def overwrite(self, table: str, rows: DataFrame) -> None:
-        """Replace the partitions that `rows`, a staged frame, falls into; the other ones stay as they are."""
-        self._write(table, self._with_period(table, rows.select(*COLUMNS[table])))
-
-    def stage_table(self, table: str, rows: DataFrame) -> str:
-        """Write `rows` beside the table, from which they may have been computed, and return their path."""
-        path = f"{self.staging}/replace-{uuid.uuid4().hex}"
-        self._with_period(table, rows.select(*COLUMNS[table])).write.parquet(path)
-        return path
-
-    def replace_by(self, table: str, path: str) -> None:
-        """Replace the whole table by staged rows. If the write fails, they are still there and it can be run again."""
-        self._write(table, self.spark.read.schema(STORED[table]).parquet(path), mode="static")
-
-    def _write(self, table: str, rows: DataFrame, mode: str = "dynamic") -> None:
-        """`rebalance` splits a partition too large for one task and joins small ones; files are sorted by time."""
-        self._fix_layout()
-        parts = PARTS[table]
-        (
-            rows.select(*STORED[table].names)
-            .hint("rebalance", *parts)
-            .sortWithinPartitions(*parts, "timestamp")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", mode)
-            .partitionBy(*parts)
-            .parquet(f"{self.root}/{table}")
-        )
+        """Complete a commit that was left half done, if there is one."""
+        commit.complete(self.spark, self.root)
+
+    def overwrite(self, table: str, rows: DataFrame, names: list[str] | None = None) -> None:
+        """Replace the partitions that `rows`, a staged frame, falls into (and `names`); the other ones stay as they are."""
+        with self.pending() as pending:
+            pending.replace(table, rows, names if names is not None else self.partitions(table, rows))
+            pending.publish()
 
     def _with_period(self, table: str, rows: DataFrame) -> DataFrame:
         if table == "ticks":
@@ -276,6 +274,10 @@ class Store:
     def stage(self, df: DataFrame, label: str) -> DataFrame:
         return stage(df, self.staging, label)
 
+    @staticmethod
+    def stage_in(df: DataFrame, folder: str, label: str) -> DataFrame:
+        return stage(df, folder, label)
+
     @contextmanager
     def workspace(self) -> Iterator[Workspace]:
         """A stage function whose files are removed when the block ends; results read from them must not leave it."""
@@ -284,8 +286,101 @@ class Store:
         try:
             yield Workspace(folder)
         finally:
-            if not hadoop.exists(self.spark, f"{self.root}/{PENDING}"):
-                hadoop.remove(self.spark, folder)
+            hadoop.remove(self.spark, folder)
+
+
+class Pending:
+    """The tables as they will be once `publish` is called; until then nobody else sees the changes."""
+
+    def __init__(self, store: Store):
+        self.store = store
+        self.commit = commit.Commit(store.spark, store.root, PARTS)
+        self.touched: dict[str, list[str]] = {}
+        self._folded: dict[str, DataFrame] = {}
+
+    def merge(self, table: str, changes: DataFrame, names: list[str] | None = None) -> None:
+        """Replace or add the changed rows. The partitions they touch are read once, and written anew with all their rows."""
+        store, keys = self.store, BAR_KEY if table == "bars" else TICK_KEY
+        names = store.partitions(table, changes) if names is None else names
+        changes = store._with_period(table, changes.select(*COLUMNS[table]))
+        on = list(dict.fromkeys([*PARTS[table], *keys]))
+        kept = store._in_partitions(table, names).join(changes.select(*on), on, "left_anti")
+        self._write(table, changes.unionByName(kept), names)
+
+    def replace(self, table: str, rows: DataFrame, names: list[str]) -> None:
+        """Rows in place of all that the partitions `names` hold; partitions that get none will be gone."""
+        self._write(table, self.store._with_period(table, rows.select(*COLUMNS[table])), names)
+
+    def replace_all(self, table: str, rows: DataFrame) -> None:
+        held = hadoop.matching(self.store.spark, f"{self.store.root}/{table}" + "/*=*" * len(PARTS[table]))
+        depth = len(PARTS[table])
+        names = ["/".join(level.split("=", 1)[1] for level in path.split("/")[-depth:]) for path in held]
+        self.replace(table, rows, names)
+
+    def mark(self, name: str, text: str) -> None:
+        """A text file of the store that is written with the commit."""
+        self.commit.marks[name] = text
+
+    def _write(self, table: str, rows: DataFrame, names: list[str]) -> None:
+        self.commit.write(table, rows.select(*STORED[table].names), [_folder(table, name) for name in names])
+        self.touched[table] = sorted({*names, *self.names(table)})
+
+    def names(self, table: str) -> list[str]:
+        """The partitions that this commit has written."""
+        return [_name(folder) for folder in self.commit.names.get(table, ())]
+
+    def rows(self, table: str, names: list[str]) -> DataFrame:
+        """The rows of these partitions as they will be: those that this commit has written, and the other ones as stored."""
+        written = sorted(set(names) & set(self.names(table)))
+        others = sorted(set(names) - set(self.touched.get(table, ())))
+        parts = [self.store._read(table, self.commit.path(table), written)] if written else []
+        if others or not parts:
+            parts.append(self.store._in_partitions(table, others))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def partials(self, table: str) -> DataFrame:
+        """The partials of the partitions that this commit has written, from a scan of times (and sources) alone."""
+        if table not in self._folded:
+            names = self.names(table)
+            found = self.store._read(table, self.commit.path(table), names) if names else empty(self.store.spark, STORED[table])
+            self._folded[table] = self.store.stage_in(_fold(table, found), self.commit.folder, "partials")
+        return self._folded[table]
+
+    def former_partials(self, table: str) -> DataFrame:
+        """The partials of the same partitions as they are stored."""
+        return self._only_touched(table, self.store.partials(table), "left_semi")
+
+    def _only_touched(self, table: str, partials: DataFrame, how: str) -> DataFrame:
+        """Partitions of this commit or (left_anti) all others; their names are as many as its folders."""
+        schema = T.StructType([STORED[table][c] for c in PARTS[table]])
+        texts = [tuple(name.split("/")) for name in self.touched.get(table, ())]
+        frame = self.store.spark.createDataFrame(texts, ", ".join(f"{c} string" for c in PARTS[table]))
+        return partials.join(frame.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)), PARTS[table], how)
+
+    def publish(self) -> None:
+        for table in self.touched:
+            others = self._only_touched(table, self.store.partials(table), "left_anti")
+            self.commit.write_whole(_partials(table), others.unionByName(self.partials(table)))
+        self.commit.publish()
+
+
+def _partials(table: str) -> str:
+    return f"_partials/{table}"
+
+
+def _fold(table: str, rows: DataFrame) -> DataFrame:
+    found = rows.groupBy(*PARTIAL_BY[table]).agg(
+        F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+    )
+    return found.select(*PARTIALS[table].names)
+
+
+def _folder(table: str, name: str) -> str:
+    return "/".join(f"{part}={value}" for part, value in zip(PARTS[table], name.split("/"), strict=True))
+
+
+def _name(folder: str) -> str:
+    return "/".join(level.split("=", 1)[1] for level in folder.split("/"))
 
 
 def _between(rows: DataFrame, first, last) -> DataFrame:

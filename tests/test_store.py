@@ -1,13 +1,15 @@
 import json
+import pathlib
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from barlake.operators import profile, query, repair
-from barlake.plans import ingest
+from barlake.plans import ingest, pages
 from barlake.plans import repair as repair_plans
-from barlake.sources import snapshot
+from barlake.sources import commit, hadoop, snapshot
 from barlake.sources.store import Days, Store
 from helpers import bars, minute_rows, same, second_ticks, ticks
 
@@ -120,23 +122,202 @@ def test_a_failed_ladder_writes_nothing(spark, store, monkeypatch):
     assert store.ticks().count() == 0 and store.bars().count() == 0
 
 
-def test_a_run_that_died_between_the_tables_is_completed(spark, store, tmp_path, monkeypatch):
-    merge = Store._merge
+def everything(store):
+    return sorted(map(repr, store.bars().collect())) + sorted(map(repr, store.ticks().collect()))
 
-    def dies(self, table, *rest):
-        if table == "bars":
+
+def left_over(store):
+    root = pathlib.Path(store.root)
+    return [p for p in (root / "commit.json", root / "commit.json.next") if p.exists()] + list((root / "_commit").glob("*"))
+
+
+@pytest.mark.parametrize("moves", [0, 3])
+def test_a_commit_that_died_between_its_moves_is_completed(spark, store, tmp_path, monkeypatch, moves):
+    """Whatever a driver had moved when it died, and although the next partition was deleted already, no row is lost."""
+    first, second = second_ticks("2024-01-31 23:59:00", 100), second_ticks("2024-01-31 23:59:50", 20) + second_ticks("2024-03-01 10:00:00", 5)
+    ingest.ingest_ticks(store, ticks(spark, first))
+    whole = Store(spark, str(tmp_path / "whole"))
+    for batch in (first, second):
+        ingest.ingest_ticks(whole, ticks(spark, batch))
+    replace, done = hadoop.replace, []
+
+    def dies(spark, source, target):
+        if len(done) == moves:
+            hadoop.remove(spark, target)
             raise RuntimeError("lost")
-        merge(self, table, *rest)
+        done.append(target)
+        replace(spark, source, target)
 
-    monkeypatch.setattr(Store, "_merge", dies)
+    monkeypatch.setattr(commit, "MOVERS", 1)
+    monkeypatch.setattr(hadoop, "replace", dies)
     with pytest.raises(RuntimeError):
-        ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-03 09:00:00", 30)))
-    monkeypatch.setattr(Store, "_merge", merge)
-    assert store.ticks().count() == 30 and store.bars().count() == 0
+        ingest.ingest_ticks(store, ticks(spark, second))
+    assert len(done) == moves
+    monkeypatch.setattr(hadoop, "replace", replace)
     again = Store(spark, store.root)
-    assert again.bars().count() == 7 and again.ticks().count() == 30
-    assert not (tmp_path / "store" / "pending.json").exists()
-    test_work_files_are_removed(spark, again)
+    assert everything(again) == everything(whole)
+    assert same_partials(again) and not left_over(again)
+    assert everything(Store(spark, store.root)) == everything(whole)
+
+
+def test_a_commit_that_died_before_its_journal_changes_nothing(spark, store, monkeypatch):
+    fill(spark, store)
+    before = everything(store)
+
+    def dies(self):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(commit.Commit, "publish", dies)
+    for lost in (lambda: ingest.ingest_bars(store, bars(spark, minute_rows("2024-01-02", 3, flat=7.0))), lambda: repair_plans.shift_store(store, "Europe/Berlin")):
+        with pytest.raises(RuntimeError):
+            lost()
+        assert everything(Store(spark, store.root)) == before and not left_over(store)
+
+
+def test_a_journal_that_is_none_is_passed_over(spark, store):
+    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-03 09:00:00", 3)), derive=False)
+    before = everything(store)
+    for text in ("", "{", "null"):
+        (pathlib.Path(store.root) / "commit.json").write_text(text)
+        again = Store(spark, store.root)
+        assert everything(again) == before and not left_over(again)
+
+
+def test_small_texts_are_replaced_as_a_whole(spark, tmp_path, monkeypatch):
+    name = str(tmp_path / "text")
+    assert hadoop.read_text(spark, name) is None
+    hadoop.write_text(spark, name, "one")
+    rename = hadoop._rename
+    for dies_at in (1, 2):
+        calls = []
+
+        def dies(system, source, target, calls=calls, dies_at=dies_at):
+            calls.append(target)
+            if len(calls) == dies_at:
+                raise OSError("lost")
+            rename(system, source, target)
+
+        monkeypatch.setattr(hadoop, "_rename", dies)
+        with pytest.raises(OSError):
+            hadoop.write_text(spark, name, "two")
+        monkeypatch.setattr(hadoop, "_rename", rename)
+        # before the new text is complete the old one is found, then the new one
+        assert hadoop.read_text(spark, name) == ("one" if dies_at == 1 else "two")
+    hadoop.write_text(spark, name, "three")
+    assert hadoop.read_text(spark, name) == "three"
+    hadoop.remove_text(spark, name)
+    assert hadoop.read_text(spark, name) is None
+
+
+def same_partials(store):
+    """Whether the partials beside the tables say the same as a scan of the tables."""
+    return all(
+        same(found(*(store.partials(t) for t in tables)), found(*(getattr(store, t)() for t in tables)))
+        for found, tables in (
+            (profile.bar_coverage, ["bars"]),
+            (profile.tick_coverage, ["ticks"]),
+            (profile.bar_stats, ["bars"]),
+            (profile.tick_stats, ["ticks"]),
+            (profile.coverage_catalog, ["bars", "ticks"]),
+            (profile.lake_summary, ["bars", "ticks"]),
+            (profile.all_instruments, ["bars", "ticks"]),
+            (profile.timeframes, ["bars", "ticks"]),
+        )
+    )
+
+
+def test_partials_follow_every_change(spark, store, tmp_path):
+    assert same_partials(store)
+    fill(spark, store)
+    ingest.ingest_bars(store, bars(spark, minute_rows("2024-01-02 00:10:00", 40, "GBPUSD") + minute_rows("2018-01-02", 3, timeframe="W1", step=86400)))
+    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-03-31 03:00:00", 5, "GBPUSD")), derive=False)
+    assert same_partials(store)
+    snapshot.export_snapshot(store, str(tmp_path / "snap"))
+    repair_plans.collapse_store(store)
+    assert same_partials(store)
+    repair_plans.shift_store(store, "Europe/Berlin")
+    assert same_partials(store)
+    snapshot.restore_snapshot(store, str(tmp_path / "snap"))
+    assert same_partials(store)
+    # a store of an earlier layout has none and is read
+    hadoop.remove(spark, f"{store.root}/_partials")
+    assert same_partials(store)
+
+
+def test_summaries_read_no_prices(spark, store):
+    fill(spark, store)
+    for frame in (profile.lake_summary(store.partials("bars"), store.partials("ticks")), profile.bar_coverage(store.partials("bars"))):
+        assert all("/_partials/" in path for path in frame.inputFiles())
+
+
+def test_touched_partitions_are_read_once(spark, store, monkeypatch):
+    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-02 09:00:00", 50)), derive=False)
+    scans, write = [], commit.Commit.write
+
+    def counted(self, table, rows, replaces=()):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        # stored rows come with their partition's date, the staged batch has none
+        scans.append(sum("Relation" in line and "date#" in line for line in plan.splitlines()))
+        write(self, table, rows, replaces)
+
+    monkeypatch.setattr(commit.Commit, "write", counted)
+    report = ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-02 09:00:40", 20)), derive=False)
+    assert scans == [1]
+    row = report.series.first()
+    assert (row.rows_in_file, row.rows_in_batch, row.rows_new, row.rows_matched) == (20, 20, 10, 10)
+
+
+@pytest.mark.parametrize("limit", [25, 500])
+def test_pages_of_a_store(spark, store, limit):
+    """Pages follow each other over partitions and equal times; each opens the first partitions that are left only."""
+    months = [row for month in range(1, 7) for name in ("A", "B") for row in second_ticks(f"2024-0{month}-28 23:59:50", 20, name)]
+    ingest.ingest_ticks(store, ticks(spark, months), derive=False)
+    ingest.ingest_bars(store, bars(spark, [row for year in (2021, 2022, 2023) for name in ("A", "B") for row in minute_rows(f"{year}-12-31 23:50:00", 20, name)]))
+    for page, rows, key in (
+        (lambda after: pages.page_ticks(store, "A", limit, after), store.ticks().where("instrument = 'A'").orderBy("timestamp"), ["timestamp"]),
+        (lambda after: pages.page_bars(store, limit, after), store.bars().orderBy(*query.BAR_PAGE_KEY), query.BAR_PAGE_KEY),
+    ):
+        found, after, more = [], None, True
+        while more and len(found) < 120:
+            own = sorted(page(after).collect(), key=lambda r: tuple(r[k] for k in key))
+            found += own
+            more, after = own[-1].has_more, {k: own[-1][k] for k in key}
+        wanted = [tuple(r[k] for k in key) for r in rows.collect()]
+        assert [tuple(r[k] for k in key) for r in found] == wanted[: len(found)]
+        assert len(found) >= min(len(wanted), 120)
+
+
+def test_a_page_opens_the_first_partitions_only(spark, store):
+    years = [row for year in range(2015, 2025) for row in minute_rows(f"{year}-06-01", 30)]
+    ingest.ingest_bars(store, bars(spark, years), derive=False)
+    ingest.ingest_ticks(store, ticks(spark, [row for month in range(1, 10) for row in second_ticks(f"2024-0{month}-05", 30)]), derive=False)
+    opened = lambda frame: set(re.findall("(?:period|date)=([0-9-]+)", files_read(frame)))
+    assert opened(pages.page_bars(store, 20)) == {"2015"}
+    assert opened(pages.page_bars(store, 20, start="2020-01-01")) == {"2020"}
+    assert opened(pages.page_ticks(store, "EURUSD", 40, start="2024-03-02")) == {"2024-03-01", "2024-04-01"}
+    assert pages.page_bars(store, 20, start="2030-01-01").count() == 0
+
+
+def files_read(frame):
+    """What a plan says of the files that it opens, after partitions have been pruned."""
+    frame.collect()
+    found, todo = "", [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(plan.executedPlan())
+        elif name.startswith("Scan"):
+            partitions = plan.selectedPartitions()
+            listed = partitions.filePartitionIterator()
+            while listed.hasNext():
+                found += listed.next().files().mkString(" ")
+        else:
+            children = plan.children()
+            todo += [children.apply(k) for k in range(children.size())]
+            if name.endswith("QueryStage"):
+                todo.append(plan.plan())
+    return found
 
 
 def test_names_given_with_the_call(spark, store):
@@ -177,8 +358,6 @@ def test_layout_is_kept(spark, tmp_path):
 
 
 def test_work_files_are_removed(spark, store):
-    import pathlib
-
     fill(spark, store)
     assert not list(pathlib.Path(store.staging).glob("work-*"))
 
@@ -308,22 +487,26 @@ def test_shift_of_a_store(spark, store):
     assert store.ticks().count() == 2
 
 
-def test_a_shift_that_died_is_completed(spark, store, monkeypatch):
+@pytest.mark.parametrize("moves", [1])
+def test_a_shift_that_died_is_completed(spark, store, monkeypatch, moves):
     ingest.ingest_bars(store, bars(spark, minute_rows("2024-01-02 10:00:00", 3)), derive=False)
     ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-02 10:00:00", 3)), derive=False)
-    replace = Store.replace_by
+    replace, done = hadoop.replace, []
 
-    def dies(self, table, path):
-        replace(self, table, path)
-        raise RuntimeError(f"lost after {table}")
+    def dies(*place):
+        if len(done) == moves:
+            raise RuntimeError("lost")
+        done.append(place)
+        replace(*place)
 
-    monkeypatch.setattr(Store, "replace_by", dies)
-    for _ in range(2):
-        with pytest.raises(RuntimeError):
-            repair_plans.shift_store(store, "Europe/Berlin")
-    monkeypatch.setattr(Store, "replace_by", replace)
-    repair_plans.shift_store(store, "Europe/Berlin")
-    assert {r.h for r in store.bars().union(store.bars()).select(F.hour("timestamp").alias("h")).collect()} == {9}
+    monkeypatch.setattr(commit, "MOVERS", 1)
+    monkeypatch.setattr(hadoop, "replace", dies)
+    with pytest.raises(RuntimeError):
+        repair_plans.shift_store(store, "Europe/Berlin")
+    monkeypatch.setattr(hadoop, "replace", replace)
+    with pytest.raises(ValueError, match="has been shifted"):
+        repair_plans.shift_store(Store(spark, store.root), "Europe/Berlin")
+    assert {r.h for r in store.bars().select(F.hour("timestamp").alias("h")).collect()} == {9}
     assert {r.h for r in store.ticks().select(F.hour("timestamp").alias("h")).collect()} == {9}
 
 
