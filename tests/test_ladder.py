@@ -18,18 +18,19 @@ def test_targets_are_longer_whole_multiples():
 
 
 def test_five_minutes_make_one_bar(spark):
-    found = ladder.bars_to_bars(bars(spark, minute_rows("2024-01-02 00:00:00", 5)), "M1", "M5").collect()
-    assert len(found) == 1
-    row = found[0]
-    assert (row.open, row.close) == (100.0, pytest.approx(100.14))
-    assert (row.high, row.low) == (pytest.approx(100.54), pytest.approx(99.5))
-    assert (row.timeframe, row.source, row.timestamp) == ("M5", "derived", datetime(2024, 1, 2))
+    prices = [(7.0, 9.0, 6.5, 8.0), (8.0, 8.25, 7.75, 7.75), (7.75, 11.0, 7.5, 10.0), (10.0, 10.5, 5.25, 6.0), (6.0, 6.5, 6.0, 6.25)]
+    rows = [("X", "M1", datetime(2019, 7, 9, 14, 35 + k), *p, "raw") for k, p in enumerate(prices)]
+    found = ladder.bars_to_bars(bars(spark, rows[::-1]), "M1", "M5").collect()
+    assert [tuple(r) for r in found] == [("X", "M5", datetime(2019, 7, 9, 14, 35), 7.0, 11.0, 5.25, 6.25, "derived")]
 
 
 def test_ladder_counts(spark):
-    found = ladder.ladder_from_bars(bars(spark, minute_rows("2024-01-02 00:00:00", 120)), "M1")
+    rows = minute_rows("2019-07-09 21:10:00", 250, "X")
+    found = ladder.ladder_from_bars(bars(spark, rows), "M1")
     counts = {r.timeframe: r["count"] for r in found.groupBy("timeframe").count().collect()}
-    assert counts == {"M5": 24, "M15": 8, "M30": 4, "H1": 2, "H4": 1, "D1": 1}
+    times = [row[2] for row in rows]
+    starts = {"M5": 5, "M15": 15, "M30": 30, "H1": 60, "H4": 240, "D1": 1440}
+    assert counts == {tf: len({(t - datetime(1970, 1, 1)) // timedelta(minutes=n) for t in times}) for tf, n in starts.items()}
 
 
 def test_impossible_target_is_an_error(spark):
