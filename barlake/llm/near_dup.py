@@ -165,7 +165,7 @@ def _with_root(rows: DataFrame, linked: DataFrame, name: str, root: str) -> Data
     return rows.join(roots, name, "left").withColumn(root, F.coalesce(root, name))
 
 
-def open_sets(held: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
+def open_sets(held: DataFrame, linked: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """(digest, root): the sets of components that share a table key with another one, a row for each set.
 
     A key holds several components if one of its members is apart from its first one, so the stars (`held`) tell them, and
@@ -173,8 +173,8 @@ def open_sets(held: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
     """
     apart = held.select("digest", F.col("first.digest").alias("first"))
     apart = _with_root(_with_root(apart, linked, "digest", "root"), linked, "first", "other").where("root <> other")
-    roots = apart.select(F.explode(F.array("root", "other")).alias("root")).distinct()
-    return _with_root(sets.select("digest"), linked, "digest", "root").join(roots, "root", "left_semi").select("digest", "root")
+    roots = stage(apart.select(F.explode(F.array("root", "other")).alias("root")).distinct(), folder, "roots")
+    return pick(_with_root(sets.select("digest"), linked, "digest", "root"), roots, "left_semi").select("digest", "root")
 
 
 #: Rows of one shingle are dealt to so many tasks when it is counted, and to one more for each THOUSAND when they are paired.
@@ -262,7 +262,7 @@ def grouped(docs: DataFrame, folder: str, doc_id: str, text: str, tables: Tables
 
     alike = held.where(_near(F.col("size"), F.col("first.size"), tables)).select(F.col("digest").alias("a"), F.col("first.digest").alias("b"))
     linked = components(stage(confirm(alike, sets, tables), folder, "links"), folder)
-    opened = stage(open_sets(held, linked, sets), folder, "opened")
+    opened = stage(open_sets(held, linked, sets, folder), folder, "opened")
     rare = stage(rare_shingles(opened, sets, tables), folder, "rare")
     links = stage(confirm(crossing_pairs(rare, tables), sets, tables), folder, "links")
     if not links.isEmpty():

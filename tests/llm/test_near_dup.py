@@ -82,7 +82,7 @@ def made(spark, rows):
     sets = near_dup.stage(near_dup.full_sets(docs, "text", tables).dropDuplicates(["digest"]), folder(spark), "sets")
     pairs = held.select(held.digest.alias("a"), held["first.digest"].alias("b"))
     linked = components(near_dup.confirm(pairs, sets, tables), folder(spark))
-    opened = near_dup.stage(near_dup.open_sets(held, linked, sets), folder(spark), "opened")
+    opened = near_dup.stage(near_dup.open_sets(held, linked, sets, folder(spark)), folder(spark), "opened")
     return {"sets": sets.count(), "stars": held.count(), "opened": opened.count(), "rare": near_dup.rare_shingles(opened, sets, tables).count()}
 
 
