@@ -16,6 +16,7 @@ from barlake.functions.timeframe import LADDER, SECONDS, check_timeframe, deriva
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.operators import dedupe, ladder, merge, quality
 from barlake.schema import BAR_KEY, DERIVED, RAW, TICK_KEY
+from barlake.session import together
 from barlake.sources import files
 from barlake.sources.store import Days, Pending, Store
 
@@ -163,8 +164,7 @@ def _merge_bars(store: Store, stage, rows: DataFrame, derive: bool, scope: str,
     derived = stage(ladder.protect_raw(fresh, held, incoming, targets=list(LADDER)), "derived")
     with store.pending() as pending:
         pending.merge("bars", incoming.unionByName(derived))
-        report = _derived_now(store, days.per_instrument(), pending)
-        pending.publish()
+        (report,) = pending.publish(lambda: _derived_now(store, days.per_instrument(), pending))
     return Report(series, report)
 
 
@@ -176,14 +176,19 @@ def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list
     if not (names and derive):
         return Report(_merge_plain(store, "ticks", incoming, names, ["instrument"], read), None if not derive else _none_derived(store))
     days = Days.of(_days(incoming, ["instrument"], scope), ["instrument"], stage)
-    with store.pending() as pending:
-        pending.merge("ticks", incoming, names)
-        series = store.stage(_merge_counts(pending, "ticks", incoming, ["instrument"]).join(read, "instrument"), "report")
+
+    def derived(pending: Pending) -> None:
         # the days are read as they will be, from the partitions just written
         fresh = ladder.ladder_from_ticks(store.on_days("ticks", days, pending))
         pending.merge("bars", stage(ladder.protect_raw(fresh, store.on_days("bars", days)), "derived"))
-        report = _derived_now(store, days, pending)
-        pending.publish()
+
+    def counted(pending: Pending) -> DataFrame:
+        return store.stage(_merge_counts(pending, "ticks", incoming, ["instrument"]).join(read, "instrument"), "report")
+
+    with store.pending() as pending:
+        pending.merge("ticks", incoming, names)
+        _, series = together(lambda: derived(pending), lambda: counted(pending))
+        (report,) = pending.publish(lambda: _derived_now(store, days, pending))
     return Report(series, report)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -58,3 +60,9 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """A frame without rows that the optimizer knows to be empty, so that joins with it vanish from the plan."""
     fields = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields)
     return spark.sql(f"SELECT {fields} WHERE false")
+
+
+def together(*steps: Callable[[], object]) -> list:
+    """The results of steps that don't need each other; their Spark jobs run at the same time."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [found.result() for found in [pool.submit(step) for step in steps]]

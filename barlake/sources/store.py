@@ -16,17 +16,17 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.schema import BAR_KEY, BARS, TICK_KEY, TICKS
-from barlake.session import empty, stage, work_dir, write_stage
+from barlake.session import empty, stage, together, work_dir, write_stage
 from barlake.sources import commit, hadoop
 
 # Days of up to this many series are broadcast (a few MB); more are joined with a shuffle. The rows read are the same.
@@ -70,6 +70,13 @@ class Days:
     count: int
     first: date | None
     last: date | None
+    _spans: dict[str, set[tuple[str, ...]]] = field(default_factory=dict)
+
+    def spans(self, table: str, start: Column) -> set[tuple[str, ...]]:
+        """The series of these days, each with the begin of the table's partitions that they fall into."""
+        if table not in self._spans:
+            self._spans[table] = {tuple(map(str, row)) for row in self.frame.select(*self.by, start.alias("period")).distinct().collect()}
+        return self._spans[table]
 
     @staticmethod
     def of(frame: DataFrame, by: list[str], stage: Callable[[DataFrame, str], DataFrame]) -> Days:
@@ -161,7 +168,7 @@ class Store:
         if not days.count:
             return empty(self.spark, STORED[table]).select(*COLUMNS[table])
         start = F.year("date") if table == "bars" else self._tick_period_start(F.col("date"))
-        spans = {tuple(map(str, row)) for row in days.frame.select(*days.by, start.alias("period")).distinct().collect()}
+        spans = days.spans(table, start)
         series = {span[:-1] for span in spans}
         held = self._held(table, sorted({span[0] for span in spans}))
         held = sorted({*held, *(pending.names(table) if pending else ())})
@@ -357,11 +364,16 @@ class Pending:
         frame = self.store.spark.createDataFrame(texts, ", ".join(f"{c} string" for c in PARTS[table]))
         return partials.join(frame.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)), PARTS[table], how)
 
-    def publish(self) -> None:
-        for table in self.touched:
-            others = self._only_touched(table, self.store.partials(table), "left_anti")
-            self.commit.write_whole(_partials(table), others.unionByName(self.partials(table)))
+    def write_partials(self, table: str) -> None:
+        """The partials of the whole table as they will be."""
+        others = self._only_touched(table, self.store.partials(table), "left_anti")
+        self.commit.write_whole(_partials(table), others.unionByName(self.partials(table)))
+
+    def publish(self, *steps: Callable[[], object]) -> list:
+        """Makes the commit valid; `steps` read it as it will be, and run while the partials are written."""
+        found = together(*steps, *(lambda table=table: self.write_partials(table) for table in self.touched)) if self.touched or steps else []
         self.commit.publish()
+        return found[: len(steps)]
 
 
 def _partials(table: str) -> str:
