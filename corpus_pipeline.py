@@ -12,27 +12,47 @@ from barlake.session import work_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rule ensemble accepts, fitted on `labels` of documents that are present."""
+    """The documents that the rule ensemble accepts, fitted on `labels` of documents that are present.
+
+    Null and empty texts are scored as empty ones, equal rows go or stay together. Without labels of both kinds all documents
+    have one score, so all go or all stay. Columns of any name stay.
+    """
     return rule_ensemble.of_quality(docs, queries.table(spark, sf_dir, "labels"), work_dir(spark))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; shingles of five words, 0.8 or more."""
+    """One document of each group of near copies, the one with the smallest doc_id; shingles of five words, 0.8 or more.
+
+    Of ties and repeated rows one stays. Null and empty texts are copies of nothing but of rows with their own doc_id; rows
+    without doc_id go only if a row of their group stays. Columns of any name stay.
+    """
     return near_dup.without_copies(docs, work_dir(spark), tables=near_dup.Tables(size=5))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark passage."""
+    """The documents that hold no benchmark passage; null and empty texts hold none, equal rows go or stay together.
+
+    Columns of any name stay; an empty benchmark leaves all documents.
+    """
     return decontaminate.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"), work_dir(spark))
 
 
 def clean_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in a text is replaced by the name of its kind, `n_chars` follows the text; no document goes."""
-    return secrets.without_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Every secret in a text is replaced by the name of its kind, `n_chars` (if there) follows the text; no document goes.
+
+    A null text stays null and has no length; repeated rows stay alike, columns of any name stay.
+    """
+    cleaned = secrets.without_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return cleaned
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the ids of the whole text, with the outcome of the two checks."""
+    """doc_id and the ids of the whole text, with the outcome of the two checks; a row for each document.
+
+    A null or empty text has no ids; other columns are not read.
+    """
     found = sentencepiece_model.tokenize(docs.select("doc_id", "text"), queries.MODEL, into="__tokens")
     return found.select("doc_id", "__tokens.ids", F.size("__tokens.ids").cast("long").alias("n_tokens"), "__tokens.round_trip", "__tokens.parity")
 
