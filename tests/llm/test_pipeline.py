@@ -68,3 +68,53 @@ def test_secrets_and_tokens(steps):
 def test_run(spark, steps):
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {r.doc_id: r.ids for r in steps[-1][2].collect()}
+
+
+ODD = [
+    (None, None, "a", 0),
+    (900_001, None, "a", None),
+    (900_002, "", "b", 0),
+    (900_002, "", "b", 0),
+    (900_003, "one two three four five six seven", "b", 33),
+    (900_003, "one two three four five six seven", "b", 33),
+    (None, "one two three four five six seven", "c", 33),
+    (900_004, "password=abcdefghijk and some words around it", "c", 45),
+    (900_005, "long words " * 20_000, "c", 220_000),
+]
+NAMES = "__score __secret_text __secret_spans __token_text __copy_id __copy_hash __leak_key __leak_hash".split()
+
+
+def odd_rows(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    return docs.selectExpr("*", *(f"'{name}' AS {name}" for name in NAMES))
+
+
+def test_odd_rows_pass_all_stages(spark):
+    docs = odd_rows(spark, ODD)
+    stages = dict(corpus_pipeline.STAGES)
+    left = {}
+    for name in list(stages)[:-1]:
+        after = stages[name](spark, docs, SF)
+        assert after.columns == docs.columns, name
+        left[name] = sorted((repr(r.doc_id), repr(r.text)[:40]) for r in after.collect())
+        assert all(r[n] == n for r in after.collect() for n in NAMES)
+    everything = sorted((repr(i), repr(t)[:40]) for i, t, _, _ in ODD)
+    assert left["quality classifier"] in ([], everything)
+    assert left["benchmark decontamination"] == everything
+    assert len(left["secret scans"]) == len(ODD) and ("900004", "'[assign] and some words around it'") in left["secret scans"]
+    kept = left["MinHash near-dedup"]
+    assert sum("one two" in t for _, t in kept) == 1 and ("900003", repr("one two three four five six seven")) in kept
+    assert [i for i, t in kept if t in ("None", "''")] == ["900001", "900002", "None"]
+    tokens = stages["SentencePiece encoding and decoding"](spark, docs, SF).collect()
+    assert len(tokens) == len(ODD) and sum(not r.ids for r in tokens) == 4 and all(r.round_trip and r.parity for r in tokens)
+
+
+def test_no_rows_pass_all_stages(spark):
+    docs = odd_rows(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_secrets_without_a_length(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijk")], "doc_id bigint, text string")
+    assert corpus_pipeline.clean_secrets(spark, docs, SF).collect() == [(1, "[assign]")]
