@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from barlake.functions.timeframe import LADDER, SECONDS, check_timeframe, derivation_targets
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.operators import dedupe, ladder, merge, quality
-from barlake.schema import BAR_KEY, DERIVED, RAW, TICK_KEY
+from barlake.schema import BAR_KEY, DERIVED, RAW
 from barlake.session import together
 from barlake.sources import files
 from barlake.sources.store import Days, Pending, Store
@@ -26,11 +26,12 @@ REFRESH_DAYS = (1, 365)
 @dataclass
 class Report:
     """`series`: counts per instrument (and timeframe). `derived`: derived bars in the window per instrument and
-    timeframe. `files`: outcome per file where files were read."""
+    timeframe. `files`: outcome per file where files were read. `instruments`: outcome of a refresh per instrument."""
 
     series: DataFrame
     derived: DataFrame | None
     files: DataFrame | None = None
+    instruments: DataFrame | None = None
 
 
 def ingest_bars(
@@ -85,7 +86,8 @@ def refresh(
 ) -> Report:
     """Landed M1 files of the last days: upsert and derive, for the instruments in the store unless some are given.
 
-    Fails only if every instrument in scope failed.
+    The report has a row for each instrument in scope: the rows of the window that were taken, the first and last of their
+    times, and an error if one of its files was rejected. Fails only if every file was.
     """
     if not REFRESH_DAYS[0] <= days <= REFRESH_DAYS[1]:
         raise ValueError(f"days must be {REFRESH_DAYS[0]} to {REFRESH_DAYS[1]}")
@@ -103,7 +105,15 @@ def refresh(
             (F.col("timestamp") >= ntz(end - timedelta(days=days))) & (F.col("timestamp") <= ntz(end))
         )
         report = _merge_bars(store, stage, recent, True, "window", _file_order(outcome))
-        return Report(report.series, report.derived, outcome)
+        instruments = store.stage(_outcome_of_scope(known, report.series, outcome), "report")
+        return Report(report.series, report.derived, outcome, instruments)
+
+
+def _outcome_of_scope(known: DataFrame, series: DataFrame, outcome: DataFrame) -> DataFrame:
+    taken = series.select("instrument", F.col("rows_in_batch").alias("rows"), "first_timestamp", "last_timestamp")
+    errors = outcome.where("error IS NOT NULL").groupBy("instrument").agg(F.min("error").alias("error"))
+    found = known.distinct().join(taken, "instrument", "left").join(errors, "instrument", "left")
+    return found.withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
 def refresh_scope(rows: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -377,6 +377,25 @@ def _(spark, sf):
     return pages.page_ticks(store, "click", 300, after=dict(timestamp="2024-01-03 04:05:06"))
 
 
+@register(
+    "refresh_report",
+    with_(TICKS, MINUTES)
+    + """SELECT instrument, count(*) FILTER (WHERE taken) AS rows, min(timestamp) FILTER (WHERE taken) AS first_timestamp,
+      max(timestamp) FILTER (WHERE taken) AS last_timestamp, instrument = 'signup' AS failed
+    FROM (SELECT *, timestamp >= TIMESTAMP '2024-01-21 12:00:00' AND instrument <> 'signup' AS taken FROM minutes)
+    WHERE instrument <> 'click' GROUP BY instrument""",
+)
+def _(spark, sf):
+    """The outcome for each instrument in scope; the files of one of them have times that are none."""
+    store = Store(spark, fresh(spark))
+    early = views.event_ticks(spark, sf).where("instrument <> 'click' AND timestamp < TIMESTAMP_NTZ'2024-01-05 00:00:00'")
+    ingest.ingest_bars(store, ladder.ticks_to_bars(early, "D1"), derive=False)
+    text = _minutes_text(spark, sf)
+    text = text.withColumn("timestamp", F.when(F.col("instrument") == "signup", "no time").otherwise(F.col("timestamp")))
+    found = ingest.refresh(store, write_named(text, fresh(spark), "M1"), days=10, now="2024-01-31 12:00:00").instruments
+    return found.select("instrument", "rows", "first_timestamp", "last_timestamp", F.col("error").isNotNull().alias("failed"))
+
+
 # -- snapshots and downloads ----------------------------------------------------------------------------------------
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.schema import BAR_KEY, BARS, TICK_KEY, TICKS
-from barlake.session import empty, stage, together, work_dir, write_stage
+from barlake.session import empty, stage, together, work_dir
 from barlake.sources import commit, hadoop
 
 # Days of up to this many series are broadcast (a few MB); more are joined with a shuffle. The rows read are the same.
@@ -90,20 +90,13 @@ class Days:
 
 
 class Workspace:
-    """Stages frames under a folder and knows the path of each."""
+    """Stages frames under a folder."""
 
     def __init__(self, folder: str):
         self.folder = folder
-        self._staged: list[tuple[DataFrame, str]] = []
 
     def __call__(self, df: DataFrame, label: str) -> DataFrame:
-        path = write_stage(df, self.folder, label)
-        frame = df.sparkSession.read.schema(df.schema).parquet(path)
-        self._staged.append((frame, path))
-        return frame
-
-    def path(self, frame: DataFrame) -> str:
-        return next(path for staged, path in self._staged if staged is frame)
+        return stage(df, self.folder, label)
 
 
 class Store:
@@ -281,10 +274,6 @@ class Store:
     def stage(self, df: DataFrame, label: str) -> DataFrame:
         return stage(df, self.staging, label)
 
-    @staticmethod
-    def stage_in(df: DataFrame, folder: str, label: str) -> DataFrame:
-        return stage(df, folder, label)
-
     @contextmanager
     def workspace(self) -> Iterator[Workspace]:
         """A stage function whose files are removed when the block ends; results read from them must not leave it."""
@@ -350,7 +339,7 @@ class Pending:
         if table not in self._folded:
             names = self.names(table)
             found = self.store._read(table, self.commit.path(table), names) if names else empty(self.store.spark, STORED[table])
-            self._folded[table] = self.store.stage_in(_fold(table, found), self.commit.folder, "partials")
+            self._folded[table] = stage(_fold(table, found), self.commit.folder, "partials")
         return self._folded[table]
 
     def former_partials(self, table: str) -> DataFrame:
