@@ -39,7 +39,7 @@ STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?\s])|\s*\S+|\s+")
 #: So many new stretches are encoded as one text.
 JOINED = 2_000
 #: Control characters that are white space to this pattern but not to the tokenizer's.
-CONTROLS = re.compile("[\x1c-\x1f]")
+CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
@@ -55,8 +55,7 @@ class Encoder:
         self.made = tokenizers.Tokenizer.from_str(definition)
         kind = self.made.pre_tokenizer
         self.by_stretch = isinstance(kind, tokenizers.pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.made.normalizer is None
-        special = [re.escape(token.content) for token in self.made.get_added_tokens_decoder().values()]
-        self.whole_text = re.compile("|".join([CONTROLS.pattern, *special]))
+        self.whole_texts = (*CONTROLS, *(token.content for token in self.made.get_added_tokens_decoder().values()))
         self.known: dict[str, bytes] = {}
         vocabulary = self.made.get_vocab()
         self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
@@ -91,14 +90,29 @@ class Encoder:
                 self.known.update((one, ids[4 * a : 4 * b]) for one, a, b in zip(group, begins.tolist(), ends.tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        by_stretch = [self.by_stretch and not self.whole_text.search(text) for text in texts]
+        by_stretch = [self.by_stretch and not any(one in text for one in self.whole_texts) for text in texts]
         others = iter(self._ids([text for text, split in zip(texts, by_stretch, strict=True) if not split]))
         if len(self.known) > KNOWN_STRETCHES:
             self.known.clear()
-        stretches = [STRETCH.findall(text) if split else None for text, split in zip(texts, by_stretch, strict=True)]
-        self._learn(list({one for text in stretches if text for one in text if one not in self.known}))
-        known = self.known.__getitem__
-        return [next(others) if text is None else b"".join(map(known, text)) for text in stretches]
+        stretches = [STRETCH.findall(text) if split else [] for text, split in zip(texts, by_stretch, strict=True)]
+        # each stretch is looked up once; only those that are not known are visited one by one
+        found = [list(map(self.known.get, own)) for own in stretches]
+        missing = [list(_places_of_none(ids)) for ids in found]
+        self._learn(list({own[k] for own, places in zip(stretches, missing, strict=True) for k in places}))
+        for own, ids, places in zip(stretches, found, missing, strict=True):
+            for k in places:
+                ids[k] = self.known[own[k]]
+        return [b"".join(ids) if split else next(others) for ids, split in zip(found, by_stretch, strict=True)]
+
+
+def _places_of_none(values: list) -> Iterator[int]:
+    place = -1
+    try:
+        while True:
+            place = values.index(None, place + 1)
+            yield place
+    except ValueError:
+        return
 
 
 def _little(ids: array) -> array:
