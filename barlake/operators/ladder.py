@@ -93,6 +93,15 @@ def protect_raw(derived: DataFrame, *stored: DataFrame, targets: list[str] | Non
     return derived
 
 
+def in_buckets_of(derived: DataFrame, rows: DataFrame) -> DataFrame:
+    """Derived bars whose bucket holds one of `rows` (ticks or bars): of a few late rows there are a few on each level."""
+    held = rows.select("instrument", "timestamp")
+    for target in tick_targets():
+        held = with_bucket(held, target, target)
+    levels = F.array(*[F.struct(F.lit(t).alias("timeframe"), F.col(t).alias("timestamp")) for t in tick_targets()])
+    return derived.join(held.select("instrument", F.inline(levels)).distinct(), BAR_KEY, "left_semi")
+
+
 def pad_window(start: datetime | str, end: datetime | str) -> tuple[datetime, datetime]:
     """[start, end] widened to whole UTC days: from midnight of the first to midnight after the last."""
     first, last = (naive_utc(t).replace(hour=0, minute=0, second=0, microsecond=0) for t in (start, end))

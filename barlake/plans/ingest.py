@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from barlake.functions.timeframe import LADDER, SECONDS, check_timeframe, derivation_targets
 from barlake.functions.timestamps import naive_utc, ntz
 from barlake.operators import dedupe, ladder, merge, quality
-from barlake.schema import BAR_KEY, DERIVED, RAW
+from barlake.schema import BAR_KEY, DERIVED, RAW, TICK_KEY
 from barlake.session import together
 from barlake.sources import files
 from barlake.sources.store import Days, Pending, Store
 
 REFRESH_DAYS = (1, 365)
+SOURCES = {timeframe for timeframe in SECONDS if derivation_targets(timeframe)}
 
 
 @dataclass
@@ -42,11 +43,16 @@ def ingest_bars(
     derive: bool = True,
     column_map: dict[str, str] | None = None,
     scope: str = "window",
+    deltas: bool = False,
 ) -> Report:
-    """Bars of a frame. A bad timestamp rejects all, rows with a bad price are left out."""
+    """Bars of a frame. A bad timestamp rejects all, rows with a bad price are left out.
+
+    With `deltas` a small batch is kept beside the partitions until `Store.compact`, and its days are derived again.
+    """
     with store.workspace() as stage:
         judged = stage(_named(quality.judged_bars(bars, column_map), instrument, timeframe), "judged")
-        return _merge_bars(store, stage, quality.strict_bars(judged), derive, scope)
+        rows = quality.strict_bars(judged)
+        return _append_bars(store, stage, rows, derive) if deltas else _merge_bars(store, stage, rows, derive, scope)
 
 
 def ingest_ticks(
@@ -56,11 +62,16 @@ def ingest_ticks(
     derive: bool = True,
     order: list[str] | None = None,
     scope: str = "window",
+    deltas: bool = False,
 ) -> Report:
-    """Ticks of a frame. A bad timestamp or price rejects all; of one key the last by `order` counts."""
+    """Ticks of a frame. A bad timestamp or price rejects all; of one key the last by `order` counts.
+
+    With `deltas` a small batch is kept beside the partitions until `Store.compact`, and its days are derived again.
+    """
     with store.workspace() as stage:
         judged = stage(_named(quality.judged_ticks(ticks), instrument, "TICK"), "judged")
-        return _merge_ticks(store, stage, quality.strict_ticks(judged), derive, order, scope)
+        rows = quality.strict_ticks(judged)
+        return _append_ticks(store, stage, rows, derive, order) if deltas else _merge_ticks(store, stage, rows, derive, order, scope)
 
 
 def ingest_bar_files(store: Store, folder: str, derive: bool = True, **given) -> Report:
@@ -154,6 +165,7 @@ def derive_stored_ticks(
 
 
 def _merge_bars(store: Store, stage, rows: DataFrame, derive: bool, scope: str, order: list[str] | None = None) -> Report:
+    store.compact()
     rows = rows.withColumn("timeframe", F.upper("timeframe"))
     incoming = stage(dedupe.latest_bars(rows, RAW, order), "bars")
     by = ["instrument", "timeframe"]
@@ -164,20 +176,68 @@ def _merge_bars(store: Store, stage, rows: DataFrame, derive: bool, scope: str,
     # derived bars are written with the given ones, so growth can't tell new ones here
     counts = merge.upsert_counts(store.touched("bars", incoming, names), incoming, BAR_KEY, by)
     series = store.stage(counts.join(read, by), "report")
-    sources = [tf for tf in SECONDS if derivation_targets(tf)]
-    ladder_rows = incoming.where(F.col("timeframe").isin(*sources))
+    sources = sorted({name.split("/")[1] for name in names} & SOURCES)
+    days, derived = _ladder_of(store, stage, incoming, sources, scope)
+    with store.pending() as pending:
+        pending.merge("bars", incoming.unionByName(derived))
+        (report,) = pending.publish(lambda: _derived_now(store, days.per_instrument(), pending))
+    return Report(series, report)
+
+
+def _ladder_of(store: Store, stage, incoming: DataFrame, sources: list[str], scope: str) -> tuple[Days, DataFrame]:
+    """The days of the series of `sources` in a batch, and the bars derived from them as they will be with the batch."""
+    by = ["instrument", "timeframe"]
+    ladder_rows = incoming.where(F.col("timeframe").isin(*SOURCES))
     days = Days.of(_days(ladder_rows, by, scope), by, stage)
     base = merge.upsert_bars(store.on_days("bars", days), ladder_rows)
-    present = sorted({name.split("/")[1] for name in names} & set(sources))
-    fresh = ladder.ladder_from_bars(base, present[0]) if len(present) == 1 else ladder.ladder_mixed(base)
+    fresh = ladder.ladder_from_bars(base, sources[0]) if len(sources) == 1 else ladder.ladder_mixed(base)
     held = store.on_days("bars", days.per_instrument())
-    derived = stage(ladder.protect_raw(fresh, held, incoming, targets=list(LADDER)), "derived")
-    with store.pending() as pending:
-        pending.merge("bars", incoming.unionByName(derived))
+    return days, stage(ladder.protect_raw(fresh, held, incoming, targets=list(LADDER)), "derived")
+
+
+def _append_bars(store: Store, stage, rows: DataFrame, derive: bool) -> Report:
+    """As `_merge_bars`, but no partition is written: the batch and the bars whose buckets it touches are one delta."""
+    store.recover()
+    by = ["instrument", "timeframe"]
+    rows = rows.withColumn("timeframe", F.upper("timeframe"))
+    incoming = stage(dedupe.latest_bars(rows, RAW), "bars")
+    read = rows.groupBy(*by).agg(F.count("*").alias("rows_in_file"))
+    days = Days.of(_days(incoming, by, "days"), by, stage)
+    counts = merge.upsert_counts(store.on_days("bars", days), incoming, BAR_KEY, by)
+    series = store.stage(counts.join(read, by), "report")
+    if not (days.count and derive):
+        if days.count:
+            store.append_all({"bars": incoming})
+        return Report(series, None if not derive else _none_derived(store))
+    present = {row[0] for row in days.frame.select("timeframe").distinct().collect()}
+    days, derived = _ladder_of(store, stage, incoming, sorted(present & SOURCES), "days")
+    touched = ladder.in_buckets_of(derived, incoming)
+    with store.pending(deltas=True) as pending:
+        pending.append("bars", incoming.unionByName(touched))
         (report,) = pending.publish(lambda: _derived_now(store, days.per_instrument(), pending))
     return Report(series, report)
 
 
+def _append_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list[str] | None) -> Report:
+    """As `_merge_ticks`, but no partition is written: the batch and the bars whose buckets it touches are deltas."""
+    store.recover()
+    by = ["instrument"]
+    incoming = stage(dedupe.latest_ticks(rows, order), "ticks")
+    read = quality.distinct_rows(rows.select("instrument", "timestamp", *_values(rows))).groupBy(*by).agg(F.count("*").alias("rows_in_file"))
+    days = Days.of(_days(incoming, by, "days"), by, stage)
+    series = store.stage(merge.upsert_counts(store.on_days("ticks", days), incoming, TICK_KEY, by).join(read, by), "report")
+    if not (days.count and derive):
+        if days.count:
+            store.append_all({"ticks": incoming})
+        return Report(series, None if not derive else _none_derived(store))
+    with store.pending(deltas=True) as pending:
+        pending.append("ticks", incoming)
+        fresh = ladder.in_buckets_of(ladder.ladder_from_ticks(store.on_days("ticks", days, pending)), incoming)
+        pending.append("bars", stage(ladder.protect_raw(fresh, store.on_days("bars", days)), "derived"))
+        (report,) = pending.publish(lambda: _derived_now(store, days, pending))
+    return Report(series, report)
+
+
 def _merge_ticks(store: Store, stage, rows: DataFrame, derive: bool, order: list[str] | None, scope: str) -> Report:
     incoming = stage(dedupe.latest_ticks(rows, order), "ticks")
     read = quality.distinct_rows(rows.select("instrument", "timestamp", *_values(rows)))

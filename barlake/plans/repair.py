@@ -39,6 +39,8 @@ def collapse_store(
 
     Only partitions that hold a bar off its bucket are rewritten, by one write; a second run finds none.
     """
+    if not dry_run:
+        store.compact()
     report = store.stage(dedupe.collapse_report(store.bars(), timeframes), "report")
     if not dry_run:
         chosen = store.bars().where(F.col("timeframe").isin(*timeframes))

@@ -48,6 +48,11 @@ class Commit:
         self.names[table] = sorted("/".join(path.split("/")[-len(parts) :]) for path in found)
         self.gone[table] = sorted(set(replaces) - set(self.names[table]))
 
+    def add(self, table: str, name: str, rows: DataFrame) -> None:
+        """Rows in a folder of their own, in as few files as their size allows."""
+        rows.hint("rebalance").sortWithinPartitions("timestamp").write.parquet(f"{self.path(table)}/{name}")
+        self.names.setdefault(table, []).append(name)
+
     def write_whole(self, table: str, rows: DataFrame) -> None:
         """A small table that is replaced as a whole."""
         rows.coalesce(1).write.parquet(self.path(table))

@@ -7,6 +7,10 @@ sorted by time, so row groups outside a time range are skipped as well.
 
 Beside each table stand its partials: rows, first and last time of every partition (and source). They are replaced in the
 commit that changes the partitions, so summaries, reports and pages read them and not the prices.
+
+A small batch can be kept as a delta: its rows alone are written, under a batch number, whatever partitions they belong to.
+Reading lays the deltas over the partitions (of one key the highest batch counts, deltas before partitions); `compact` merges
+them into the partitions, and so does every write that replaces partitions.
 """
 
 from __future__ import annotations
@@ -51,6 +55,8 @@ PARTIALS = {
     )
     for table, by in PARTIAL_BY.items()
 }
+KEYS = {"bars": BAR_KEY, "ticks": TICK_KEY}
+BATCH = "batch"
 YEARLY = ("M1", "M5")
 TICK_PERIODS = {"day": None, "month": "MM", "year": "YY"}
 LAYOUT = "layout.json"
@@ -152,7 +158,7 @@ class Store:
         return sorted("/".join(str(value) for value in row) for row in wanted.collect())
 
     def touched(self, table: str, changes: DataFrame, names: list[str] | None = None) -> DataFrame:
-        """Stored rows of the partitions that `changes` falls into."""
+        """Rows of the partitions that `changes` falls into, without deltas: call `compact` before."""
         names = self.partitions(table, changes) if names is None else names
         return self._in_partitions(table, names).select(*COLUMNS[table])
 
@@ -167,7 +173,10 @@ class Store:
         held = sorted({*held, *(pending.names(table) if pending else ())})
         named = [name for name in held if self._covers(table, name.split("/"), len(days.by), spans, series)]
         rows = pending.rows(table, named) if pending else self._in_partitions(table, named, held)
-        rows = _between(rows, ntz(str(days.first)), ntz(f"{days.last} 23:59:59.999999"))
+        bounds = ntz(str(days.first)), ntz(f"{days.last} 23:59:59.999999")
+        rows, changes = _between(rows, *bounds), self._deltas(table, pending)
+        if changes is not None:
+            rows = _overlay(table, rows, _between(changes, *bounds))
         rows = rows.select(*COLUMNS[table]).withColumn("date", F.col("timestamp").cast("date"))
         # Few days are broadcast, so a day that holds much of the data is not sent to one task.
         wanted = F.broadcast(days.frame) if days.count <= BROADCAST_DAYS else days.frame
@@ -182,17 +191,34 @@ class Store:
     def partials(self, table: str) -> DataFrame:
         """rows, first and last time of each partition (and source of bars), without reading a price.
 
-        A table whose partials are missing, as in a store of an earlier layout, is read as a whole.
+        A table whose partials are missing, as in a store of an earlier layout, is read as a whole. Partitions that deltas
+        fall into are counted anew, from their keys (and sources).
         """
+        stored, changes = self.merged_partials(table), self._deltas(table)
+        if changes is None:
+            return stored
+        parts = changes.select(*PARTS[table]).distinct()
+        names = ["/".join(map(str, row)) for row in parts.collect()]
+        return stored.join(parts, PARTS[table], "left_anti").unionByName(
+            _fold(table, _overlay(table, self._in_partitions(table, names), changes))
+        )
+
+    def merged_partials(self, table: str) -> DataFrame:
+        """The partials without deltas."""
         try:
             return self.spark.read.schema(PARTIALS[table]).parquet(f"{self.root}/{_partials(table)}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return _fold(table, self._table(table))
+            return _fold(table, self._merged(table))
 
     def _table(self, table: str) -> DataFrame:
-        """All stored rows with their partition columns; the fixed schema keeps a name like 600519 a string."""
+        """All rows with their partition columns, deltas included."""
+        changes = self._deltas(table)
+        return self._merged(table) if changes is None else _overlay(table, self._merged(table), changes)
+
+    def _merged(self, table: str) -> DataFrame:
+        """All rows of the partitions; the fixed schema keeps a name like 600519 a string."""
         try:
             return self.spark.read.schema(STORED[table]).parquet(f"{self.root}/{table}")
         except AnalysisException as error:
@@ -200,6 +226,20 @@ class Store:
                 raise
             return empty(self.spark, STORED[table])
 
+    def batches(self, table: str) -> list[int]:
+        """Numbers of the deltas that wait to be merged into the partitions."""
+        found = hadoop.matching(self.spark, f"{self.root}/{_delta(table)}/{BATCH}=*")
+        return sorted(int(path.rsplit("=", 1)[1]) for path in found)
+
+    def _deltas(self, table: str, pending: Pending | None = None) -> DataFrame | None:
+        """Rows of all deltas with their batch number, with those that `pending` has appended; None where there are none."""
+        folders = [self.root] if self.batches(table) else []
+        if pending and _delta(table) in pending.commit.names:
+            folders.append(pending.commit.folder)
+        schema = T.StructType([*STORED[table].fields, T.StructField(BATCH, T.LongType())])
+        found = [self.spark.read.schema(schema).parquet(f"{folder}/{_delta(table)}") for folder in folders]
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1]) if found else None
+
     def _held(self, table: str, instruments: list[str]) -> list[str]:
         """Names of the stored partitions of these instruments; other instruments are not listed."""
         levels = "/*" * (len(PARTS[table]) - 1)
@@ -224,9 +264,15 @@ class Store:
     # -- writing -----------------------------------------------------------------------------------------------
 
     @contextmanager
-    def pending(self) -> Iterator[Pending]:
-        """A commit of this store. What is merged into it becomes valid as a whole when it is published, or not at all."""
-        self.recover()
+    def pending(self, deltas: bool = False) -> Iterator[Pending]:
+        """A commit of this store. What is merged into it becomes valid as a whole when it is published, or not at all.
+
+        Deltas are merged into the partitions first, unless the commit is to append (or merge) `deltas` itself.
+        """
+        if deltas:
+            self.recover()
+        else:
+            self.compact()
         self._fix_layout()
         found = Pending(self)
         try:
@@ -248,6 +294,25 @@ class Store:
                 pending.merge(table, rows, (names or {}).get(table))
             pending.publish()
 
+    def append_all(self, changes: dict[str, DataFrame]) -> None:
+        """Keep the changed rows of the tables as deltas, by one commit. Each frame holds a key at most once."""
+        with self.pending(deltas=True) as pending:
+            for table, rows in changes.items():
+                pending.append(table, rows)
+            pending.publish()
+
+    def compact(self) -> None:
+        """Merge all deltas into the partitions by one commit; rows stay as they are read. Does nothing where there are none."""
+        self.recover()
+        waiting = {table: numbers for table in PARTS if (numbers := self.batches(table))}
+        if not waiting:
+            return
+        with self.workspace() as stage, self.pending(deltas=True) as pending:
+            for table, numbers in waiting.items():
+                pending.merge(table, stage(_latest(table, self._deltas(table)), "deltas"))
+                pending.commit.gone[_delta(table)] = [f"{BATCH}={number}" for number in numbers]
+            pending.publish()
+
     def recover(self) -> None:
         """Complete a commit that was left half done, if there is one."""
         commit.complete(self.spark, self.root)
@@ -296,12 +361,16 @@ class Pending:
 
     def merge(self, table: str, changes: DataFrame, names: list[str] | None = None) -> None:
         """Replace or add the changed rows. The partitions they touch are read once, and written anew with all their rows."""
-        store, keys = self.store, BAR_KEY if table == "bars" else TICK_KEY
+        store = self.store
         names = store.partitions(table, changes) if names is None else names
         changes = store._with_period(table, changes.select(*COLUMNS[table]))
-        on = list(dict.fromkeys([*PARTS[table], *keys]))
-        kept = store._in_partitions(table, names).join(changes.select(*on), on, "left_anti")
-        self._write(table, changes.unionByName(kept), names)
+        self._write(table, _over(table, store._in_partitions(table, names), changes), names)
+
+    def append(self, table: str, changes: DataFrame) -> None:
+        """Keep the changed rows as one delta: no partition is read or written."""
+        number = max(self.store.batches(table), default=0) + 1
+        rows = self.store._with_period(table, changes.select(*COLUMNS[table])).select(*STORED[table].names)
+        self.commit.add(_delta(table), f"{BATCH}={number}", rows)
 
     def replace(self, table: str, rows: DataFrame, names: list[str]) -> None:
         """Rows in place of all that the partitions `names` hold; partitions that get none will be gone."""
@@ -344,7 +413,7 @@ class Pending:
 
     def former_partials(self, table: str) -> DataFrame:
         """The partials of the same partitions as they are stored."""
-        return self._only_touched(table, self.store.partials(table), "left_semi")
+        return self._only_touched(table, self.store.merged_partials(table), "left_semi")
 
     def _only_touched(self, table: str, partials: DataFrame, how: str) -> DataFrame:
         """Partitions of this commit or (left_anti) all others; their names are as many as its folders."""
@@ -355,7 +424,7 @@ class Pending:
 
     def write_partials(self, table: str) -> None:
         """The partials of the whole table as they will be."""
-        others = self._only_touched(table, self.store.partials(table), "left_anti")
+        others = self._only_touched(table, self.store.merged_partials(table), "left_anti")
         self.commit.write_whole(_partials(table), others.unionByName(self.partials(table)))
 
     def publish(self, *steps: Callable[[], object]) -> list:
@@ -369,6 +438,33 @@ def _partials(table: str) -> str:
     return f"_partials/{table}"
 
 
+def _delta(table: str) -> str:
+    return f"_deltas/{table}"
+
+
+def _latest(table: str, changes: DataFrame) -> DataFrame:
+    """Of the rows of one key in several deltas that of the last one."""
+    on = _on(table)
+    last = F.max(F.struct(BATCH, *(c for c in STORED[table].names if c not in on))).alias("last")
+    return changes.groupBy(*on).agg(last).select(*on, "last.*").drop(BATCH)
+
+
+def _overlay(table: str, rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows of partitions with deltas laid over them. Only the deltas are grouped; the partitions are not, so that they need
+    no shuffle as long as the keys of the deltas are few enough for the optimizer to broadcast."""
+    return _over(table, rows, _latest(table, changes))
+
+
+def _over(table: str, rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """`changes` and the rows whose keys they lack."""
+    on = _on(table)
+    return changes.select(*STORED[table].names).unionByName(rows.join(changes.select(*on), on, "left_anti"))
+
+
+def _on(table: str) -> list[str]:
+    return list(dict.fromkeys([*PARTS[table], *KEYS[table]]))
+
+
 def _fold(table: str, rows: DataFrame) -> DataFrame:
     found = rows.groupBy(*PARTIAL_BY[table]).agg(
         F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")

@@ -1,6 +1,8 @@
 """Continuous ingest of landed files: each micro-batch is upserted and its days are derived again.
 
-Late rows need no watermark: they change the days they belong to. A batch that is run twice changes nothing.
+Late rows need no watermark: they change the days they belong to. A batch that is run twice changes nothing. With
+`compact_after` a micro-batch is kept as a delta, so a late row writes itself and the bars of its buckets, not its partitions;
+once that many deltas wait they are merged into the partitions.
 """
 
 from __future__ import annotations
@@ -35,24 +37,35 @@ def landed_csv(spark: SparkSession, folder: str, columns: str) -> DataFrame:
     return rows.withColumns({"instrument": F.get(parts, 0), "timeframe": F.upper(F.get(parts, 1))})
 
 
-def ingest_tick_stream(store: Store, stream: DataFrame, checkpoint: str, rejects: str | None = None) -> StreamingQuery:
+def ingest_tick_stream(
+    store: Store, stream: DataFrame, checkpoint: str, rejects: str | None = None, compact_after: int | None = None
+) -> StreamingQuery:
     """Ticks of a stream into the store, with the ladder of every touched instrument and day."""
 
     def load(batch: DataFrame) -> None:
-        ingest.ingest_ticks(store, batch.select(*TICKS.names), scope="days")
+        ingest.ingest_ticks(store, batch.select(*TICKS.names), scope="days", deltas=compact_after is not None)
+        _compact(store, "ticks", compact_after)
 
     return _run(store, stream, checkpoint, quality.judged_ticks, load, rejects)
 
 
-def ingest_bar_stream(store: Store, stream: DataFrame, checkpoint: str, rejects: str | None = None) -> StreamingQuery:
+def ingest_bar_stream(
+    store: Store, stream: DataFrame, checkpoint: str, rejects: str | None = None, compact_after: int | None = None
+) -> StreamingQuery:
     """Bars of a stream into the store, with the ladder of every touched series and day."""
 
     def load(batch: DataFrame) -> None:
-        ingest.ingest_bars(store, batch.select(*BARS.names[:-1]), scope="days")
+        ingest.ingest_bars(store, batch.select(*BARS.names[:-1]), scope="days", deltas=compact_after is not None)
+        _compact(store, "bars", compact_after)
 
     return _run(store, stream, checkpoint, quality.judged_bars, load, rejects)
 
 
+def _compact(store: Store, table: str, after: int | None) -> None:
+    if after is not None and len(store.batches(table)) >= after:
+        store.compact()
+
+
 def _run(
     store: Store,
     stream: DataFrame,
