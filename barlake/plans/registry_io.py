@@ -23,7 +23,7 @@ from barlake.schema import TICKS as TICK_SCHEMA
 from barlake.session import work_dir
 from barlake.sources import files, snapshot
 from barlake.sources.store import Store
-from barlake.streaming.bars import live_bars
+from barlake.streaming.bars import live_bars, live_ladder
 from barlake.streaming.ingest import ingest_bar_stream, ingest_tick_stream, landed_parquet
 
 ROW = "instrument, timeframe, timestamp, open, high, low, close"
@@ -516,6 +516,46 @@ def _(spark, sf):
     return store.bars()
 
 
+def _with_deltas(spark, sf) -> Store:
+    """The ticks from the tenth on, with their ladder, and over them the corrected or late ones of three days as deltas."""
+    store, ticks = Store(spark, fresh(spark)), views.event_ticks(spark, sf)
+    ingest.ingest_ticks(store, ticks.where("timestamp >= TIMESTAMP_NTZ'2024-01-10 00:00:00'"))
+    late = ticks.where(F.dayofmonth("timestamp").isin(3, 11)).withColumn("price", F.col("price") + 1)
+    ingest.ingest_ticks(store, late.unionByName(ticks.where("day(timestamp) = 4")), deltas=True)
+    ingest.ingest_ticks(store, ticks.where("day(timestamp) = 3"), deltas=True)
+    return store
+
+
+WITH_DELTAS = """overlaid AS (
+  SELECT instrument, timestamp, CASE WHEN day(timestamp) = 11 THEN price + 1 ELSE price END AS price, volume, bid, ask FROM ticks
+  WHERE timestamp >= TIMESTAMP '2024-01-10' OR day(timestamp) IN (3, 4))"""
+OVERLAID = with_(TICKS, WITH_DELTAS) + views.union_all([views.fold_ticks(tf, "overlaid") for tf in tick_targets()])
+
+
+@register("store_with_deltas", OVERLAID)
+def _(spark, sf):
+    return _with_deltas(spark, sf).bars()
+
+
+@register("store_compacted", OVERLAID)
+def _(spark, sf):
+    store = _with_deltas(spark, sf)
+    store.compact()
+    return store.bars()
+
+
+@register(
+    "store_coverage_with_deltas",
+    with_(TICKS, WITH_DELTAS)
+    + """SELECT instrument, count(*) AS n, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp
+    FROM overlaid GROUP BY instrument""",
+)
+def _(spark, sf):
+    """What the partials say while deltas lie over the partitions."""
+    parts = _with_deltas(spark, sf).partials("ticks").groupBy("instrument")
+    return parts.agg(F.sum("rows").alias("n"), F.min("first").alias("first_timestamp"), F.max("last").alias("last_timestamp"))
+
+
 @register(
     "stream_live_bars",
     with_(TICKS)
@@ -524,12 +564,27 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Bars appended to files once the watermark has passed them; those after the last watermark are still open."""
+    return _appended(spark, sf, lambda ticks: live_bars(ticks, "M15"))
+
+
+@register(
+    "stream_live_ladder",
+    with_(TICKS)
+    + f"""SELECT * FROM ({views.union_all([views.fold_ticks(tf) for tf in tick_targets()])})
+    WHERE date_trunc('day', timestamp) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def _(spark, sf):
+    """All levels of the days that the watermark has passed, from one state."""
+    return _appended(spark, sf, live_ladder)
+
+
+def _appended(spark, sf, bars) -> DataFrame:
     landed, folder = _landed(spark, sf), fresh(spark)
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
-        bars = live_bars(landed_parquet(spark, landed, TICK_SCHEMA), "M15")
-        writer = bars.writeStream.format("parquet").outputMode("append").option("checkpointLocation", fresh(spark))
+        found = bars(landed_parquet(spark, landed, TICK_SCHEMA))
+        writer = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", fresh(spark))
         writer.trigger(availableNow=True).start(folder).awaitTermination()
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)

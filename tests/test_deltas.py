@@ -1,0 +1,126 @@
+import pathlib
+
+import pytest
+
+from barlake.operators import ladder, profile
+from barlake.plans import ingest, pages
+from barlake.plans import repair as repair_plans
+from barlake.schema import TICKS
+from barlake.sources import commit, hadoop
+from barlake.sources.store import Store
+from barlake.streaming.ingest import ingest_tick_stream, landed_parquet
+from helpers import bars, final_plan, minute_rows, same, second_ticks, ticks
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return Store(spark, str(tmp_path / "store"))
+
+
+def everything(store):
+    return sorted(map(repr, store.bars().collect())) + sorted(map(repr, store.ticks().collect()))
+
+
+def data_files(store):
+    """Files of the two tables with the times of their last change."""
+    return {str(p): p.stat().st_mtime_ns for t in ("bars", "ticks") for p in pathlib.Path(store.root, t).glob("**/*.parquet")}
+
+
+def test_a_late_tick_writes_itself_and_its_buckets(spark, store, tmp_path):
+    """The base stays as it is, results are those of an upsert, and so they are after the compaction."""
+    held = second_ticks("2024-01-31 23:58:00", 240) + second_ticks("2024-01-30 10:00:00", 5, "GBPUSD")
+    late = [("EURUSD", held[10][1], 250.0, 2.0, 1.0, None), ("EURUSD", held[0][1].replace(hour=3), 90.0, 1.0, None, None)]
+    again = [("EURUSD", held[10][1], 40.0, 3.0, None, None)]
+    whole = Store(spark, str(tmp_path / "whole"))
+    ingest.ingest_ticks(store, ticks(spark, held))
+    ingest.ingest_ticks(whole, ticks(spark, held))
+    before = data_files(store)
+    assert before
+    for batch in (late, again):
+        wanted = ingest.ingest_ticks(whole, ticks(spark, batch), scope="days")
+        found = ingest.ingest_ticks(store, ticks(spark, batch), deltas=True)
+        assert same(found.series, wanted.series) and same(found.derived, wanted.derived)
+    assert data_files(store) == before and store.batches("ticks") == store.batches("bars") == [1, 2]
+    # seven levels for each of two ticks that share the day
+    assert spark.read.parquet(f"{store.root}/_deltas/bars/batch=1").count() == 13
+    assert sum(p.stat().st_size for p in pathlib.Path(store.root, "_deltas").glob("**/*.parquet")) < 30_000
+    expected = everything(whole)
+    assert everything(store) == expected
+    # the partitions meet the few keys of the deltas by a broadcast, only the deltas are shuffled
+    plan = final_plan(store.ticks())
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+    def checked():
+        for table in ("bars", "ticks"):
+            assert same(store.partials(table), whole.partials(table))
+        start = {"start": "2024-01-30 12:00:00", "end": "2024-01-31 23:58:20"}
+        assert same(pages.page_ticks(store, "EURUSD", 7, **start), pages.page_ticks(whole, "EURUSD", 7, **start))
+        assert same(store.bars("2024-01-31", "2024-02-01"), whole.bars("2024-01-31", "2024-02-01"))
+
+    checked()
+    store.compact()
+    assert not store.batches("ticks") and not store.batches("bars")
+    assert everything(store) == expected
+    checked()
+
+
+@pytest.mark.parametrize("moves", [0, 1])
+def test_a_compaction_that_died_is_completed(spark, store, monkeypatch, moves):
+    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-31 23:59:30", 60)), derive=False)
+    ingest.ingest_ticks(store, ticks(spark, second_ticks("2024-01-31 23:59:50", 20, "GBPUSD")), derive=False, deltas=True)
+    before = everything(store)
+    replace, done = hadoop.replace, []
+
+    def dies(spark, source, target):
+        if len(done) == moves:
+            hadoop.remove(spark, target)
+            raise RuntimeError("lost")
+        done.append(target)
+        replace(spark, source, target)
+
+    monkeypatch.setattr(commit, "MOVERS", 1)
+    monkeypatch.setattr(hadoop, "replace", dies)
+    with pytest.raises(RuntimeError):
+        store.compact()
+    monkeypatch.setattr(hadoop, "replace", replace)
+    again = Store(spark, store.root)
+    assert everything(again) == before and not again.batches("ticks")
+
+
+def test_bars_as_deltas_and_writes_that_compact(spark, store, tmp_path):
+    """A raw bar in a delta is not overlaid by a derived one; repairs and upserts merge the deltas first."""
+    whole = Store(spark, str(tmp_path / "whole"))
+    hour = minute_rows("2024-01-02 01:00:00", 1, timeframe="H1", flat=999.0)
+    for target, how in ((store, {"deltas": True}), (whole, {"scope": "days"})):
+        ingest.ingest_bars(target, bars(spark, minute_rows("2024-01-02 00:50:00", 30)), **how)
+        ingest.ingest_bars(target, bars(spark, hour), **how)
+        report = ingest.ingest_bars(target, bars(spark, minute_rows("2024-01-02 01:10:00", 20, flat=5.0)), **how)
+        row = report.series.first()
+        assert (row.rows_in_batch, row.rows_new, row.rows_matched) == (20, 10, 10)
+    assert store.batches("bars") == [1, 2, 3] and not whole.batches("bars")
+    assert everything(store) == everything(whole)
+    assert same(profile.bar_coverage(store.partials("bars")), profile.bar_coverage(store.bars()))
+    for target in (store, whole):
+        repair_plans.shift_store(target, "Europe/Berlin")
+    assert not store.batches("bars") and everything(store) == everything(whole)
+
+
+def test_empty_batches_are_no_deltas(spark, store):
+    for derive in (True, False):
+        ingest.ingest_ticks(store, ticks(spark, []), derive=derive, deltas=True)
+        ingest.ingest_bars(store, bars(spark, []), derive=derive, deltas=True)
+    store.compact()
+    assert not store.batches("ticks") and not store.batches("bars") and not everything(store)
+
+
+def test_stream_of_deltas_compacts(spark, store, tmp_path):
+    parts = [second_ticks(f"2024-01-02 {t}", 50) for t in ("09:00:00", "23:59:30", "09:00:30")]
+    folder = str(tmp_path / "landed")
+    for part in parts:
+        ticks(spark, part).coalesce(1).write.mode("append").parquet(folder)
+    stream = landed_parquet(spark, folder, TICKS, max_files=1)
+    ingest_tick_stream(store, stream, str(tmp_path / "mark"), compact_after=2).awaitTermination()
+    # two batches were merged, the third waits
+    assert store.batches("ticks") == [1]
+    assert store.ticks().count() == len({(r[0], r[1]) for part in parts for r in part})
+    assert same(store.bars(), ladder.ladder_from_ticks(store.ticks()))

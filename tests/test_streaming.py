@@ -6,7 +6,7 @@ from barlake.operators import ladder
 from barlake.plans import ingest
 from barlake.schema import BARS, TICKS
 from barlake.sources.store import Store
-from barlake.streaming.bars import live_bars
+from barlake.streaming.bars import ladder_into_store, live_bars, live_ladder
 from barlake.streaming.ingest import TICK_TEXT, ingest_bar_stream, ingest_tick_stream, landed_csv, landed_parquet
 from helpers import bars, minute_rows, same, second_ticks, ticks
 
@@ -79,6 +79,33 @@ def test_appended_bars_are_final(spark, tmp_path):
     assert found.exceptAll(batch).count() == 0
 
 
+def test_live_ladder_of_closed_days(spark, tmp_path):
+    """In append mode the whole ladder of a day comes out once, when the watermark has passed the day."""
+    rows = second_ticks("2024-01-02 23:50:00", 660) + second_ticks("2024-01-03 00:20:00", 5) + second_ticks("2024-01-02 08:00:00", 70, "GBPUSD")
+    folder, name = land(spark, str(tmp_path / "landed"), rows), f"live_{uuid.uuid4().hex}"
+    writer = live_ladder(landed_parquet(spark, folder, TICKS)).writeStream.format("memory").queryName(name).outputMode("append")
+    writer.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    batch = ladder.ladder_from_ticks(ticks(spark, rows))
+    assert same(spark.table(name), batch.where("timestamp < TIMESTAMP_NTZ'2024-01-03 00:00:00'"))
+
+
+def test_live_ladder_into_a_store(spark, tmp_path):
+    """Every level follows each batch; an original bar stays, and a replay from the start changes nothing."""
+    parts = [second_ticks(f"2024-01-02 {t}", 50) for t in ("09:00:00", "09:04:30", "09:00:30")]
+    folder = land(spark, str(tmp_path / "landed"), *parts)
+    store = Store(spark, str(tmp_path / "store"))
+    hour = bars(spark, minute_rows("2024-01-02 09:00:00", 1, timeframe="H1", flat=999.0))
+    ingest.ingest_bars(store, hour, derive=False)
+    wanted = ladder.ladder_from_ticks(ticks(spark, {r[:2]: r for p in parts for r in p}.values())).where("timeframe <> 'H1'").unionByName(hour)
+    for mark in ("first", "again"):
+        stream = landed_parquet(spark, folder, TICKS, max_files=1)
+        ladder_into_store(store, stream, str(tmp_path / mark), compact_after=2).awaitTermination()
+        assert store.batches("bars") == [1]
+        found, expected = (rows.select("timeframe", "timestamp", "source") for rows in (store.bars(), wanted))
+        assert same(found, expected)
+        store.compact()
+
+
 def test_live_bars_need_utc(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
