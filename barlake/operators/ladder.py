@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.timeframe import LADDER, SECONDS, derivation_targets, tick_targets, width, with_bucket
@@ -12,25 +12,29 @@ from barlake.functions.timestamps import naive_utc, ntz
 from barlake.schema import BAR_KEY, DERIVED, PRICES, RAW, as_bars
 
 
-def _fold() -> list[Column]:
+def _folds() -> dict[str, Column]:
     """Open and close by time, high and low. All buffers are of fixed width, so these stay hash aggregates."""
-    return [
-        F.min_by("open", "timestamp").alias("open"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("close", "timestamp").alias("close"),
-    ]
+    return {
+        "open": F.min_by("open", "timestamp"),
+        "high": F.max("high"),
+        "low": F.min("low"),
+        "close": F.max_by("close", "timestamp"),
+    }
+
+
+def _fold() -> list[Column]:
+    return [folded.alias(price) for price, folded in _folds().items()]
 
 
 def ticks_to_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
     """Bars of one timeframe from ticks. One shuffle of partial aggregates, however hot a bucket is."""
-    folded = ticks.groupBy("instrument", F.window("timestamp", width(timeframe)).alias("bucket")).agg(
+    folded = with_bucket(ticks, timeframe, "bucket").groupBy("instrument", "bucket").agg(
         F.min_by("price", "timestamp").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", "timestamp").alias("close"),
     )
-    return _as_derived(folded.withColumn("timeframe", F.lit(timeframe)), F.col("bucket.start"))
+    return _as_derived(folded.withColumn("timeframe", F.lit(timeframe)), F.col("bucket"))
 
 
 def bars_to_bars(bars: DataFrame, source: str, target: str) -> DataFrame:
@@ -55,11 +59,11 @@ def ladder_from_ticks(ticks: DataFrame) -> DataFrame:
     """M1 and all ladder timeframes from ticks in one scan.
 
     Ticks are folded to M1 first, with partial aggregates, so a hot minute or day never meets in one task. What is
-    left is at most 1,440 bars per instrument and day; these are brought together once and all levels are folded
-    where they lie.
+    left is at most 1,440 bars per instrument and day; these are brought together and sorted once, and all levels are
+    folded as the days pass by.
     """
-    minutes = ticks_to_bars(ticks, "M1").withColumn("date", F.col("timestamp").cast("date"))
-    return _fold_levels(minutes.repartition("instrument", "date"), tick_targets(), by=["instrument", "date"])
+    minutes = ticks_to_bars(ticks, "M1").drop("timeframe").withColumn("date", F.col("timestamp").cast("date"))
+    return _fold_days(minutes.repartition("instrument", "date"))
 
 
 def ladder_mixed(bars: DataFrame) -> DataFrame:
@@ -126,12 +130,33 @@ def _fan_out(bars: DataFrame, targets: list[str], keep: list[str]) -> DataFrame:
     return bars.select("instrument", *keep, "timestamp", *PRICES, F.inline(levels))
 
 
-def _fold_levels(bars: DataFrame, targets: list[str], by: list[str] | None = None) -> DataFrame:
+def _fold_levels(bars: DataFrame, targets: list[str]) -> DataFrame:
     if not targets:
         return as_bars(bars.limit(0))
-    keep = [c for c in by or [] if c != "instrument"]
-    fanned = _fan_out(bars.drop("timeframe"), targets, keep)
-    return _as_derived(fanned.groupBy("instrument", *keep, "timeframe", "bucket").agg(*_fold()), F.col("bucket"))
+    fanned = _fan_out(bars.drop("timeframe"), targets, [])
+    return _as_derived(fanned.groupBy("instrument", "timeframe", "bucket").agg(*_fold()), F.col("bucket"))
+
+
+def _fold_days(minutes: DataFrame) -> DataFrame:
+    """M1 bars, one per minute and each day whole in a partition, with all levels above them.
+
+    Each level's buckets lie inside those of the next, so one sort puts all of them in order; a task then holds one
+    day, not the bars of all levels. The first bar of a bucket brings the bucket's bar along.
+    """
+    nested = ["instrument", "date", *[tf for tf in reversed(LADDER) if tf != "D1"]]
+    for target in LADDER:
+        minutes = with_bucket(minutes, target, target)
+    days = minutes.sortWithinPartitions(*nested)
+    bars = [F.struct(F.lit("M1").alias("timeframe"), F.col("timestamp").alias("bucket"), *PRICES)]
+    for target in LADDER:
+        bucket = Window.partitionBy(*nested[: nested.index("date" if target == "D1" else target) + 1])
+        folds = {"first": F.min("timestamp"), **_folds()}
+        days = days.select("*", *[fold.over(bucket).alias(f"{target}_{name}") for name, fold in folds.items()])
+        prices = [F.col(f"{target}_{p}").alias(p) for p in PRICES]
+        bar = F.struct(F.lit(target).alias("timeframe"), F.col(target).alias("bucket"), *prices)
+        bars.append(F.when(F.col(f"{target}_first") == F.col("timestamp"), bar))
+    levels = days.select("instrument", F.inline(F.array(*bars))).where(F.col("timeframe").isNotNull())
+    return _as_derived(levels, F.col("bucket"))
 
 
 def _as_derived(folded: DataFrame, start) -> DataFrame:

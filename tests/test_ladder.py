@@ -109,3 +109,15 @@ def test_hot_minute_is_folded_before_the_shuffle(spark, tmp_path):
     assert [(r.open, r.close) for r in found.collect()] == [(0.0, 59_999.0)]
     metrics = found._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in metrics and "HashAggregate" in metrics
+
+
+def test_a_task_holds_days_and_not_the_bars_of_all_levels(spark):
+    """One minute a day, so that no level has fewer bars: the rows are sorted once and nothing is hashed after that."""
+    days = [("X" if k % 2 else "Y", datetime(2024, 1, 1, 23, 59) - timedelta(days=k), float(k)) for k in range(300)]
+    data = ticks(spark, [(i, t + timedelta(seconds=s), p + s) for i, t, p in days for s in (0, 30)])
+    found = ladder.ladder_from_ticks(data)
+    assert found.count() == 300 * 7
+    for timeframe in tick_targets():
+        assert same(found.where(F.col("timeframe") == timeframe), ladder.ticks_to_bars(data, timeframe))
+    above = final_plan(found).split("REPARTITION_BY_COL")[0]
+    assert "HashAggregate" not in above and above.count(" Sort [") == 1 and above.index("Generate") < above.index("Window")
