@@ -14,6 +14,7 @@ import types
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,9 @@ UNIGRAM, BPE = 1, 2
 PIECE_BYTES = 1024 * 1024
 #: A worker keeps the ids of about so many words (some 100 MB).
 KNOWN_WORDS = 500_000
+#: So many new words are encoded as one text.
+JOINED_WORDS = 200
+BYTE_PIECE = re.compile("<0x[0-9A-Fa-f]{2}>")
 WORD = re.compile(f"{META}+[^{META}]*|[^{META}]+")
 
 
@@ -150,7 +154,8 @@ class Encoder:
     """The rebuilt model with the ids of words that it has met.
 
     Where no piece crosses the begin of a word, a text's ids are those of its words one after the other. So only words that
-    are not known yet are encoded, in one batch with the library's threads.
+    are not known yet are encoded, in one batch with the library's threads. Words are found and told apart in the texts'
+    bytes; strings are made of distinct words only.
     """
 
     def __init__(self, data: bytes, threads: int = 1):
@@ -166,6 +171,15 @@ class Encoder:
         self.plain = not (self.model.charsmap or self.model.remove_extra_spaces) and self.model.escape_spaces
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.known: dict[str, bytes] = {}
+        # how many bytes of text a piece stands for, where each byte of a text is in a piece or is a piece
+        self.widths = None
+        if self.model.kind == BPE and self.model.byte_fallback:
+            self.widths = np.array([1 if kind == BYTE else len(piece.encode()) for piece, _, kind in self.model.pieces])
+        # what each piece stands for; the library tells byte pieces by their form, not their kind
+        self.bytes_of = None
+        if all(BYTE_PIECE.fullmatch(piece) if kind == BYTE else not piece.startswith("<0x") for piece, _, kind in self.model.pieces):
+            made = [bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.encode() for piece, _, kind in self.model.pieces]
+            self.bytes_of = pa.array(made, pa.large_binary())
 
     def normal(self, text: str) -> str:
         """The text as the model sees it."""
@@ -183,19 +197,84 @@ class Encoder:
         """The ids of each text as 32-bit numbers."""
         if not self.by_word:
             return [array("i", found.ids).tobytes() for found in self.made.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [WORD.findall(self.normal(text)) for text in texts]
+        if not texts:
+            return []
+        given = pa.array([self.normal(text) for text in texts], pa.large_string())
+        starts, ends = _words(given)
+        words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), given.buffers()[2]).dictionary_encode()
+        places = words.indices.to_numpy()
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        new = list({word for words in split for word in words if word not in self.known})
-        for word, found in zip(new, self.core.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = array("i", found.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        distinct = words.dictionary.to_pylist()
+        packed = list(map(self.known.get, distinct))
+        if new := [word for word, found in zip(distinct, packed) if found is None]:
+            self.known.update(self._of_new(new))
+            packed = [self.known[word] if found is None else found for word, found in zip(distinct, packed)]
+        sizes = np.array([len(p) // 4 for p in packed], np.int64)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes))), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        ids = lists.take(pa.array(places)).flatten().to_numpy()
+        stops = np.append(0, np.cumsum(sizes[places]))[np.searchsorted(starts, ends)]
+        return [ids[first:stop].tobytes() for first, stop in zip(stops[:-1], stops[1:])]
+
+    def _of_new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The words with their ids. Where the model allows it, many are encoded as one text.
+
+        Merges on the two sides of a place that no merge has crossed don't depend on each other, so ids that part where
+        the words part are those of the words. If any don't, all of these words are encoded alone.
+        """
+        alone = words
+        if self.widths is not None:
+            joined = [word for word in words if word[0] == META and word[-1] != META]
+            texts = ["".join(joined[k : k + JOINED_WORDS]) for k in range(0, len(joined), JOINED_WORDS)]
+            found = self.core.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter((i for one in found for i in one.ids), np.int32)
+            ends = np.append(0, np.cumsum(self.widths[ids]))
+            stops = np.cumsum([0, *(len(word.encode()) for word in joined)])
+            places = np.searchsorted(ends, stops)
+            if ends[-1] == stops[-1] and (ends[places] == stops).all():
+                alone = [word for word in words if word[0] != META or word[-1] == META]
+                packed, places = ids.tobytes(), (4 * places).tolist()
+                yield from ((word, packed[a:b]) for word, a, b in zip(joined, places[:-1], places[1:]))
+        for word, found in zip(alone, self.core.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            yield word, array("i", found.ids).tobytes()
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """The same as the rebuilt model's own decoder, with the marker replaced after the pieces are joined."""
-        texts = (text.replace(META, " ") for text in self.core.decode_batch(ids, skip_special_tokens=False))
+        """The same as the rebuilt model's own decoder, with the marker replaced after the pieces are joined.
+
+        Where the bytes of all pieces make up valid text, so do those of each run of byte pieces, and joining is all there
+        is to do; the other texts are left to the library.
+        """
+        flat = np.fromiter(chain.from_iterable(ids), np.int64)
+        if self.bytes_of is None or (len(flat) and not 0 <= flat.min() <= flat.max() < len(self.bytes_of)):
+            joined = self.core.decode_batch(ids, skip_special_tokens=False)
+        else:
+            found = self.bytes_of.take(pa.array(flat))
+            stops = np.frombuffer(found.buffers()[1], np.int64)[np.cumsum([0, *map(len, ids)])].tolist()
+            data = found.buffers()[2].to_pybytes() if stops[-1] else b""
+            joined = [self._text(data[a:b], own) for a, b, own in zip(stops[:-1], stops[1:], ids, strict=True)]
+        texts = (text.replace(META, " ") for text in joined)
         return [text.removeprefix(" ") if self.model.add_dummy_prefix else text for text in texts]
 
+    def _text(self, data: bytes, ids: list[int]) -> str:
+        try:
+            return data.decode()
+        except UnicodeDecodeError:
+            return self.core.decode(ids, skip_special_tokens=False)
+
+
+def _words(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all texts begin, as WORD finds them, and the end of the last; and where the texts begin and end."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    lead, middle, last = META.encode()
+    marks = np.flatnonzero(data == lead)
+    marks = marks[marks < len(data) - 2]
+    marks = marks[(data[marks + 1] == middle) & (data[marks + 2] == last)]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[marks[np.diff(marks, prepend=-4) != 3]] = True
+    begins[ends] = True
+    return np.flatnonzero(begins), ends
+
 
 def encoder_of(data: bytes, threads: int = 1) -> Encoder:
     """One encoder for each Python process: Spark gives a worker one task after the other, and it keeps its words.

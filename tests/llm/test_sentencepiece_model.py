@@ -1,3 +1,5 @@
+import random
+
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
@@ -55,6 +57,40 @@ def test_handmade_models(kind, byte_fallback):
     assert encoder.decode(ids) == texts
 
 
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, made):
+        self.made, self.texts = made, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.made.encode_batch_fast(texts, **options)
+
+    def __getattr__(self, name):
+        return getattr(self.made, name)
+
+
+def test_new_words_are_encoded_together(data):
+    encoder, own = sp.Encoder(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    encoder.core = Counted(encoder.core)
+    pick = random.Random(5)
+    word = lambda: "".join(pick.choices("abcdeénostr😀▁中", k=pick.randint(1, 9)))
+    texts = [(" " * pick.randint(1, 3)).join(word() for _ in range(40)) + " " * pick.randint(0, 2) for _ in range(100)]
+    for batch in (texts, texts[::-1], ["", ""], ["", texts[3], ""]):
+        assert [list(memoryview(packed).cast("i")) for packed in encoder.encode(batch)] == own.encode(batch)
+    assert len(encoder.known) > 3000 and encoder.core.texts < len(encoder.known) / 4
+
+
+def test_decoding_is_that_of_the_library(data):
+    encoder, pick = sp.Encoder(data), random.Random(7)
+    # mostly byte pieces and control pieces at first, so that many runs of bytes are no text
+    ids = [[pick.randrange(300 if k < 60 else len(encoder.model.pieces)) for _ in range(k % 30)] for k in range(120)]
+    ids += [*([i] for i in range(300)), [encoder.core.token_to_id(f"<0x{b:02X}>") for b in "é▁😀".encode()], []]
+    assert encoder.decode(ids) == encoder.made.decode_batch(ids, skip_special_tokens=False)
+    assert encoder.decode([]) == []
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "word " * 50_000, "a"), (3, "word " * 50_000, "a"), (None, "é", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tokens string")
