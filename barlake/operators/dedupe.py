@@ -40,11 +40,11 @@ def latest_bars(df: DataFrame, source: str = "raw", order: list[str] | None = No
 
 def latest_ticks(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One tick per key: the last by `order`, else the greatest by (price, volume, bid, ask)."""
-    ticks = as_ticks(df, *(order or []))
     if order:
-        return last_per_key(ticks, TICK_KEY, order)
-    values = ["price", "volume", "bid", "ask"]
-    return ticks.groupBy(*TICK_KEY).agg(F.max(F.struct(*values)).alias("tick")).select(*TICK_KEY, "tick.*")
+        return last_per_key(as_ticks(df, *order), TICK_KEY, order)
+    # columns that are absent don't tell ticks apart, so they aren't sorted along
+    values = [c for c in ("price", "volume", "bid", "ask") if c in df.columns]
+    return as_ticks(df.groupBy(*TICK_KEY).agg(F.max(F.struct(*values)).alias("tick")).select(*TICK_KEY, "tick.*"))
 
 
 def collapse_offset_bars(bars: DataFrame, timeframes: tuple[str, ...] = OFFSET_TIMEFRAMES) -> DataFrame:

@@ -34,14 +34,12 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several ticks may share a key here."""
-    return as_ticks(
-        table(spark, sf_dir, "lineitem").selectExpr(
-            "concat('SUP_', l_suppkey) AS instrument",
-            "l_shipdate + make_dt_interval(0, 0, l_partkey % 1440, l_orderkey % 60) AS timestamp",
-            "l_extendedprice AS price",
-            "l_quantity AS volume",
-        )
+    """Several ticks may share a key here; there is no bid and no ask."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('SUP_', l_suppkey) AS instrument",
+        "l_shipdate + make_dt_interval(0, 0, l_partkey % 1440, l_orderkey % 60) AS timestamp",
+        "l_extendedprice AS price",
+        "l_quantity AS volume",
     )
 
 

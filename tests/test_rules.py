@@ -10,7 +10,7 @@ from barlake.functions import timeframe as tf
 from barlake.functions.timestamps import parse_utc
 from barlake.operators import dedupe, quality
 from barlake.schema import as_ticks
-from helpers import bars, minute_rows
+from helpers import bars, final_plan, minute_rows
 
 GOOD = ["EURUSD", "XAU_USD", "S&P-500", "a", "US30", "X" * 50, "600519", "BTC-USD"]
 BAD = [
@@ -230,3 +230,10 @@ def test_hot_key_collapses_without_a_big_group(spark):
     assert found.where("timestamp = timestamp_ntz'2024-01-01 00:00:00'").first().price == 89_997.0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "partial_max(" in plan and "Window" not in plan
+
+
+def test_absent_columns_are_not_sorted_along(spark):
+    rows = spark.sql("SELECT 'X' AS instrument, timestamp_ntz'2024-01-02 09:00:00' AS timestamp, CAST(id AS DOUBLE) AS price FROM range(5)")
+    found = dedupe.latest_ticks(rows)
+    assert [tuple(r)[2:] for r in found.collect()] == [(4.0, 0.0, None, None)]
+    assert "partial_max(struct(price" in (plan := final_plan(found)) and "bid, null" not in plan
